@@ -1,0 +1,11 @@
+"""Queries over the reference's operators, and the SQL each is held against."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
