@@ -65,3 +65,9 @@ def words(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for a row's id and text; rows that agree in both are one document."""
+    told = lambda c, mark: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit(mark), c.cast("string")))
+    return F.unhex(F.md5(F.concat(told(doc_id, "i"), F.lit("\x1f"), told(text, "t")).cast("binary")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ketframe.llm import sentencepiece
+from ketframe.llm import sentencepiece, simhash
 
 
 def queries():
-    return {"op9_sentencepiece": sentencepiece.op9}
+    return {"op3_simhash": simhash.op3, "op9_sentencepiece": sentencepiece.op9}
 
 
 def oracle_sql():
