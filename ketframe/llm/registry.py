@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ketframe.llm import sentencepiece, simhash
+from ketframe.llm import sentencepiece, simhash, substrings
 
 
 def queries():
-    return {"op3_simhash": simhash.op3, "op9_sentencepiece": sentencepiece.op9}
+    return {"op3_simhash": simhash.op3, "op5_substrings": substrings.op5, "op9_sentencepiece": sentencepiece.op9}
 
 
 def oracle_sql():
