@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ketframe.llm import sentencepiece, simhash, substrings
+from ketframe.llm import decontaminate, sentencepiece, simhash, substrings
 
 
 def queries():
-    return {"op3_simhash": simhash.op3, "op5_substrings": substrings.op5, "op9_sentencepiece": sentencepiece.op9}
+    return {"op3_simhash": simhash.op3, "op5_substrings": substrings.op5, "op8_decontaminate": decontaminate.op8, "op9_sentencepiece": sentencepiece.op9}
 
 
 def oracle_sql():
-    return {}
+    return {"op8_decontaminate": decontaminate.OP8_SQL}
