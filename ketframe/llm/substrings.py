@@ -9,8 +9,9 @@ one place:
 2. Of each window one suffix is looked up: the one whose first PREFIX words
    have the smallest hash in the window. Equal windows choose the same one, and
    neighbouring windows mostly share it, so the windows of a text fall into
-   runs, each filed under its prefix with the words it covers (a segment).
-   Prefixes are dealt out to buckets that fit in memory.
+   runs, each filed under its prefix with the words it covers (a segment). A
+   prefix with one run in the corpus is a leaf and goes no further; the others
+   are dealt out to buckets that fit in memory.
 3. A prefix with more segments than a group may hold is lengthened to the whole
    window: its windows are counted one by one in a grouped aggregate. At most
    MOST_LONG prefixes are, the most frequent ones, so the list of them is
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm._common import bounded_batches, documents
+from ketframe.llm._common import bounded_batches, documents, materialize
 
 WINDOW = 35
 PREFIX = 8
@@ -50,7 +51,7 @@ MOST_LONG = 1_000_000
 #: Words worked on at a time.
 BLOCK_WORDS = 1_000_000
 #: Buckets to a shuffle partition; a task holds one bucket at a time.
-BUCKETS_EACH = 4
+BUCKETS_EACH = 2
 
 _ODD = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(512)], np.uint64)
 
@@ -123,18 +124,27 @@ def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], length: int, prefix: int) -> Iterator[Block]:
-    """Rows (key, text, copies) in blocks of about BLOCK_WORDS words; a longer text is a block of its own."""
-    keys, copies, texts, held = [], [], [], 0
+    """Rows (key, text, copies and maybe repeated prefixes) in blocks of about BLOCK_WORDS words; a longer text is a block of its own."""
+    keys, copies, texts, inner, held = [], [], [], [], 0
+
+    def block() -> Block:
+        out = Block(keys, copies, texts, length, prefix)
+        out.inner = np.unique(np.concatenate(inner)).astype(np.int64).view(np.uint64) if inner else None
+        return out
+
     for batch in batches:
-        for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        found = batch.column(3) if batch.num_columns > 3 else None
+        for i, (key, text, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist())):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             keys.append(key), copies.append(min(n, 2)), texts.append(data)
+            if found is not None:
+                inner.append(found[i].values.to_numpy(zero_copy_only=False))
             held += len(data)
             if held >= 6 * BLOCK_WORDS:
-                yield Block(keys, copies, texts, length, prefix)
-                keys, copies, texts, held = [], [], [], 0
+                yield block()
+                keys, copies, texts, inner, held = [], [], [], [], 0
     if keys:
-        yield Block(keys, copies, texts, length, prefix)
+        yield block()
 
 
 def pack(block: Block, run: np.ndarray, length: int) -> bytes:
@@ -263,26 +273,37 @@ def _intervals(blobs: list[bytes], length: int, prefix: int) -> pa.RecordBatch |
     return pa.RecordBatch.from_arrays([pa.array([seg["keys"][t].tobytes() for t in text[cut]], pa.binary()), pa.array(spans, pa.binary())], schema=FOUND)
 
 
-def long_prefixes(texts: DataFrame, length: int, prefix: int, most_segments: int) -> np.ndarray:
-    """Sorted hashes of the prefixes that have more than most_segments segments, MOST_LONG of them at most."""
+def _prefix_counts(rows: DataFrame, length: int, prefix: int) -> tuple[DataFrame, DataFrame]:
+    """(runs, repeated): rows (prefix, key) of every run, and (prefix, n) of the prefixes of more than one.
+
+    A prefix of a single run is a leaf of the tree: nothing below it repeats.
+    """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, length, prefix):
-            key, n = np.unique(block.key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["prefix", "n"])
+            keys = pa.array(block.keys, pa.binary()).take(pa.array(block.text))
+            yield pa.RecordBatch.from_arrays([pa.array(block.key.view(np.int64)), keys], names=["prefix", "key"])
+
+    found = materialize(rows.mapInArrow(runs, "prefix long, key binary"), "runs")
+    return found, materialize(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1"), "prefixes")
 
-    counts = texts.mapInArrow(runs, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most_segments)
-    top = counts.orderBy(F.desc("n"), "prefix").limit(MOST_LONG).select("prefix").toArrow()
+
+def long_prefixes(repeated: DataFrame, most_segments: int) -> np.ndarray:
+    """Sorted hashes of the prefixes that have more than most_segments segments, MOST_LONG of them at most."""
+    top = repeated.where(F.col("n") > most_segments).orderBy(F.desc("n"), "prefix").limit(MOST_LONG).select("prefix").toArrow()
     return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def repeat_spans(texts: DataFrame, length: int = WINDOW, prefix: int = PREFIX, most_segments: int = GROUP_SEGMENTS, counted: DataFrame | None = None) -> DataFrame:
-    """(key, spans): per text (key, text, copies) lists of binary word intervals that repeats cover.
+def repeat_spans(rows: DataFrame, texts: DataFrame, length: int = WINDOW, prefix: int = PREFIX, most_segments: int = GROUP_SEGMENTS) -> DataFrame:
+    """(key, spans): lists of binary word intervals that repeats cover, by text.
 
-    counted: the same rows where prefixes are counted, if something cheaper than `texts` has them.
+    rows: (key, text, copies) of all rows, where prefixes are counted; texts: the same of different texts.
     """
     spark = texts.sparkSession
-    long = spark.sparkContext.broadcast(long_prefixes(texts if counted is None else counted, length, prefix, most_segments))
+    runs, repeated = _prefix_counts(rows, length, prefix)
+    long = spark.sparkContext.broadcast(long_prefixes(repeated, most_segments))
+    inner = runs.join(repeated.select("prefix"), "prefix", "left_semi").groupBy("key").agg(F.collect_set("prefix").alias("inner"))
+    texts = texts.join(inner, "key").select("key", "text", "copies", "inner")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_EACH * partitions
 
@@ -290,8 +311,11 @@ def repeat_spans(texts: DataFrame, length: int = WINDOW, prefix: int = PREFIX, m
         for block in _blocks(batches, length, prefix):
             bucket = ((block.key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
             run = np.argsort(bucket, kind="stable")
+            run = run[np.isin(block.key[run], block.inner)]
             if len(long.value):
                 run = run[~np.isin(block.key[run], long.value)]
+            if not len(run):
+                continue
             cut = np.flatnonzero(np.diff(bucket[run], prepend=-1))
             for a, b in zip(cut, np.append(cut[1:], len(run))):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket[run[a]]], pa.int32()), pa.array([pack(block, run[a:b], length)], pa.binary())], names=["bucket", "blob"])
@@ -333,7 +357,7 @@ def _long_spans(texts: DataFrame, long, length: int, prefix: int) -> DataFrame:
                     pa.array([block.copies[t] for t in text], pa.int64()),
                 ], names=["window", "key", "at", "copies"])
 
-    rows = texts.mapInArrow(windows, "window binary, key binary, at int, copies long")
+    rows = materialize(texts.mapInArrow(windows, "window binary, key binary, at int, copies long"), "long-prefixes")
     often = rows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     hit = rows.join(often, "window").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
@@ -393,7 +417,7 @@ def dedup_texts(df: DataFrame, text_col: str = "text", length: int = WINDOW, pre
     bounded_batches(df.sparkSession)
     rows = df.select(text_digest(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    spans = repeat_spans(texts, length, prefix, most_segments, rows.select("key", "text", F.lit(1).cast("long").alias("copies")))
+    spans = repeat_spans(rows.select("key", "text", F.lit(1).cast("long").alias("copies")), texts, length, prefix, most_segments)
     out = texts.join(spans, "key", "left").select("key", _cut(length)("text", "spans", "copies").alias("r"))
     return out.select("key", "r.*")
 
