@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ketframe.llm import decontaminate, quality_rules, secrets, sentencepiece, simhash, substrings
+from ketframe.llm import decontaminate, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings
 
 
 def queries():
-    return {"op1_secrets": secrets.op1, "op3_simhash": simhash.op3, "op5_substrings": substrings.op5, "op7_quality_rules": quality_rules.op7, "op8_decontaminate": decontaminate.op8, "op9_sentencepiece": sentencepiece.op9}
+    return {"op1_secrets": secrets.op1, "op3_simhash": simhash.op3, "op5_substrings": substrings.op5, "op7_quality_rules": quality_rules.op7, "op8_decontaminate": decontaminate.op8, "op9_sentencepiece": sentencepiece.op9, "op10_quality_classifier": quality_classifier.op10}
 
 
 def oracle_sql():
