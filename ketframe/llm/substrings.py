@@ -335,12 +335,15 @@ def repeat_spans(rows: DataFrame, texts: DataFrame, length: int = WINDOW, prefix
 
     found = texts.mapInArrow(segments, "bucket int, blob binary").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(subtrees, "key binary, spans binary")
     if len(long.value):
-        found = found.unionByName(_long_spans(texts, long, length, prefix))
+        found = found.unionByName(_long_spans(rows, long, length, prefix))
     return found.groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 
-def _long_spans(texts: DataFrame, long, length: int, prefix: int) -> DataFrame:
-    """Repeats under lengthened prefixes: a window is its own prefix, and only its number of suffixes counts."""
+def _long_spans(rows: DataFrame, long, length: int, prefix: int) -> DataFrame:
+    """Repeats under lengthened prefixes: a window is its own prefix, and only its number of suffixes counts.
+
+    It takes all rows, copies too: their windows are few, and different texts would have to be shuffled for them.
+    """
     import xxhash
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +360,7 @@ def _long_spans(texts: DataFrame, long, length: int, prefix: int) -> DataFrame:
                     pa.array([block.copies[t] for t in text], pa.int64()),
                 ], names=["window", "key", "at", "copies"])
 
-    rows = materialize(texts.mapInArrow(windows, "window binary, key binary, at int, copies long"), "long-prefixes")
+    rows = materialize(rows.mapInArrow(windows, "window binary, key binary, at int, copies long"), "long-prefixes")
     often = rows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
     hit = rows.join(often, "window").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
