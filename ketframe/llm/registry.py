@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from ketframe.llm import chat, decontaminate, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings
+import corpus_pipeline
+from ketframe.llm import chat, decontaminate, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, warc
 
 
 def queries():
-    return {"op1_secrets": secrets.op1, "op3_simhash": simhash.op3, "op4_line_dedup": line_dedup.op4, "op5_substrings": substrings.op5, "op6_chat": chat.op6, "op7_quality_rules": quality_rules.op7, "op8_decontaminate": decontaminate.op8, "op9_sentencepiece": sentencepiece.op9, "op10_quality_classifier": quality_classifier.op10}
+    return {
+        "op1_secrets": secrets.op1,
+        "op2_warc": warc.op2,
+        "op3_simhash": simhash.op3,
+        "op4_line_dedup": line_dedup.op4,
+        "op5_substrings": substrings.op5,
+        "op6_chat": chat.op6,
+        "op7_quality_rules": quality_rules.op7,
+        "op8_decontaminate": decontaminate.op8,
+        "op9_sentencepiece": sentencepiece.op9,
+        "op10_quality_classifier": quality_classifier.op10,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql():
-    return {"op6_chat": chat.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    own = {"op6_chat": chat.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
