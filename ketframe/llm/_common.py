@@ -71,3 +71,15 @@ def row_key(doc_id: Column, text: Column) -> Column:
     """16 bytes that stand for a row's id and text; rows that agree in both are one document."""
     told = lambda c, mark: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit(mark), c.cast("string")))
     return F.unhex(F.md5(F.concat(told(doc_id, "i"), F.lit("\x1f"), told(text, "t")).cast("binary")))
+
+
+#: Keys of 16 bytes that are broadcast at once, about 50 MB in memory.
+BROADCAST_KEYS = 500_000
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in gone (one column of that name, materialized).
+
+    Up to BROADCAST_KEYS keys are broadcast, and df stays where it is; more are joined by a shuffle.
+    """
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm._common import ascii_lower, documents, materialize
+from ketframe.llm._common import ascii_lower, documents, materialize, without_keys
 
 #: What separates words, once A-Z are in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,8 +143,8 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose texts are not contaminated; columns as in docs."""
     key = "__ketframe_key"
-    bad = contamination(docs, items, doc_text=text_col, **options).where("contaminated").select(F.col("key").alias(key))
-    return docs.withColumn(key, text_digest(F.col(text_col))).join(bad, key, "left_anti").drop(key)
+    bad = materialize(contamination(docs, items, doc_text=text_col, **options).where("contaminated").select(F.col("key").alias(key)), "contaminated")
+    return without_keys(docs.withColumn(key, text_digest(F.col(text_col))), key, bad).drop(key)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

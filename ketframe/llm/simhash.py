@@ -20,10 +20,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ketframe.llm._common import bounded_batches, documents, materialize, row_key
+from ketframe.llm._common import bounded_batches, documents, materialize, row_key, without_keys
 from ketframe.llm.components import components
 
 BITS = 64
@@ -145,11 +144,17 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that agree in id and text one.
     """
     key = "__ketframe_key"
-    found = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias(key))
-    kept = df.withColumn(key, row_key(F.col(id_col), F.col(text_col))).join(best, key, "left_semi")
-    once = W.partitionBy(key).orderBy(F.lit(0))
-    return kept.withColumn("__ketframe_n", F.row_number().over(once)).where("__ketframe_n = 1").drop(key, "__ketframe_n")
+    found = materialize(near_duplicates(df, id_col, text_col, shingle, max_bits), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.key").alias(key))
+    counts = found.groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n"))
+    others = materialize(counts.join(best, key, "left_anti").select(key), "other-keys")
+    twice = materialize(counts.where("n > 1").join(best, key, "left_semi").select(key), "repeated-keys")
+    rows = without_keys(df.withColumn(key, row_key(F.col(id_col), F.col(text_col))), key, others)
+    if not twice.isEmpty():
+        again = rows.join(twice, key, "left_semi").dropDuplicates([key])
+        rows = without_keys(rows, key, twice).unionByName(again)
+    return rows.drop(key)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
