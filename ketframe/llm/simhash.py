@@ -11,6 +11,10 @@ segment of the rest of the bits, with the same guarantee, so a crowded bucket
 never meets itself as a whole. No bucket, partner or candidate is capped.
 
 Links then go to `components`. Nothing but counts reaches the driver.
+
+`similar_documents` is for a threshold of similarity that a few bits of one fingerprint cannot
+tell: its candidates come from a fingerprint over words, which a changed word hardly moves, and
+its complete distance is that of a wider fingerprint over shingles.
 """
 
 from __future__ import annotations
@@ -137,14 +141,128 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(classes.join(ids, "root").select("fp", "root", "component_id", "links"), "fp")
 
 
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3) -> DataFrame:
-    """The rows of df without all but one row of each component; columns as in df.
+# Similar documents ---------------------------------------------------------------------------
+
+#: Segments of the candidate fingerprint and their bits; two segments to a long.
+SEGMENTS, SEGMENT_BITS = 4, 24
+#: Bits of the comparison fingerprint: four longs.
+WIDE_BITS = 256
+SIMILARITY = 0.8
+WIDE = "struct<u0: long, u1: long, s0: long, s1: long, s2: long, s3: long>"
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of WIDE_BITS at which SimHash estimates two sets to have this Jaccard similarity.
+
+    Sets of equal size with Jaccard J have cosine 2J / (1 + J); a bit differs with the share angle / pi.
+    """
+    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _set_bits(items: set[bytes], longs: int) -> np.ndarray:
+    """SimHash of a set: `longs` signed words, each from another mix of the items' hashes."""
+    import xxhash
+
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items))
+    out = np.zeros(longs, np.int64)
+    for k in range(longs):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 65_536):
+            x = hashes[at : at + 65_536] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]
+    return out
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """Two longs over the set of words, for candidates, and four over the set of shingles, for comparison."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * 6
+    parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+    return [*_set_bits(set(words), 2).tolist(), *_set_bits(parts, 4).tolist()]
+
+
+def _segment_keys(radius: int) -> Column:
+    """Longs that name a segment and a value: of columns u0 and u1, the value itself or its whole ball."""
+    low = (1 << SEGMENT_BITS) - 1
+    masks = F.array(*(F.lit(m).cast("long") for m in _ball(SEGMENT_BITS, radius)))
+
+    def keys(s: int) -> Column:
+        value = F.shiftrightunsigned(F.col(f"u{s // 2}"), SEGMENT_BITS * (s % 2)).bitwiseAND(F.lit(low))
+        return F.transform(masks, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(s << SEGMENT_BITS).cast("long")))
+
+    return F.explode(F.flatten(F.array(*(keys(s) for s in range(SEGMENTS)))))
+
+
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of all classes that links reach from another; classes: node, u0, u1, s0 to s3.
+
+    Each class files its word fingerprint under each of its segments and asks for all values within
+    one bit of each; what is found is verified by the distance of the shingle fingerprints. A value
+    that very many classes share must not meet itself pair by pair. So first every asker is compared
+    with one holder of each value only, and components are formed. Then a value is followed in full
+    only by askers of another component than all its holders', and only pairs of two components are
+    made. That loses no pair: pairs that are left out are in one component already.
+    """
+    classes = materialize(classes, "classes")
+    most = most_bits(similarity)
+    filed = materialize(classes.select("node", _segment_keys(0).alias("key")), "filed")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda x: classes.select(F.col("node").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(4)))
+        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+        return both.where(sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)) <= most).select("a", "b")
+
+    asked = classes.select("node", _segment_keys(1).alias("key"))
+    holder = filed.groupBy("key").agg(F.min("node").alias("holder"))
+    first = asked.join(holder, "key").where("node <> holder").select(F.greatest("node", "holder").alias("a"), F.least("node", "holder").alias("b"))
+    links = materialize(verified(first), "first-links")
+    roots = materialize(components(links, "a", "b"), "roots")
+
+    rooted = materialize(classes.select("node", "u0", "u1").join(roots, "node", "left").select("node", "u0", "u1", F.coalesce("root", "node").alias("root")), "rooted")
+    held = filed.join(rooted.select("node", "root"), "node")
+    spread = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    asking = rooted.select("node", "root", _segment_keys(1).alias("key")).join(spread, "key").where("not (low = high and low = root)").select("node", "root", "key")
+    across = asking.join(held.select(F.col("node").alias("other"), F.col("root").alias("other_root"), "key"), "key").where("root < other_root")
+    more = materialize(verified(across.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))), "more-links")
+    if more.isEmpty():
+        return roots
+    return components(links.unionByName(more), "a", "b")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of df: key (see `row_key`), doc_id, node and root.
+
+    Texts with the same fingerprints are one class, named by a hash of them (node); root names its
+    component: classes whose sets of shingles are, by their fingerprints, of at least this Jaccard
+    similarity. A text without words has fingerprint zero and is linked like any other.
+    """
+    bounded_batches(df.sparkSession)
+
+    @F.arrow_udf(WIDE)
+    def wide(texts: pa.Array) -> pa.Array:
+        rows = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.int64).reshape(-1, 6)
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], names=["u0", "u1", "s0", "s1", "s2", "s3"])
+
+    rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
+    names = [x.split(":")[0] for x in WIDE[7:-1].split(", ")]
+    rows = materialize(rows.select("key", "doc_id", F.xxhash64(*(F.col("w")[n] for n in names)).alias("node"), "w.*"), "wide-fingerprints")
+    roots = similar_links(rows.select("node", *names).distinct(), similarity)
+    return rows.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without all but one row of each component of `found`; columns as in df.
 
-    The row with the component's smallest id stays, of several the one with the smallest key, of
-    rows that agree in id and text one.
+    found is what near_duplicates or similar_documents made of df. The row with the component's
+    smallest id stays, of several the one with the smallest key, of rows that agree in id and text one.
     """
     key = "__ketframe_key"
-    found = materialize(near_duplicates(df, id_col, text_col, shingle, max_bits), "near-duplicates")
+    found = materialize(found, "components")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.key").alias(key))
     counts = found.groupBy(F.col("key").alias(key)).agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -70,7 +71,7 @@ def test_edges(spark):
     assert by[9] == by[8] == by[7] == {(0, 7)}
     assert by[1] == by[0] and {c for _, c in by[0]} == {0}
     assert (signed(slow_fingerprint(text, 3)), 2) in by[None] and (signed(slow_fingerprint("unlike all", 3)), None) in by[None]
-    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in op.keep_one_of_each(df, shingle=3).collect())
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in op.keep_one_of_each(df, op.near_duplicates(df)).collect())
     assert kept == sorted([(2, text.lower()), (7, " \t\n"), (0, "ONE"), (5, "word " * 30_000), (-1, "unlike all")])
     assert op.near_duplicates(df.limit(0)).count() == 0
 
@@ -82,3 +83,71 @@ def test_query_against_brute_force(spark, sf):
     root = slow_components([(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], ids)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op.op3(spark, sf).collect()}
     assert got == {i: (f"{fps[i]:016x}", root[i]) for i in ids}
+
+
+def slow_similar(docs, shingle=5, similarity=0.8):
+    """Root id by id: all pairs that share a segment within one bit and are near enough in full."""
+    fps = {i: [x % 2**64 for x in op.wide_fingerprint(t, shingle)] for i, t in docs.items()}
+    segments = lambda f: [f[s // 2] >> op.SEGMENT_BITS * (s % 2) & (1 << op.SEGMENT_BITS) - 1 for s in range(op.SEGMENTS)]
+    cut = {i: np.array(segments(f), np.int64) for i, f in fps.items()}
+    ids = sorted(docs)
+    pairs = []
+    for n, a in enumerate(ids):
+        others = ids[n + 1 :]
+        near = (np.bitwise_count(np.array([cut[b] for b in others], np.int64).reshape(-1, op.SEGMENTS) ^ cut[a]) <= 1).any(1)
+        pairs += [(a, b) for b, ok in zip(others, near) if ok and sum((x ^ y).bit_count() for x, y in zip(fps[a][2:], fps[b][2:])) <= op.most_bits(similarity)]
+    return slow_components(pairs, ids)
+
+
+def mutated(rng, words, share):
+    return " ".join(w if rng.random() > share else f"new{rng.randrange(10**6)}" for w in words)
+
+
+def test_similar_documents(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        texts += [mutated(rng, words, share) for share in [0.0, 0.0, *[rng.choice([0.004, 0.01, 0.02, 0.05, 0.3]) for _ in range(25 if g == 0 else 4)]]]
+    texts += [None, "", " ", "a b", "A  b", "lone"]
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, u0 int").repartition(3)
+    got = op.similar_documents(df).collect()
+    by, want = {}, {}
+    for r in got:
+        by.setdefault(r.root, set()).add(r.doc_id)
+    for i, root in slow_similar(docs).items():
+        want.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
+
+    def jaccard(x, y):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split(), y.split()))
+        return len(a & b) / len(a | b)
+
+    root = {i: r for r, ids in by.items() for i in ids}
+    for g in range(12):  # well above the threshold together, well below it apart
+        first = 0 if g == 0 else 27 + 6 * (g - 1)
+        for i in range(first, first + (27 if g == 0 else 6)):
+            if jaccard(docs[first], docs[i]) > 0.92:
+                assert root[i] == root[first]
+    assert root[len(texts) - 6] == root[len(texts) - 5] == root[len(texts) - 4] and root[len(texts) - 3] == root[len(texts) - 2]
+    kept = op.keep_one_of_each(df, op.similar_documents(df))
+    assert {r.doc_id for r in kept.collect()} == {min(ids) for ids in by.values()} and kept.columns == df.columns
+    assert op.similar_documents(df.limit(0)).count() == 0
+
+
+def test_crowded_values_lose_no_pair(spark):
+    """Classes that share one segment, in clusters whose first holder is near none of them."""
+    rng = random.Random(9)
+    rows = []
+    for c in range(6):
+        centre = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(8):
+            s = list(centre)
+            s[rng.randrange(4)] ^= 1 << rng.randrange(64)
+            rows.append((rng.getrandbits(63), 7, rng.getrandbits(48), *map(signed, s), c))
+    df = spark.createDataFrame(rows, "node long, u0 long, u1 long, s0 long, s1 long, s2 long, s3 long, c int")
+    root = {r.node: r.root for r in op.similar_links(df.drop("c")).collect()}
+    for c in range(6):
+        nodes = [r[0] for r in rows if r[-1] == c]
+        assert {root[n] for n in nodes} == {min(nodes)}
