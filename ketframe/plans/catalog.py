@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
-from ketframe.operators import audit, generate, mmd, pairs, sampling, training
+from ketframe.operators import audit, diagnostics, generate, mmd, pairs, sampling, training
 from ketframe.sources import tables
 
 QUBITS = 6
@@ -595,6 +595,86 @@ def redrawn_corpus(spark, sf):
     return generate.redrawn_corpus(spark, regions, 4, {r: named_seed(7, f"dataset.{r}") for r in regions}).drop("state")
 
 
+# Ensembles and corpora -----------------------------------------------------------------------
+
+
+def group_diversity(spark, sf):
+    """Mean fidelity of different members of each class and split."""
+    out = diagnostics.group_diversity(states(spark, sf), ["label", "split"])
+    return out.select("label", "split", "n", C.rounded(F.col("mean_fidelity")).alias("mean_fidelity"))
+
+
+DIVERSITY_SQL = f"""WITH {STATES_SQL}, n AS (SELECT label, split, count(*) AS n FROM st GROUP BY 1, 2), p AS (SELECT a.label, a.split, avg({DOT} * {DOT}) AS f FROM st a JOIN st b ON a.label = b.label AND a.split = b.split AND a.id <> b.id GROUP BY 1, 2)
+SELECT label, split, n, {R('f')} AS mean_fidelity FROM n LEFT JOIN p USING (label, split)"""
+
+
+def outcome_mmd(spark, sf):
+    """Validation and test states as two outcomes beside the train states of each class."""
+    s = states(spark, sf).withColumn("outcome", (F.col("split") == "val").cast("int"))
+    out = diagnostics.outcome_mmd(s.where("split <> 'train'"), s.where("split = 'train'"))
+    return out.select("label", C.rounded(F.col("per_outcome")).alias("per_outcome"), C.rounded(F.col("pooled")).alias("pooled"))
+
+
+OUTCOME_SQL = f"""WITH {STATES_SQL}, x AS (SELECT label, v, 'g' || split AS k FROM st WHERE split <> 'train' UNION ALL SELECT label, v, 'p' FROM st WHERE split <> 'train' UNION ALL SELECT label, v, 't' FROM st WHERE split = 'train'),
+k AS (SELECT a.label, a.k AS x, b.k AS y, avg({DOT} * {DOT}) AS m FROM x a JOIN x b ON a.label = b.label GROUP BY 1, 2, 3),
+d AS (SELECT p.label, p.x, q.m + r.m - 2 * p.m AS d FROM k p JOIN k q ON q.label = p.label AND q.x = p.x AND q.y = p.x JOIN k r ON r.label = p.label AND r.x = 't' AND r.y = 't' WHERE p.y = 't' AND p.x <> 't')
+SELECT label, {R("avg(d) FILTER (x <> 'p')")} AS per_outcome, {R("max(d) FILTER (x = 'p')")} AS pooled FROM d GROUP BY label"""
+
+
+def signature_alignment(spark, sf):
+    """Correlation, sign agreement and conflict of the classes' mean vectors."""
+    s = states(spark, sf).select("label", F.posexplode("state").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    v = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda y: y["x"])
+    out = diagnostics.signature_alignment(s.groupBy(F.col("label").alias("task")).agg(v.alias("v")))
+    return out.select("a", "b", C.rounded(F.col("correlation")).alias("correlation"), C.rounded(F.col("sign_agreement")).alias("sign_agreement"), "conflict")
+
+
+ALIGNMENT_SQL = f"""WITH {STATES_SQL}, x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM st), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY 1, 2)
+SELECT a.label AS a, b.label AS b, {R('corr(a.x, b.x)')} AS correlation, {R('avg(CASE WHEN sign(a.x) = sign(b.x) THEN 1.0 ELSE 0.0 END)')} AS sign_agreement, sum(a.x * b.x) < 0 AS conflict FROM m a JOIN m b ON a.pos = b.pos AND a.label < b.label GROUP BY 1, 2"""
+
+
+def nearest_parameters(spark, sf):
+    """The least difference of an observable of a class between splits."""
+    out = diagnostics.nearest_parameters(_observed(spark, sf).select("label", "split", F.col("mx").alias("g")))
+    return out.select("split_a", "split_b", C.rounded(F.col("gap"), 8).alias("gap"))
+
+
+NEAREST_PARAMETERS_SQL = f"""WITH {OBSERVED_SQL} SELECT a.split AS split_a, b.split AS split_b, {R('min(abs(a.mx - b.mx))', 8)} AS gap FROM o a JOIN o b ON a.label = b.label AND a.split < b.split GROUP BY 1, 2"""
+
+
+def candidate_diagnostics(spark, sf):
+    s = _sources(spark, sf)
+    p = generate.geodesic_pool(s, "random", 0)
+    return diagnostics.candidate_diagnostics(p.select("candidate_id", "label", F.array("source_a", "source_b").alias("source_ids"), "state"), s)
+
+
+def symmetry_audit(spark, sf):
+    return diagnostics.symmetry_audit(ising_states(spark, sf), 4)
+
+
+def dataset_audit(spark, sf):
+    return diagnostics.dataset_audit(ising_states(spark, sf), 4)
+
+
+def numerical_floor(spark, sf):
+    return audit.robust_floor(diagnostics.numerical_floor(ising_states(spark, sf), 4), "label", "distance")
+
+
+def freshness(spark, sf):
+    """A corpus of other seeds against the published one."""
+    other = generate.ising_dataset(spark, ISING | {"dataset_seed": 99, "samples_per_class": 40})
+    return diagnostics.freshness(other, ising_states(spark, sf))
+
+
+def ensemble_metrics(spark, sf):
+    d = ising_states(spark, sf)
+    return diagnostics.ensemble_metrics(d.where("split = 'val'"), d.where("split = 'train'"))
+
+
+def gram_floor(spark, sf):
+    return diagnostics.gram_floor(_sources(spark, sf, 25), "1-rdm")
+
+
 _QUERIES = {
     "pair_fidelity_by_label": (pair_fidelity_by_label, PAIR_FIDELITY_SQL), "nearest_in_class": (nearest_in_class, NEAREST_SQL), "knn_edges": (knn_edges, KNN_SQL),
     "near_duplicate_states": (near_duplicate_states, NEAR_DUPLICATE_SQL), "unlike_all_others": (unlike_all_others, UNLIKE_SQL), "closest_between_splits": (closest_between_splits, CLOSEST_SQL),
@@ -611,6 +691,9 @@ _QUERIES = {
     "tangent_pool": (tangent_pool, None), "confirmatory_tangents": (confirmatory_tangents, None), "rdm_kernel_mmd": (rdm_kernel_mmd, None), "classifier_training": (classifier_training, None),
     "diffusion_training": (diffusion_training, None), "diffusion_trajectories": (diffusion_trajectories, None), "constrained_split": (constrained_split, None), "greedy_unique": (greedy_unique, None),
     "bootstrap_intervals": (bootstrap_intervals, None), "redrawn_corpus": (redrawn_corpus, None),
+    "group_diversity": (group_diversity, DIVERSITY_SQL), "outcome_mmd": (outcome_mmd, OUTCOME_SQL), "signature_alignment": (signature_alignment, ALIGNMENT_SQL), "nearest_parameters": (nearest_parameters, NEAREST_PARAMETERS_SQL),
+    "candidate_diagnostics": (candidate_diagnostics, None), "symmetry_audit": (symmetry_audit, None), "dataset_audit": (dataset_audit, None), "numerical_floor": (numerical_floor, None),
+    "freshness": (freshness, None), "ensemble_metrics": (ensemble_metrics, None), "gram_floor": (gram_floor, None),
 }
 
 
