@@ -63,6 +63,20 @@ def train_classifier(train: tuple[np.ndarray, np.ndarray], val: tuple[np.ndarray
     return {"parameters": chosen, "step": step, "history": history, "stopped_early": patience is not None and best["stale"] >= patience}
 
 
+def robust_spsa(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, updates: int, rate: float, perturbation: float, rng: np.random.Generator) -> tuple[np.ndarray, list[float]]:
+    """SPSA whose slope is the mean over classes of the median over realisations; losses(p) is (classes, realisations)."""
+    p, history = start.copy(), []
+    for step in range(updates + 1):
+        history.append(float(losses(p).mean()))
+        if step == updates:
+            break
+        delta = rng.choice((-1.0, 1.0), size=p.shape)
+        c, a = perturbation / (step + 1) ** 0.101, rate / (step + 1) ** 0.602
+        slopes = (losses(p + c * delta) - losses(p - c * delta)) / (2 * c)
+        p = p - a * np.median(slopes, axis=1).mean() * delta
+    return p, history
+
+
 RESULT = "run_id string, status string, error string, best_step int, updates int, stopped_early boolean, train_loss double, train_accuracy double, train_f1 double, val_loss double, val_accuracy double, val_f1 double, test_loss double, test_accuracy double, test_f1 double, parameters array<double>"
 
 
