@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 
+#: Fixed value: the text that published seeds are derived with.
 PREFIX = "tfim-confirmatory-v2"
 
 

@@ -19,6 +19,11 @@ from ketframe.functions.seeds import generator, hash_seed, stable_hash
 from ketframe.operators.pairs import to_matrix
 from ketframe.operators.sampling import parameter_rows
 
+#: Names that published candidates' seeds and ids are hashed with.
+TANGENT_NAME = "phase_c_local_random_tangent"
+GEODESIC_NAME = "phase_b_geometry"
+CONTROL_NAME = "distance_matched_random_tangent"
+
 STATE = "struct<re: array<double>, im: array<double>>"
 TABLE = f"parameter_id string, g double, label int, split string, pos long, state {STATE}, energy double, next_energy double, gap double, magnetization_x double, magnetization_z2 double"
 
@@ -168,7 +173,7 @@ def radii_of(states: np.ndarray) -> dict[str, float]:
     return {k: float(np.quantile(np.arccos(np.clip(c, 0, 1)), q)) for k, q in RADII.items()}
 
 
-def tangent_pool(sources: DataFrame, dataset: str, run_seed: int, radius: str = "medium", count: int = 20, namespace: str = "phase_c_local_random_tangent") -> DataFrame:
+def tangent_pool(sources: DataFrame, dataset: str, run_seed: int, radius: str = "medium", count: int = 20, namespace: str = TANGENT_NAME) -> DataFrame:
     """count states a class around its anchors in hashed order; sources: parameter_id, label, state of one frozen subset."""
     if radius not in RADII:
         raise ValueError("unknown radius")
@@ -217,7 +222,7 @@ def confirmatory_batch(sources: DataFrame, radii: dict[int, float], seed: int) -
 GEODESIC = f"candidate_id string, label int, source_a string, source_b string, pair_distance double, t double, distance_a double, distance_b double, nearest_fidelity double, norm_error double, state_hash string, position int, state {STATE}"
 
 
-def geodesic_pool(sources: DataFrame, dataset: str, run_seed: int, ts: tuple[float, ...] = (0.25, 0.5, 0.75), k: int = 3, quantile: float = 0.75, minimum: float = 0.04, tolerance: float = 1e-10, namespace: str = "phase_b_geometry") -> DataFrame:
+def geodesic_pool(sources: DataFrame, dataset: str, run_seed: int, ts: tuple[float, ...] = (0.25, 0.5, 0.75), k: int = 3, quantile: float = 0.75, minimum: float = 0.04, tolerance: float = 1e-10, namespace: str = GEODESIC_NAME) -> DataFrame:
     """Points between near train states of a class that repeat neither a source nor an earlier point, strata of t taking turns."""
 
     def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -266,11 +271,11 @@ def matched_controls(pool: DataFrame, sources: DataFrame, run_seed: int) -> Data
         known, rows = np.array([by[i] for i in sorted(by)]), []
         for p in points.sort_values("position").itertuples():
             far, anchor = min((p.distance_a, p.source_a), (p.distance_b, p.source_b))
-            parts = (run_seed, label, p.candidate_id, "distance_matched_random_tangent")
+            parts = (run_seed, label, p.candidate_id, CONTROL_NAME)
             state, _, redraw = random_tangent(by[anchor], far, (np.random.default_rng(hash_seed(*parts, i)) for i in range(100)), known)
             known = np.vstack([known, state])
             actual = float(np.arccos(min(abs(np.vdot(by[anchor], state)), 1.0)))
-            rows.append(("ctrl-" + stable_hash(p.candidate_id, "distance_matched_random_tangent")[:20], p.candidate_id, label, anchor, far, actual, abs(actual - far), redraw, linalg.state_digests(linalg.largest_pivot(state))[0], to_rows(state[None])[0]))
+            rows.append(("ctrl-" + stable_hash(p.candidate_id, CONTROL_NAME)[:20], p.candidate_id, label, anchor, far, actual, abs(actual - far), redraw, linalg.state_digests(linalg.largest_pivot(state))[0], to_rows(state[None])[0]))
         return pd.DataFrame(rows, columns=["candidate_id", "geometry_id", "label", "anchor_id", "target", "actual", "error", "redraws", "state_hash", "state"])
 
     return pool.drop("state").groupBy("label").cogroup(sources.select("label", "parameter_id", "state").groupBy("label")).applyInPandas(of, CONTROL)

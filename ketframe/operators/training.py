@@ -18,6 +18,8 @@ from ketframe.functions import circuits, linalg
 from ketframe.functions.seeds import generator
 from ketframe.operators.pairs import to_matrix
 
+#: Decay of the perturbation and of the rate.
+PERTURBATION_DECAY, RATE_DECAY = 0.101, 0.602
 #: Largest state table that is broadcast to runs, in rows.
 BROADCAST_ROWS = 200_000
 
@@ -29,7 +31,7 @@ def spsa(loss: Callable[[np.ndarray], float], start: np.ndarray, updates: int, r
         if (seen and seen(step, p)) or step == updates:
             break
         delta = rng.choice((-1.0, 1.0), size=p.shape)
-        c, a = perturbation / (step + 1) ** 0.101, rate / (step + 1) ** 0.602
+        c, a = perturbation / (step + 1) ** PERTURBATION_DECAY, rate / (step + 1) ** RATE_DECAY
         p = p - a * (loss(p + c * delta) - loss(p - c * delta)) / (2 * c) * delta
     return p
 
@@ -71,7 +73,7 @@ def robust_spsa(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, u
         if step == updates:
             break
         delta = rng.choice((-1.0, 1.0), size=p.shape)
-        c, a = perturbation / (step + 1) ** 0.101, rate / (step + 1) ** 0.602
+        c, a = perturbation / (step + 1) ** PERTURBATION_DECAY, rate / (step + 1) ** RATE_DECAY
         slopes = (losses(p + c * delta) - losses(p - c * delta)) / (2 * c)
         p = p - a * np.median(slopes, axis=1).mean() * delta
     return p, history
