@@ -37,28 +37,24 @@ RULES = {
     "long_words": ("word_chars", "n_words", 100, 10_000, 300, 1),
     "short_words": ("word_chars", "n_words", 100, 10_000, 200, -1),
 }
-#: Bits of a packed window that hold its place; a text of more words is compared in the remaining bits all the same.
-PLACE_BITS = 24
 TEMP = "__ketframe_"
 
 
 def _repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """Number of words in 3-word windows that a text has twice or more.
 
-    Windows are sorted as longs: the upper bits of the window's hash, then its place. Neighbours
-    that agree in the upper bits and in the whole hash are repeats.
+    Windows are sorted by hash and place; a neighbour with the same 64-bit hash is a repeat. Texts
+    whose windows all differ are not sorted.
     """
     w, h, p, q, d = (F.col(words), *(F.col(TEMP + x) for x in "hpqd"))
-    low = (1 << PLACE_BITS) - 1
-    top = lambda x: x.bitwiseAND(F.lit(~low))
-    at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-    none = F.array().cast("array<long>")
-    df = df.withColumn(TEMP + "h", F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    df = df.withColumn(TEMP + "h", F.when(F.size(w) >= 3, hashes).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn(TEMP + "d", F.size(F.array_distinct(h)) < F.size(h))
-    df = df.withColumn(TEMP + "p", F.when(d, F.sort_array(F.transform(h, lambda x, i: top(x).bitwiseOR(i.cast("long"))))).otherwise(none))
-    same = lambda x, y: (top(x) == top(y)) & (F.get(h, at(x)) == F.get(h, at(y)))
-    twice = lambda x, i: F.coalesce(same(x, F.get(p, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, i + 1)), F.lit(False))
-    df = df.withColumn(TEMP + "q", F.sort_array(F.transform(F.filter(p, twice), at)))
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn(TEMP + "p", F.when(d, placed).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    twice = F.filter(p, lambda x, i: same(x, F.get(p, i - 1)) | same(x, F.get(p, i + 1)))
+    df = df.withColumn(TEMP + "q", F.sort_array(F.transform(twice, lambda x: x["i"])))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     step = lambda s, x: F.struct((s["n"] + 3 - F.greatest(s["to"] - x, F.lit(0))).alias("n"), (x + 3).alias("to"))
     return df.withColumn(out, F.aggregate(q, zero, step)["n"].cast("long")).drop(*(TEMP + x for x in "hpqd"))
@@ -158,3 +154,40 @@ def op7(spark, sf_dir: str) -> DataFrame:
     rows = judge(materialize(quality_counts(docs).drop("text"), "counts"))
     q = F.col("quality")
     return rows.select("doc_id", *(q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), F.array_join(q["failed_rules"], ",").alias("failed_rules"))
+
+
+def _op7_sql() -> str:
+    """The same counts, bins, quantiles and thresholds in SQL; rules in the order of RULES."""
+    names = list(RULES)
+    bins = ", ".join(f"least({scale} * {top} // greatest({bottom}, 1), {last}) AS b_{r}" for r, (top, bottom, scale, last, *_) in RULES.items())
+    long = " UNION ALL ".join(f"SELECT r, lang, source, '{r}' AS rule, b_{r} AS bin FROM good" for r in names)
+    side = "CASE rule " + " ".join(f"WHEN '{r}' THEN " + (f"q5 + {SPREADS} * (q9 - q5) + {slack}" if s > 0 else f"q5 - {SPREADS} * (q5 - q1) - {slack}") for r, (*_, slack, s) in RULES.items()) + " END"
+    quantiles = ", ".join(f"min(bin) FILTER (10 * seen >= {t} * n) AS q{t}" for t in (1, 5, 9))
+
+    def level(name: str, by: str, least: int) -> str:
+        keys = f"{by}, " if by else ""
+        return f"""{name}_c AS (SELECT {keys}rule, bin, count(*) AS c FROM long GROUP BY {keys}rule, bin),
+{name}_s AS (SELECT {keys}rule, bin, sum(c) OVER (PARTITION BY {keys}rule ORDER BY bin) AS seen, sum(c) OVER (PARTITION BY {keys}rule) AS n FROM {name}_c),
+{name}_q AS (SELECT {keys}rule, n, {quantiles} FROM {name}_s GROUP BY {keys}rule, n),
+{name} AS (SELECT {keys}rule, {side} AS cut FROM {name}_q WHERE n >= {least})"""
+
+    fails = ", ".join(f"CASE WHEN b_{r} {'>' if s > 0 else '<'} coalesce((SELECT cut FROM fine f WHERE f.rule = '{r}' AND f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source), (SELECT cut FROM middle m WHERE m.rule = '{r}' AND m.lang IS NOT DISTINCT FROM x.lang), (SELECT cut FROM whole w WHERE w.rule = '{r}')) THEN '{r}' END" for r, (*_, s) in RULES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+three AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT r, g FROM three GROUP BY r, g HAVING count(*) > 1),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM three JOIN twice USING (r, g)) GROUP BY r),
+c AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+  CAST(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_capitals, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN hit USING (r)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {bins} FROM c),
+good AS (SELECT * FROM b WHERE NOT base_failed), long AS ({long}),
+{level("fine", "lang, source", MIN_GROUP)},
+{level("middle", "lang", MIN_GROUP)},
+{level("whole", "", 0)},
+v AS (SELECT *, concat_ws(',', {fails}) AS failed_rules FROM b x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+"""
+
+
+OP7_SQL = _op7_sql()

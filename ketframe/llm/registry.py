@@ -23,5 +23,5 @@ def queries():
 
 
 def oracle_sql():
-    own = {"op6_chat": chat.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    own = {"op5_substrings": substrings.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -77,3 +77,10 @@ def test_query(spark, sf):
 
 def test_empty_table(spark):
     assert op.quality_rules(spark.createDataFrame([], "lang string, source string, text string")).count() == 0
+
+
+def test_query_against_sql(spark):
+    from tests.llm.duck import same_rows
+
+    sf = "/root/testdata/sf0.01"
+    same_rows(op.op7(spark, sf), op.OP7_SQL, sf)
