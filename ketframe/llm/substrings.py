@@ -48,6 +48,8 @@ PREFIX = 8
 GROUP_SEGMENTS = 20_000
 #: Most prefixes that are lengthened; 8 bytes each.
 MOST_LONG = 1_000_000
+#: Windows of lengthened prefixes that are broadcast at once, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_WINDOWS = 200_000
 #: Words worked on at a time.
 BLOCK_WORDS = 1_000_000
 #: Buckets to a shuffle partition; a task holds one bucket at a time.
@@ -361,8 +363,8 @@ def _long_spans(rows: DataFrame, long, length: int, prefix: int) -> DataFrame:
                 ], names=["window", "key", "at", "copies"])
 
     rows = materialize(rows.mapInArrow(windows, "window binary, key binary, at int, copies long"), "long-prefixes")
-    often = rows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    hit = rows.join(often, "window").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    often = materialize(rows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window"), "often")
+    hit = rows.join(F.broadcast(often) if often.count() <= BROADCAST_WINDOWS else often, "window").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
     @F.arrow_udf("binary")
     def spans(starts: pa.Array) -> pa.Array:
@@ -438,3 +440,15 @@ def op5(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     done = dedup_texts(docs).select("key", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
     return docs.select("doc_id", text_digest(F.col("text")).alias("key")).join(done, "key").select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS a FROM d WHERE len(w) >= 35),
+k AS (SELECT r, a, md5(array_to_string(list_slice(w, a, a + 34), ' ')) AS h FROM p),
+often AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(a, a + 34)) AS i FROM k JOIN often USING (h)),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

@@ -57,3 +57,10 @@ def test_query_against_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert op.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_against_sql(spark):
+    from tests.llm.duck import same_rows
+
+    sf = "/root/testdata/sf0.01"
+    same_rows(op.op5(spark, sf), op.OP5_SQL, sf)
