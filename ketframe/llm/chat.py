@@ -51,18 +51,22 @@ def _rolling():
 
 def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("k", F.when(F.col("conv").isNull(), F.lit("-")).otherwise(F.concat(F.lit("i"), F.col("conv").cast("string"))))
     return rows.withColumn("digest", F.md5(F.concat(_told(F.col("role")), _told(F.col("text"))).cast("binary")))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(conv, n, copies) of conversations that are no prefix of another; copies counts the equal ones. turns: conv, turn, digest."""
-    convs = turns.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "digest"))).alias("t"))
-    convs = materialize(convs.select("conv", F.size("t").alias("n"), _rolling()(F.transform("t", lambda x: x["digest"])).alias("rolling")), "prefixes")
+    """(k, n, copies) of conversations that are no prefix of another; copies counts the equal ones. turns: k, conv, turn, digest.
+
+    k is the id as text that is never null, so that one shuffle by it serves the join and the grouping.
+    """
+    convs = turns.groupBy("k").agg(F.max("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("turn", "digest"))).alias("t"))
+    convs = materialize(convs.select("k", "conv", F.size("t").alias("n"), _rolling()(F.transform("t", lambda x: x["digest"])).alias("rolling")), "prefixes")
     inner = convs.where("n > 1").select(F.explode(F.slice("rolling", F.lit(1), F.col("n") - 1)).alias("whole")).distinct()
-    whole = convs.select("conv", "n", F.element_at("rolling", -1).alias("whole"))
-    first = F.min(F.struct(F.col("conv").isNull().alias("last"), "conv", "n")).alias("first")
+    whole = convs.select("k", "conv", "n", F.element_at("rolling", -1).alias("whole"))
+    first = F.min(F.struct(F.col("conv").isNull().alias("last"), "conv", "k", "n")).alias("first")
     equal = whole.groupBy("whole").agg(first, F.count("*").alias("copies"))
-    return equal.join(inner, "whole", "left_anti").select("first.conv", "first.n", "copies")
+    return equal.join(inner, "whole", "left_anti").select("first.k", "first.n", "copies")
 
 
 def render(turns: Column) -> Column:
@@ -75,9 +79,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     """(conv_col, n_turns, n_copies, out_col): maximal conversations, rendered."""
     bounded_batches(df.sparkSession)
     turns = _turns(df, conv_col, turn_col, role_col, text_col)
-    kept = maximal_conversations(turns.select("conv", "turn", "digest")).select(F.col("conv").alias("id"), "n", "copies")
-    rows = turns.join(kept, turns["conv"].eqNullSafe(F.col("id")))
-    out = rows.groupBy("conv").agg(F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("turn", "digest", "role", "text"))).alias("t"))
+    kept = maximal_conversations(turns.select("k", "conv", "turn", "digest"))
+    out = turns.join(kept, "k").groupBy("k").agg(F.max("conv").alias("conv"), F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("turn", "digest", "role", "text"))).alias("t"))
     return out.select(F.col("conv").alias(conv_col), "n_turns", "n_copies", render(F.col("t")).alias(out_col))
 
 
