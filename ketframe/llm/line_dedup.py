@@ -12,9 +12,9 @@ between is aligned in the same way. Runs of aligned lines (blocks) that have a l
 characters are deleted from the later document. Everything is judged on the input, so a line
 always stays in the first document that has it.
 
-Hash arrays (12 bytes a line) are shuffled for the alignment and the text once for the cut. A
-document that very many others lead to is one row of a join, whose other side is split if skewed;
-its lines are not copied into the shuffle.
+Hash arrays (12 bytes a line) are shuffled for the alignment and the text once for the cut. Both
+sides of each join are written tables, not aggregates, so that a line that very many documents share,
+and a document that they all lead to, are split; its lines are not copied into the shuffle.
 
 Defined cases: a null text has no lines and stays null; a text of which all is deleted becomes the
 empty text; rows that agree in id and text are one document and get the same cut; the text column
@@ -125,9 +125,11 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(df.sparkSession)
     rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), _lines(min_chars)(F.col(text_col)).alias("l"))
     rows = materialize(rows.select("key", F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("place"), "l.*"), "lines")
-    once = rows.dropDuplicates(["key"])
+    repeated = not rows.groupBy("key").count().where("count > 1").isEmpty()
+    once = materialize(rows.dropDuplicates(["key"]), "lines-once") if repeated else rows
     held = once.select("key", "place", F.explode("rare").alias("hash"))
     first = held.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", F.col("first.key").alias("earlier"))
+    first = materialize(first, "first-holders")
     pairs = materialize(held.select("key", "hash").join(first, "hash").where("key <> earlier").select("key", "earlier").distinct(), "pairs")
     later = pairs.join(once.select("key", "hashes", "sizes"), "key")
     both = later.join(once.select(F.col("key").alias("earlier"), F.col("hashes").alias("before")), "earlier")
