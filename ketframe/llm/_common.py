@@ -36,11 +36,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: short lineage that survives lost executors."""
+def materialize(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it back: short lineage that survives lost executors.
+
+    packed: rows much narrower than those they were made from are dealt out anew, so that the files
+    are few and of the size adaptive execution aims at, not a small one for each split of the input.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if packed else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -113,7 +113,7 @@ def match_windows(docs: DataFrame, items: DataFrame, *, doc_text: str = "text",
             told = F.lit(False)
         found = found.select("key", F.when(told, F.size("w")).alias("n_words"), F.when(~told, start).alias("start"), F.when(~told, F.size("words")).alias("length"), F.when(~told, F.col("items")).alias("items"))
         rows = found if rows is None else rows.unionByName(found)
-    rows = materialize(rows, "matches")
+    rows = materialize(rows, "matches", packed=True)
     texts = rows.where("n_words is not null").select("key", F.col("n_words").cast("long").alias("n_words"))
     return texts, rows.where("start is not null").select("key", "start", "length", "items")
 

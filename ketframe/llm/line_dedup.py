@@ -124,7 +124,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(key, lines): by `row_key`, the sorted 0-based lines to delete, of documents that have some."""
     bounded_batches(df.sparkSession)
     rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), _lines(min_chars)(F.col(text_col)).alias("l"))
-    rows = materialize(rows.select("key", F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("place"), "l.*"), "lines")
+    rows = materialize(rows.select("key", F.struct(F.col("id").isNull().alias("last"), "id", "key").alias("place"), "l.*"), "lines", packed=True)
     repeated = not rows.groupBy("key").count().where("count > 1").isEmpty()
     once = materialize(rows.dropDuplicates(["key"]), "lines-once") if repeated else rows
     held = once.select("key", "place", F.explode("rare").alias("hash"))

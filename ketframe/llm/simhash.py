@@ -131,7 +131,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component's id is null only where no member has one. Repeated rows are rows of one fingerprint.
     """
     rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(simhash(rows, "text", "fp", shingle).drop("text"), "fingerprints")
+    rows = materialize(simhash(rows, "text", "fp", shingle).drop("text"), "fingerprints", packed=True)
     links = materialize(hamming_links(rows, max_bits), "hamming-links")
     roots = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
@@ -145,18 +145,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Segments of the candidate fingerprint and their bits; two segments to a long.
 SEGMENTS, SEGMENT_BITS = 4, 24
-#: Bits of the comparison fingerprint: four longs.
-WIDE_BITS = 256
+#: Longs of the comparison fingerprint, and its bits.
+WIDE_LONGS = 8
+WIDE_BITS = BITS * WIDE_LONGS
 SIMILARITY = 0.8
-WIDE = "struct<u0: long, u1: long, s0: long, s1: long, s2: long, s3: long>"
+#: Standard deviations of the distance that are allowed for, so that pairs at the threshold are caught.
+MARGIN = 1.0
+WIDE_NAMES = ["u0", "u1", *(f"s{k}" for k in range(WIDE_LONGS))]
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of WIDE_BITS at which SimHash estimates two sets to have this Jaccard similarity.
+    """Differing bits of WIDE_BITS up to which two sets are taken to have this Jaccard similarity.
 
     Sets of equal size with Jaccard J have cosine 2J / (1 + J); a bit differs with the share angle / pi.
+    Their mean number is exceeded by MARGIN standard deviations.
     """
-    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE_BITS * share + MARGIN * np.sqrt(WIDE_BITS * share * (1 - share)))
 
 
 def _set_bits(items: set[bytes], longs: int) -> np.ndarray:
@@ -178,12 +183,12 @@ def _set_bits(items: set[bytes], longs: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """Two longs over the set of words, for candidates, and four over the set of shingles, for comparison."""
+    """Two longs over the set of words, for candidates, and WIDE_LONGS over the set of shingles, for comparison."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * 6
+        return [0] * len(WIDE_NAMES)
     parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
-    return [*_set_bits(set(words), 2).tolist(), *_set_bits(parts, 4).tolist()]
+    return [*_set_bits(set(words), 2).tolist(), *_set_bits(parts, WIDE_LONGS).tolist()]
 
 
 def _segment_keys(radius: int) -> Column:
@@ -199,36 +204,38 @@ def _segment_keys(radius: int) -> Column:
 
 
 def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of all classes that links reach from another; classes: node, u0, u1, s0 to s3.
+    """(node, root) of all classes that links reach from another; classes: node and WIDE_NAMES.
 
     Each class files its word fingerprint under each of its segments and asks for all values within
     one bit of each; what is found is verified by the distance of the shingle fingerprints. A value
     that very many classes share must not meet itself pair by pair. So first every asker is compared
     with one holder of each value only, and components are formed. Then a value is followed in full
-    only by askers of another component than all its holders', and only pairs of two components are
-    made. That loses no pair: pairs that are left out are in one component already.
+    only by askers of a lower component than a holder's (the holder asks for the asker's value too, so
+    each pair has one such asker), and the join yields only pairs of two components that are near. That loses no pair: pairs that are left out are in one component already.
     """
     classes = materialize(classes, "classes")
     most = most_bits(similarity)
     filed = materialize(classes.select("node", _segment_keys(0).alias("key")), "filed")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("node").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(4)))
-        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        return both.where(sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(4)) <= most).select("a", "b")
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("node").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(WIDE_LONGS)))
+
+    near = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most
 
     asked = classes.select("node", _segment_keys(1).alias("key"))
     holder = filed.groupBy("key").agg(F.min("node").alias("holder"))
     first = asked.join(holder, "key").where("node <> holder").select(F.greatest("node", "holder").alias("a"), F.least("node", "holder").alias("b"))
-    links = materialize(verified(first), "first-links")
+    links = materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     rooted = materialize(classes.select("node", "u0", "u1").join(roots, "node", "left").select("node", "u0", "u1", F.coalesce("root", "node").alias("root")), "rooted")
     held = filed.join(rooted.select("node", "root"), "node")
-    spread = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    asking = rooted.select("node", "root", _segment_keys(1).alias("key")).join(spread, "key").where("not (low = high and low = root)").select("node", "root", "key")
-    across = asking.join(held.select(F.col("node").alias("other"), F.col("root").alias("other_root"), "key"), "key").where("root < other_root")
-    more = materialize(verified(across.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))), "more-links")
+    spread = held.groupBy("key").agg(F.max("root").alias("high"))
+    asking = rooted.select("node", "root", _segment_keys(1).alias("key")).join(spread, "key").where("root < high")
+    asking = asking.select(F.col("node").alias("a"), F.col("root").alias("a_root"), "key").join(side("a"), "a")
+    holding = held.select(F.col("node").alias("b"), F.col("root").alias("b_root"), "key").join(side("b"), "b")
+    across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near)  # all of it within the join
+    more = materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more), "a", "b")
@@ -243,15 +250,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(df.sparkSession)
 
-    @F.arrow_udf(WIDE)
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: long" for n in WIDE_NAMES) + ">")
     def wide(texts: pa.Array) -> pa.Array:
-        rows = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.int64).reshape(-1, 6)
-        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], names=["u0", "u1", "s0", "s1", "s2", "s3"])
+        rows = np.array([wide_fingerprint(t.as_py(), shingle) for t in texts], np.int64).reshape(-1, len(WIDE_NAMES))
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], names=WIDE_NAMES)
 
     rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
-    names = [x.split(":")[0] for x in WIDE[7:-1].split(", ")]
-    rows = materialize(rows.select("key", "doc_id", F.xxhash64(*(F.col("w")[n] for n in names)).alias("node"), "w.*"), "wide-fingerprints")
-    roots = similar_links(rows.select("node", *names).distinct(), similarity)
+    rows = materialize(rows.select("key", "doc_id", F.xxhash64(*(F.col("w")[n] for n in WIDE_NAMES)).alias("node"), "w.*"), "wide-fingerprints", packed=True)
+    roots = similar_links(rows.select("node", *WIDE_NAMES).distinct(), similarity)
     return rows.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -141,12 +141,12 @@ def test_crowded_values_lose_no_pair(spark):
     rng = random.Random(9)
     rows = []
     for c in range(6):
-        centre = [rng.getrandbits(64) for _ in range(4)]
+        centre = [rng.getrandbits(64) for _ in range(op.WIDE_LONGS)]
         for _ in range(8):
             s = list(centre)
-            s[rng.randrange(4)] ^= 1 << rng.randrange(64)
+            s[rng.randrange(op.WIDE_LONGS)] ^= 1 << rng.randrange(64)
             rows.append((rng.getrandbits(63), 7, rng.getrandbits(48), *map(signed, s), c))
-    df = spark.createDataFrame(rows, "node long, u0 long, u1 long, s0 long, s1 long, s2 long, s3 long, c int")
+    df = spark.createDataFrame(rows, "node long, " + "".join(f"{n} long, " for n in op.WIDE_NAMES) + "c int")
     root = {r.node: r.root for r in op.similar_links(df.drop("c")).collect()}
     for c in range(6):
         nodes = [r[0] for r in rows if r[-1] == c]
