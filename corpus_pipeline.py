@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.keep_one_of_each(docs, simhash.similar_documents(docs))
+    return simhash.keep_one_of_each(docs, simhash.similar_documents(docs, banded=True))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from ketframe.llm import simhash as op
 from ketframe.llm.components import components
 
@@ -151,3 +152,28 @@ def test_crowded_values_lose_no_pair(spark):
     for c in range(6):
         nodes = [r[0] for r in rows if r[-1] == c]
         assert {root[n] for n in nodes} == {min(nodes)}
+
+
+def test_added_and_cut_passages_against_brute_force(spark, monkeypatch):
+    """Pairs by exact Jaccard: a passage appended, put in, or cut out; and words replaced."""
+    rng = random.Random(10)
+    zipf = [1 / (i + 1) for i in range(20_000)]
+    draw = lambda n: [f"w{x}" for x in rng.choices(range(20_000), zipf, k=n)]
+    texts = []
+    for g in range(160):
+        base = draw(rng.randrange(80, 500))
+        n, at = len(base) // rng.randrange(7, 14), rng.randrange(10, len(base) // 2)
+        other = [base + draw(n), base[:at] + draw(n) + base[at:], base[:at] + base[at + n :], mutated(rng, base, 0.015).split()][g % 4]
+        texts += [" ".join(base), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    called = []
+    monkeypatch.setattr(op, "similar_documents", lambda *a, f=op.similar_documents, **k: called.append(f(*a, **k)) or called[0])
+    corpus_pipeline.near_duplicates(spark, df, "")  # the stage as the pipeline asks for it
+    root = {r.doc_id: r.root for r in called[0].collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85]
+    assert len(pairs) > 100
+    lost = [(a, b) for a, b in pairs if root[a] != root[b]]
+    assert len(lost) <= 0.01 * len(pairs), f"{len(lost)} of {len(pairs)} lost"
+    apart = [(a, b) for a in range(len(sets)) for b in range(a) if root[a] == root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.7]
+    assert not apart
