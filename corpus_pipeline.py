@@ -14,8 +14,8 @@ from ketframe.llm._common import documents, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.drop_rejected(docs)
+    """Documents that the quality rules keep, with limits that a junk source cannot raise."""
+    return quality_rules.drop_rejected(docs, bounded=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ under MIN_GROUP rows take their language's threshold, small languages that of al
 fail the base rules are not in the sketches. Thresholds are joined to the rows by broadcast up to
 BROADCAST_GROUPS groups, by a shuffled join beyond.
 
+A junk tenth of a group moves its ninth decile and with it the limit. Where `bounded` is asked for, a
+limit is at most (a lower one at least) the largest (smallest) of the bounds of the group, its language
+and all rows: median plus BOUND_SPREADS times the distance from the first quartile to the median plus the
+slack, which a junk third moves little. op7 and its SQL are not bounded; the pipeline is.
+
 Defined cases: null is the empty text, which fails the base rules; null language or source is a
 group of its own; repeated rows count each; the struct column replaces an input column of its name.
 """
@@ -26,6 +31,8 @@ from ketframe.llm._common import SPACE, documents, materialize
 MIN_WORDS = 50
 MIN_GROUP = 100
 SPREADS = 3
+#: Distances from the median to the quartile on the clean side; of a normal distribution, about SPREADS to the decile.
+BOUND_SPREADS = 6
 BROADCAST_GROUPS = 500_000
 SYMBOLS = "#*$%&|<>"
 #: Rule -> (numerator, denominator, bins to one, last bin, slack in bins, side).
@@ -90,7 +97,7 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str) -> DataFrame:
+def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str, bounded: bool = False) -> DataFrame:
     """(lang, source, rule thresholds): one row per group, merged from the rows' partial sketches."""
     q = F.col(quality_col)
     bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(q, r).alias("bin")) for r in RULES)))
@@ -101,17 +108,18 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str
         merged = sketch.groupBy(*level, "rule", "bin").agg(F.sum("n").alias("n"))
         group = merged.groupBy(*level, "rule").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
 
-        def quantile(tenths: int) -> Column:
-            """The lowest bin at or below which so many tenths of the rows are."""
+        def quantile(share: int, of: int = 10) -> Column:
+            """The lowest bin at or below which so many tenths (or other parts) of the rows are."""
             start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
-            step = lambda s, b: F.struct((s["seen"] + b["n"]).alias("seen"), F.when(s["bin"].isNotNull(), s["bin"]).when(10 * (s["seen"] + b["n"]) >= tenths * F.col("rows"), b["bin"]).alias("bin"))
+            step = lambda s, b: F.struct((s["seen"] + b["n"]).alias("seen"), F.when(s["bin"].isNotNull(), s["bin"]).when(of * (s["seen"] + b["n"]) >= share * F.col("rows"), b["bin"]).alias("bin"))
             return F.aggregate("bins", start, step)["bin"]
 
-        cut = group.select(*level, "rule", "rows", quantile(1).alias("q1"), quantile(5).alias("q5"), quantile(9).alias("q9"))
-        limit = F.lit(None).cast("long")
+        cut = group.select(*level, "rule", "rows", quantile(1).alias("q1"), quantile(5).alias("q5"), quantile(9).alias("q9"), quantile(1, 4).alias("low"), quantile(3, 4).alias("high"))
+        limit = bound = F.lit(None).cast("long")
         for rule, (*_, slack, side) in RULES.items():
             limit = F.when(F.col("rule") == rule, F.col("q5") + SPREADS * (F.col("q9") - F.col("q5")) + slack if side > 0 else F.col("q5") - SPREADS * (F.col("q5") - F.col("q1")) - slack).otherwise(limit)
-        return cut.where(F.col("rows") >= (MIN_GROUP if level else 0)).groupBy(*level).agg(F.map_from_entries(F.collect_list(F.struct("rule", limit.alias("limit")))).alias(name))
+            bound = F.when(F.col("rule") == rule, F.col("q5") + BOUND_SPREADS * (F.col("q5") - F.col("low")) + slack if side > 0 else F.col("q5") - BOUND_SPREADS * (F.col("high") - F.col("q5")) - slack).otherwise(bound)
+        return cut.where(F.col("rows") >= (MIN_GROUP if level else 0)).groupBy(*level).agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct(limit.alias("limit"), bound.alias("bound"))))).alias(name))
 
     groups = sketch.select("lang", "source").distinct()
     fine, middle, all_rows = of(["lang", "source"], "fine"), of(["lang"], "middle"), of([], "whole")
@@ -119,12 +127,19 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str
     out = groups.join(fine, same(groups, fine, "lang", "source"), "left").select(groups["lang"], groups["source"], "fine")
     out = out.join(middle, same(out, middle, "lang"), "left").select(out["lang"], "source", "fine", "middle")
     whole = out.join(F.broadcast(all_rows), F.lit(True), "left")  # one row
-    return whole.select("lang", "source", *(F.coalesce(F.col("fine")[r], F.col("middle")[r], F.col("whole")[r]).alias(r) for r in RULES))
+    levels = ("fine", "middle", "whole")
+
+    def of_rule(rule: str, side: int) -> Column:
+        limit = F.coalesce(*(F.col(x)[rule]["limit"] for x in levels))
+        bounds = [F.col(x)[rule]["bound"] for x in levels]
+        return limit if not bounded else F.least(limit, F.greatest(*bounds)) if side > 0 else F.greatest(limit, F.least(*bounds))
+
+    return whole.select("lang", "source", *(of_rule(r, side).alias(r) for r, (*_, side) in RULES.items()))
 
 
-def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", quality_col: str = "quality") -> DataFrame:
+def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", quality_col: str = "quality", bounded: bool = False) -> DataFrame:
     """Add base_failed, failed_rules and kept to the struct of counts. rows should be cheap to read twice."""
-    limits = materialize(thresholds(rows, lang_col, source_col, quality_col), "thresholds")
+    limits = materialize(thresholds(rows, lang_col, source_col, quality_col, bounded), "thresholds")
     small = limits.count() <= BROADCAST_GROUPS
     limits = limits.select(F.struct("*").alias(TEMP + "limits"), F.col("lang").alias(TEMP + "lang"), F.col("source").alias(TEMP + "source"))
     on = F.col(lang_col).eqNullSafe(F.col(TEMP + "lang")) & F.col(source_col).eqNullSafe(F.col(TEMP + "source"))
@@ -137,9 +152,9 @@ def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", q
     return out.withColumn(quality_col, full).drop(TEMP + "limits", TEMP + "lang", TEMP + "source")
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "quality") -> DataFrame:
+def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "quality", bounded: bool = False) -> DataFrame:
     """df with a struct of counts and verdict: n_words, ..., base_failed, failed_rules, kept."""
-    return judge(materialize(quality_counts(df, text_col, out_col), "counted"), lang_col, source_col, out_col)
+    return judge(materialize(quality_counts(df, text_col, out_col), "counted"), lang_col, source_col, out_col, bounded)
 
 
 def drop_rejected(df: DataFrame, **options) -> DataFrame:

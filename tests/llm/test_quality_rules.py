@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
+import corpus_pipeline
 from ketframe.llm import quality_rules as op
 
 
@@ -84,3 +87,19 @@ def test_query_against_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     same_rows(op.op7(spark, sf), op.OP7_SQL, sf)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.15, 0.33])
+def test_a_junk_source_keeps_no_junk_in_the_pipeline(spark, share):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for source in ("clean", "hot"):
+        for i in range(300):
+            junk = source == "hot" and i < 300 * share
+            text = " ".join(word() + ("#$%&" * rng.randrange(1, 3) if junk else "&" * (rng.random() < 0.02)) for _ in range(80))
+            rows.append(("en", source, f"{text} {i}", junk))
+    df = spark.createDataFrame(rows, "lang string, source string, text string, junk boolean")
+    kept = corpus_pipeline.quality(spark, df, "").collect()
+    assert not [r for r in kept if r.junk]
+    assert len(kept) == sum(not r[3] for r in rows)
