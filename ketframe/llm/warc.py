@@ -34,8 +34,12 @@ DATE = "1970-01-01T00:00:00Z"
 RECORD = "struct<record_id: string, type: string, refers_to: string, uri: string, date: string, headers: map<string, string>, block: string>"
 TEMP = "__ketframe_"
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+_HIDDEN = re.compile(rf"<!--|<(script|style|noscript|template|svg|head)(?![\w-])({_ATTRS})>", re.I)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "title")} | {"!": re.compile("-->")}
+#: What a head holds without ending: white space, comments, its own elements and stray end tags.
+_HEAD_PART = re.compile(rf"\s+|<!--|<(script|style|noscript|template|title)(?![\w-]){_ATTRS}>|<(?:base|basefont|bgsound|link|meta|html|head)(?![\w-]){_ATTRS}>|</(?!(?:head|body|html|br)\b)[a-z]{_ATTRS}>|<[!?]{_ATTRS}>", re.I)
+_HEAD_END = re.compile(r"</head\s*>", re.I)
 _BLOCK = re.compile(rf"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul|body|html)\b{_ATTRS}>", re.I)
 _TAG = re.compile(rf"</?[a-z!?]{_ATTRS}>", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
@@ -74,9 +78,40 @@ def decode_payload(payload: bytes, headers: list[tuple[str, str]]) -> tuple[str,
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
+def _visible(page: str) -> str:
+    """The page without comments, scripts, styles and other elements that are not shown.
+
+    A head ends at </head> or, where that is left out, at the first thing that a head cannot hold (a body,
+    a flow element, text). Unclosed comments, scripts and styles run to the end of the page; of other
+    unclosed elements only the tag goes.
+    """
+    out, at, missing = [], 0, set()
+
+    def end_of(tag: str, start: int) -> int:
+        """Where the element with its tag before start ends."""
+        if tag not in missing:
+            if m := _CLOSE[tag].search(page, start):
+                return m.end()
+            missing.add(tag)
+        return len(page) if tag in ("!", "script", "style") else start
+
+    while m := _HIDDEN.search(page, at):
+        out += [page[at : m.start()], "\n"]
+        at, tag = m.end(), (m[1] or "!").lower()
+        if tag == "head":
+            while part := _HEAD_PART.match(page, at):
+                comment = part[0] == "<!--"
+                at = end_of("!" if comment else part[1].lower(), part.end()) if comment or part[1] else part.end()
+            if end := _HEAD_END.match(page, at):
+                at = end.end()
+        elif tag != "svg" or not m[2].endswith("/"):
+            at = end_of(tag, at)
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page, a line for each block that has some."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("\n", page)))
+    page = _TAG.sub("", _BLOCK.sub("\n", _visible(page)))
     lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 

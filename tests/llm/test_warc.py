@@ -72,3 +72,18 @@ def test_files_round_trip(spark, sf, tmp_path):
     for r in records.collect():
         b = back[r.record_id]
         assert (b.type, b.refers_to, b.uri, b.date, bytes(b.block), b.headers) == (r.type, r.refers_to, r.uri, r.date, r.block.encode(), r.headers)
+
+
+def test_left_out_and_missing_end_tags():
+    text = op.plain_text
+    assert text("<html><head><title>T</title><meta charset=utf-8><body><p>one<p>two") == "one\ntwo"
+    assert text("<head><title>T</title><script>x='<p>no'</script><!-- <p>no --><style>p{}</style><p>one</p>") == "one"
+    assert text("<head><title>T</title>text at once<p>one") == "text at once\none"
+    assert text("<head><title>T</title></head><body><header>top</header>one") == "top\none"
+    for tag in ("svg", "noscript", "template"):
+        assert text(f"<p>a</p><{tag}><p>b</p>") == "a\nb"
+        assert text(f"<p>a</p><{tag}>no</{tag}><p>b</p><{tag}>c") == "a\nb\nc"
+    assert text("<p>a</p><svg width=1 /><p>b</p><svg>no</svg>") == "a\nb"
+    for tag in ("<script>", "<style>", "<!--"):
+        assert text(f"<p>a</p>{tag}<p>b</p>") == "a"
+    assert text("<svg>x" * 40_000) == "\n".join("x" * 40_000)
