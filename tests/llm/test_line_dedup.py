@@ -1,22 +1,87 @@
 import hashlib
 import random
-from collections import Counter
 
 import pytest
 
 from ketframe.llm import line_dedup as op
 
 
-def longest_rise(values):
-    best = [1] * len(values)
-    for i in range(len(values)):
-        best[i] = 1 + max([best[j] for j in range(i) if values[j] < values[i]], default=0)
-    return max(best, default=0)
+def textbook(a, b):
+    """Patience diff from its description, sharing no code with the operator: quadratic, recursive."""
 
+    def numbered(items):
+        return [(x, items[:i].count(x)) for i, x in enumerate(items)]
 
-def test_patience_properties():
+    def chain(pairs):
+        """The longest chain rising in both; of several the one that ends earliest in a, and so on backwards."""
+        best = []
+        for k, (i, _) in enumerate(pairs):
+            best.append(1 + max((best[m] for m in range(k) if pairs[m][0] < i), default=0))
+        out, k, need = [], len(pairs), max(best, default=0)
+        while need:
+            k = min((m for m in range(k) if best[m] == need), key=lambda m: pairs[m][0])
+            out.insert(0, pairs[k])
+            need -= 1
+        return out
+
+    def align(a, b, i, j):
+        if not a or not b:
+            return []
+        if a[0] == b[0]:
+            return [(i, j), *align(a[1:], b[1:], i + 1, j + 1)]
+        if a[-1] == b[-1]:
+            return [*align(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+        for x, y in ((a, b), (numbered(a), numbered(b))):
+            anchors = chain([(x.index(v), k) for k, v in enumerate(y) if x.count(v) == 1 and y.count(v) == 1])
+            if anchors:
+                break
+        else:
+            return []
+        out, p, q = [], 0, 0
+        for u, v in [*anchors, (len(a), len(b))]:
+            out += align(a[p:u], b[q:v], i + p, j + q) + ([(i + u, j + v)] if u < len(a) else [])
+            p, q = u + 1, v + 1
+        return out
+
+    return align(list(a), list(b), 0, 0)
+
+
+def deleted(before, lines, least):
+    """Lines with characters that one earlier document deletes."""
+    pairs = set(textbook(before, lines))
+    out = set()
+    for i, j in pairs:
+        if (i - 1, j - 1) not in pairs:
+            run = [j]
+            while (i + len(run), j + len(run)) in pairs:
+                run.append(j + len(run))
+            if sum(len(lines[k]) for k in run) >= least:
+                out |= set(run)
+    return out
+
+
+def brute(docs, least):
+    """docs: (id, text) rows; the lines to delete of each different row, by alignment with every earlier row."""
+    order = lambda d: (d[0] is None, d[0] or 0, hashlib.md5((("-" if d[0] is None else f"i{d[0]}") + "\x1f" + ("-" if d[1] is None else "t" + d[1])).encode()).digest())
+    rows = sorted(set(docs), key=order)
+    full = {d: [x for x in (d[1] or "").split("\n") if x] for d in rows}
+    out = {}
+    for n, d in enumerate(rows):
+        gone = set()
+        for e in rows[:n]:
+            if not set(full[e]).isdisjoint(full[d]):
+                gone |= deleted(full[e], full[d], least)
+        owner, number = [], -1
+        for x in (d[1] or "").split("\n"):
+            number += x != ""
+            owner.append(max(number, 0))
+        out[d] = [k for k, o in enumerate(owner) if o in gone]
+    return out
+
+
+def test_patience_is_the_textbooks():
     rng = random.Random(2)
-    for _ in range(400):
+    for _ in range(600):
         a = [rng.randrange(rng.choice([4, 30])) for _ in range(rng.randrange(20))]
         b = list(a)
         for _ in range(rng.randrange(6)):
@@ -28,24 +93,57 @@ def test_patience_properties():
         got = op.patience(a, b)
         assert all(a[i] == b[j] for i, j in got)
         assert all(x < y and u < v for (x, u), (y, v) in zip(got, got[1:]))
-        if len(set(a)) == len(a) and len(set(b)) == len(b):  # all unique: a longest common subsequence
-            at = {x: i for i, x in enumerate(a)}
-            assert len(got) == longest_rise([at[x] for x in b if x in at])
+        assert got == textbook(a, b)
     assert op.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
-    assert op._longest_rise([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
 
 
-def brute(docs, least):
-    """docs: (id, text) rows; the lines to delete of each different row, from all earlier first holders."""
-    order = lambda d: (d[0] is None, d[0] or 0, hashlib.md5((("-" if d[0] is None else f"i{d[0]}") + "\x1f" + ("-" if d[1] is None else "t" + d[1])).encode()).digest())
-    rows = sorted(set(docs), key=order)
-    lines = {d: [] if d[1] is None else d[1].split("\n") for d in rows}
-    rare = {d: {x for x, n in Counter(lines[d]).items() if n == 1 and len(x) >= least} for d in rows}
-    out = {}
-    for d in rows:
-        firsts = {next(e for e in rows if x in rare[e]) for x in rare[d]} - {d}
-        out[d] = sorted({j for e in firsts for j in op.common_blocks(lines[e], lines[d], list(map(len, lines[d])), least)})
-    return out
+def test_leads_cover_blocks():
+    """Every run of enough characters is wholly under leads of its own."""
+    import numpy as np
+
+    rng = random.Random(5)
+    for least in (1, 7, 20):
+        sizes = np.array([rng.choice([1, 2, 9, 30]) for _ in range(25)], np.int32)
+        first, end = op.lead_spans(sizes, least)
+        for a in range(25):
+            for b in range(a + 1, 26):
+                inside = [(f, e) for f, e in zip(first, end) if a <= f and e <= b]
+                covered = {k for f, e in inside for k in range(f, e)}
+                assert covered == (set(range(a, b)) if sizes[a:b].sum() >= least else set())
+        hashes = np.arange(25, dtype=np.int64)
+        assert len(set(op.lead_hashes(hashes, first, end).tolist())) == len(first)
+    assert not len(op.lead_spans(np.zeros(0, np.int32), 5)[0])
+
+
+A, B, X, L = "first line of the passage", "second line of the passage", "another one with its length", "and the last of all of them"
+
+
+def removed(spark, docs, **options):
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    return {r.doc_id: r.removed for r in op.dedup_lines(df, removed_col="removed", **options).collect()}
+
+
+def test_repeated_lines_of_copies(spark):
+    twice = f"{A}\n{B}\n{A}\n{B}"
+    assert removed(spark, [(1, twice), (2, twice), (3, twice + "\nan own line at its end")]) == {1: [], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3]}
+
+
+def test_further_holders(spark):
+    docs = [(1, f"{B}\nan own line between the two\n{A}"), (2, f"{A}\n{B}"), (3, f"{A}\n{B}")]
+    assert removed(spark, docs)[3] == [0, 1]
+    docs = [(1, f"{L}\n{X}"), (2, f"{X}\n{L}"), (3, f"{X}\n{L}"), (4, f"{X}\nan own line between the two\n{L}")]
+    got = removed(spark, docs)
+    assert got[3] == [0, 1] and got[4] == [0, 2]
+    # forty documents with the lines in one order, then one in the other, and its near copy
+    docs = [(i, f"{A}\nown line {i} between the two\n{B}") for i in range(40)] + [(50, f"{B}\nown line of the first\n{A}"), (51, f"{B}\nown line of the second\n{A}")]
+    got = removed(spark, docs)
+    assert all(got[i] == [0, 2] for i in range(1, 40)) and len(got[50]) == 1 and got[51] == [0, 2]
+
+
+def test_short_lines_and_empty_ones(spark):
+    verse = "\n\none line\ntwo line\n\nred line\nblu line"
+    assert removed(spark, [(1, verse), (2, verse), (3, "own\n" + verse)]) == {1: [], 2: [0, 1, 2, 3, 4, 5, 6], 3: [3, 4, 5, 6, 7]}
+    assert removed(spark, [(1, "ab\ncd"), (2, "ab\ncd"), (3, "\n" * 50_000), (4, "\n" * 50_000)]) == {1: [], 2: [], 3: [], 4: []}
 
 
 @pytest.mark.parametrize("least", [1, 4, 20])
@@ -54,7 +152,7 @@ def test_against_brute_force(spark, least):
     pool = [f"line {i} " + "é" * rng.randrange(12) for i in range(30)] + ["", "", "ab", "long shared licence line of the pool"]
     docs = [(rng.randrange(80) if rng.random() < 0.9 else None, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for _ in range(90)]
     block = "\n".join(pool[3:12])
-    docs += [(100 + i, f"own {i}\n{block}\n{'licence of everyone ' * 2}\ntail {i}") for i in range(12)] + [(200, None), (201, ""), (202, "\n\n")] + docs[:5] + [(300, "\n".join(pool) * 200)]
+    docs += [(100 + i, f"own {i}\n{block}\n{'licence of everyone ' * 2}\ntail {i}") for i in range(12)] + [(200, None), (201, ""), (202, "\n\n")] + docs[:5] + [(300, "\n".join(pool) * 9)]
     df = spark.createDataFrame([(*d, "k", i) for i, d in enumerate(docs)], "doc_id int, text string, key string, hashes int").repartition(4)
     want = brute(docs, least)
     got = op.dedup_lines(df, min_chars=least, removed_col="removed").collect()
