@@ -7,14 +7,20 @@ chi-squared uniformity (Wilson-Hilferty), Wald-Wolfowitz runs about the alphabet
 serial correlation at lag one. Fisher's method makes one p-value of them, uniform in [0, 1] for a
 random token and near 0 for others.
 
-Which tokens count is decided for each encoding and length class over the whole corpus, since
-short tokens have little power. P-values above one half come from random tokens, so twice their
-number estimates how many there are; the threshold is the lowest one at which the estimated share
-of others among the tokens at or above it is at most FALSE_SHARE. The histograms behind this are
+The null hypothesis of the tests is that a token is random; a discovery is a token taken as random, and
+the false ones are others. Which tokens count is decided for each encoding and length class from the
+different values of the whole corpus (copies of a value say nothing new), since short tokens have
+little power. P-values above one half come from random values, so twice their number, with one more for
+what is not seen, estimates how many there are; the threshold is the lowest one at which the estimated
+share of others among the values at or above it is at most FALSE_SHARE. So of a class's discoveries
+FALSE_SHARE are expected to be false, and of a class without random values two at most are taken. A
+p-value in the lowest bin is never taken. A class of fewer than MIN_CLASS values takes the threshold of
+all lengths of its encoding, a thin encoding that of all tokens. The histograms behind this are
 counted with partial aggregation and have BINS bins to a class, so what reaches every task is bounded.
 
 Positions are code points. They come from the lengths of matches and of what lies between them,
-summed in blocks of BLOCK, so a text with very many matches stays far from quadratic.
+summed in blocks of BLOCK, and known forms are looked up by such blocks, so a text with very many matches
+stays far from quadratic. The battery's time grows with a token's length; symbols are counted once each.
 
 Defined cases: null is the empty text; repeated rows count each; the struct column replaces an
 input column of its name, other columns pass.
@@ -56,6 +62,8 @@ ENCODINGS = {
 LENGTHS = (20, 28, 40, 64)
 BINS = 100
 FALSE_SHARE = 0.05
+#: Different values below which a class takes the threshold of a wider one.
+MIN_CLASS = 50
 BLOCK = 256
 TEMP = "__ketframe_"
 
@@ -95,27 +103,28 @@ def _pick(values: dict[str, object], name: Column) -> Column:
 
 
 def _battery(df: DataFrame, tokens: str, out: str) -> DataFrame:
-    """From array<struct<start, end, value>>: array<struct<start, end, encoding, size, p>> of tokens with an encoding."""
+    """From array<struct<start, end, value>>: array<struct<start, end, h, encoding, size, p>> of tokens with an encoding; h is the value's hash."""
     kept = lambda c, *names: [c[n].alias(n) for n in names]
     t = F.col(out)
     name = lambda v: F.coalesce(*(F.when(v.rlike(form), F.lit(n)) for n, (_, form) in ENCODINGS.items()))
-    df = df.withColumn(out, F.filter(F.transform(F.col(tokens), lambda c: F.struct(*kept(c, "start", "end", "value"), name(c["value"]).alias("encoding"))), lambda c: c["encoding"].isNotNull()))
+    df = df.withColumn(out, F.filter(F.transform(F.col(tokens), lambda c: F.struct(*kept(c, "start", "end", "value"), F.xxhash64(c["value"]).alias("h"), name(c["value"]).alias("encoding"))), lambda c: c["encoding"].isNotNull()))
 
     alphabet = lambda c: _pick({n: a for n, (a, _) in ENCODINGS.items()}, c["encoding"])
     rank = lambda c: F.transform(F.split(c["value"], ""), lambda ch: F.call_function("instr", alphabet(c), ch).cast("double"))
-    df = df.withColumn(out, F.transform(t, lambda c: F.struct(*kept(c, "start", "end", "value", "encoding"), F.length(alphabet(c)).cast("double").alias("k"), rank(c).alias("v"))))
+    df = df.withColumn(out, F.transform(t, lambda c: F.struct(*kept(c, "start", "end", "h", "value", "encoding"), F.length(alphabet(c)).cast("double").alias("k"), rank(c).alias("v"))))
 
     n = lambda c: F.size(c["v"]).cast("double")
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda a, x: a + f(x))
-    squares = lambda c: F.aggregate(F.split(c["value"], ""), F.lit(0.0), lambda a, ch: a + F.length(c["value"]) - F.length(F.replace(c["value"], ch, F.lit(""))))
+    count = lambda c, ch: F.length(c["value"]) - F.length(F.replace(c["value"], ch, F.lit("")))
+    squares = lambda c: total(F.array_distinct(F.split(c["value"], "")), lambda ch: count(c, ch).cast("double") * count(c, ch))
     pairs = lambda c: F.zip_with(F.slice(c["v"], 1, F.size(c["v"]) - 1), F.slice(c["v"], 2, F.size(c["v"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     high = lambda c, x: x > c["k"] / 2
     df = df.withColumn(out, F.transform(t, lambda c: F.struct(
-        *kept(c, "start", "end", "encoding", "k", "v"), n(c).alias("n"), squares(c).alias("squares"), pairs(c).alias("pairs"),
+        *kept(c, "start", "end", "h", "encoding", "k", "v"), n(c).alias("n"), squares(c).alias("squares"), pairs(c).alias("pairs"),
         (total(c["v"], lambda x: x) / n(c)).alias("mean"), total(c["v"], lambda x: high(c, x).cast("double")).alias("above"),
     )))
     df = df.withColumn(out, F.transform(t, lambda c: F.struct(
-        *kept(c, "start", "end", "encoding", "k", "n", "squares", "above"),
+        *kept(c, "start", "end", "h", "encoding", "k", "n", "squares", "above"),
         total(c["v"], lambda x: (x - c["mean"]) * (x - c["mean"])).alias("ss"), total(c["pairs"], lambda x: (x["a"] - c["mean"]) * (x["b"] - c["mean"])).alias("sp"),
         (1 + total(c["pairs"], lambda x: (high(c, x["a"]) != high(c, x["b"])).cast("double"))).alias("runs"),
     )))
@@ -134,7 +143,7 @@ def _battery(df: DataFrame, tokens: str, out: str) -> DataFrame:
         return F.exp(-half) * (1 + half + half * half / 2)  # upper tail of chi-squared with 6 degrees of freedom
 
     size = lambda c: reduce(lambda rest, low: F.when(c["n"] >= low, F.lit(low)).otherwise(rest), LENGTHS, F.lit(0))
-    return df.withColumn(out, F.transform(t, lambda c: F.struct(*kept(c, "start", "end", "encoding"), size(c).alias("size"), p(c).alias("p"))))
+    return df.withColumn(out, F.transform(t, lambda c: F.struct(*kept(c, "start", "end", "h", "encoding"), size(c).alias("size"), p(c).alias("p"))))
 
 
 def scan_rows(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
@@ -159,25 +168,39 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 
 def random_thresholds(rows: DataFrame, secrets_col: str = "secrets") -> DataFrame:
-    """(encoding, size, least): from which p-value on the tokens of a class count as random."""
-    token = rows.select(F.explode(F.col(secrets_col)["tokens"]).alias("t"))
-    bins = token.groupBy("t.encoding", "t.size", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    upper = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper")
-    classes = bins.groupBy("encoding", "size").agg(upper, F.collect_list(F.struct("bin", "n")).alias("bins")).where("upper > 0")
-    each = classes.select("encoding", "size", "upper", "bins", F.explode(F.sequence(F.lit(0), F.lit(BINS // 2))).alias("least"))
-    found = F.aggregate(F.filter("bins", lambda b: b["bin"] >= F.col("least")), F.lit(0).cast("long"), lambda a, b: a + b["n"])
-    expected = 2 * F.col("upper") * (BINS - F.col("least")) / BINS
-    return each.where(found * (1 - FALSE_SHARE) <= expected).groupBy("encoding", "size").agg((F.min("least") / BINS).alias("least"))
+    """(encoding, size, least): from which p-value on the tokens of a class count as random; null: none does."""
+    token = rows.select(F.explode(F.col(secrets_col)["tokens"]).alias("t")).select("t.encoding", "t.size", "t.h", "t.p")
+    values = token.groupBy("encoding", "size", "h").agg(F.min("p").alias("p"))
+    bins = values.groupBy("encoding", "size", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bins = materialize(bins, "p-values")
+
+    def level(name: str, *keys: str) -> DataFrame:
+        """(keys, name): struct<total, least> of each class."""
+        merged = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+        upper = F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper")
+        classes = merged.groupBy(*keys).agg(F.sum("n").alias("total"), upper, F.collect_list(F.struct("bin", "n")).alias("bins"))
+        found = lambda least: F.aggregate(F.filter("bins", lambda b: b["bin"] >= least), F.lit(0).cast("long"), lambda a, b: a + b["n"])
+        enough = lambda least: found(least) * (1 - FALSE_SHARE) <= 2 * (F.col("upper") + 1) * (BINS - least) / BINS
+        least = F.get(F.filter(F.sequence(F.lit(1), F.lit(BINS // 2)), enough), F.lit(0)) / BINS
+        return classes.select(*keys, F.struct("total", least.alias("least")).alias(name))
+
+    out = level("fine", "encoding", "size").join(level("middle", "encoding"), "encoding").join(F.broadcast(level("whole")))  # one row
+    wide = F.when(F.col("middle.total") >= MIN_CLASS, F.col("middle.least")).otherwise(F.col("whole.least"))
+    return out.select("encoding", "size", F.when(F.col("fine.total") >= MIN_CLASS, F.col("fine.least")).otherwise(wide).alias("least"))
 
 
 def judge(rows: DataFrame, secrets_col: str = "secrets") -> DataFrame:
     """Replace the scan's struct by array<struct<start, kind, end>> of all spans, in order; rows are read twice."""
-    limits = random_thresholds(rows, secrets_col).collect()  # at most one row per encoding and length class
-    s = F.col(secrets_col)
+    limits = random_thresholds(rows, secrets_col).where("least is not null").collect()  # at most one row per encoding and length class
+    s, blocks = F.col(secrets_col), TEMP + "blocks"
+    some = F.sequence(F.lit(0), F.floor((F.greatest(F.size(s["base"]), F.lit(1)) - 1) / BLOCK).cast("int"))
+    part = F.transform(some, lambda b: F.slice(s["base"], b * BLOCK + 1, BLOCK))
+    rows = rows.withColumn(blocks, F.transform(part, lambda p: F.struct(F.array_min(F.transform(p, lambda b: b["start"])).alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans"))))
+    meet = lambda b, t: (b["start"] < t["end"]) & (t["start"] < b["end"])
+    known = lambda t: F.coalesce(F.exists(F.col(blocks), lambda b: meet(b, t) & F.exists(b["spans"], lambda x: meet(x, t))), F.lit(False))
     least = lambda t: reduce(lambda rest, x: F.when((t["encoding"] == x["encoding"]) & (t["size"] == x["size"]), F.lit(float(x["least"]))).otherwise(rest), limits, F.lit(None).cast("double"))
-    new = lambda t: (t["p"] >= least(t)) & ~F.exists(s["base"], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    random = _of_kind(F.filter(s["tokens"], lambda t: F.coalesce(new(t), F.lit(False))), "random")
-    return rows.withColumn(secrets_col, F.array_sort(F.concat(s["base"], random)))
+    random = _of_kind(F.filter(s["tokens"], lambda t: F.coalesce(t["p"] >= least(t), F.lit(False)) & ~known(t)), "random")
+    return rows.withColumn(secrets_col, F.array_sort(F.concat(s["base"], random))).drop(blocks)
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:

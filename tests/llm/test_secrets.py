@@ -47,26 +47,33 @@ def candidates(text):
     for m in re.finditer(op.TOKEN, text or ""):
         for name, (alphabet, form) in op.ENCODINGS.items():
             if re.match(form, m[0]):
-                out.append((m.start(), m.end(), name, max(x for x in op.LENGTHS if x <= len(m[0])), p_value(m[0], alphabet)))
+                out.append((m.start(), m.end(), name, max(x for x in op.LENGTHS if x <= len(m[0])), p_value(m[0], alphabet), m[0]))
                 break
     return out
 
 
+def least_of(values):
+    """(number of values, lowest threshold or None) of a class's different values {token: p}."""
+    bins = [min(int(p * op.BINS), op.BINS - 1) for p in values.values()]
+    upper = 1 + sum(b >= op.BINS // 2 for b in bins)
+    ok = [t for t in range(1, op.BINS // 2 + 1) if sum(b >= t for b in bins) * (1 - op.FALSE_SHARE) <= 2 * upper * (op.BINS - t) / op.BINS]
+    return len(bins), ok[0] / op.BINS if ok else None
+
+
 def all_spans(texts):
     tokens = [candidates(t) for t in texts]
-    classes = {}
-    for x in (x for row in tokens for x in row):
-        classes.setdefault(x[2:4], []).append(min(int(x[4] * op.BINS), op.BINS - 1))
+    classes, encodings, whole = {}, {}, {}
+    for _, _, e, size, p, token in (x for row in tokens for x in row):
+        for values in (classes.setdefault((e, size), {}), encodings.setdefault(e, {}), whole):
+            values[token] = p
     least = {}
-    for c, bins in classes.items():
-        upper = sum(b >= op.BINS // 2 for b in bins)
-        ok = [t for t in range(op.BINS // 2 + 1) if upper and sum(b >= t for b in bins) * (1 - op.FALSE_SHARE) <= 2 * upper * (op.BINS - t) / op.BINS]
-        if ok:
-            least[c] = min(ok) / op.BINS
+    for (e, size), values in classes.items():
+        fits = [least_of(v) for v in (values, encodings[e])]
+        least[e, size] = next((t for n, t in fits if n >= op.MIN_CLASS), least_of(whole)[1])
     out = []
     for t, row in zip(texts, tokens):
         known = base(t)
-        extra = [(a, 3, b) for a, b, e, s, p in row if p >= least.get((e, s), 2) and not any(x < b and a < y for x, _, y in known)]
+        extra = [(a, 3, b) for a, b, e, s, p, _ in row if least[e, s] is not None and p >= least[e, s] and not any(x < b and a < y for x, _, y in known)]
         out.append(sorted(known + extra))
     return out
 
@@ -106,3 +113,40 @@ def test_query(spark, sf):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_without_tokens(spark, rows):
     assert [r.secrets for r in op.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()] == [[] for _ in rows]
+
+
+def test_false_discoveries(spark):
+    """Random values are found, and of what is found in each class few are others; thin classes too."""
+    rng = random.Random(11)
+    words = ["server", "Config", "Default", "user", "Handler", "Request", "http", "Factory", "node", "Image", "Backup", "index", "Value", "Parser"]
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hidden = [draw(op.ENCODINGS[e][0], n) for e, n, times in (("base62", 32, 300), ("base64", 44, 300), ("HEX", 40, 200), ("base32", 32, 100), ("lower36", 30, 1), ("upper36", 24, 3)) for _ in range(times)]
+    plain = ["".join(rng.choice(words) for _ in range(6)) + str(rng.randrange(2000)) for _ in range(600)]
+    plain += [f"{rng.randrange(10**4):04}".join(["ABCD"] * 6) for _ in range(200)] + ["".join(f"{k + j:02X}" for j in range(16)) for k in range(160, 240)] + ["a1B2" * k for k in range(5, 30)]
+    texts = [f"see {x} here" for x in (hidden + plain) * 2]
+    rows = op.find_secrets(spark.createDataFrame(enumerate(texts), "doc_id int, text string").repartition(4)).collect()
+    known = set(hidden)
+    found = {r.text[4:-5] for r in rows if any(s.kind == "random" for s in r.secrets)}
+    of_form = {x for x in hidden if candidates(x)}  # a draw without a digit, say, has no encoding
+    assert len(of_form) > 850 and len(found & known) >= 0.95 * len(of_form)
+    assert len(found - known) <= op.FALSE_SHARE * len(found)
+    assert all(x in found for x in of_form if len(x) in (24, 30) and candidates(x)[0][4] >= 0.05)
+
+
+def test_one_value_in_a_corpus(spark):
+    secret, word = "9F3A0C7E51B2D84466EA19C0F7352BD88E01A4D6", "ABAB1212" * 5
+    df = spark.createDataFrame([(i, f"{secret} {word}") for i in range(5)], "doc_id int, text string")
+    assert all([(s.kind, s.start, s.end) for s in r.secrets] == [("random", 0, 40)] for r in op.find_secrets(df).collect())
+
+
+def test_time_grows_with_length(spark):
+    import time
+
+    rng = random.Random(3)
+    long = "".join(rng.choice(op.ENCODINGS["base64"][0]) for _ in range(1_000_000))
+    many = "\n".join(f"token = {long[k:k + 40]}" for k in range(0, 400_000, 40))
+    df = spark.createDataFrame([(1, long), (2, many)], "doc_id int, text string")
+    began = time.time()
+    rows = {r.doc_id: r.secrets for r in op.find_secrets(df).collect()}
+    assert [(s.kind, s.end) for s in rows[1]] == [("random", 1_000_000)] and len(rows[2]) >= 10_000
+    assert time.time() - began < 120
