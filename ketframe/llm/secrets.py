@@ -197,7 +197,8 @@ def judge(rows: DataFrame, secrets_col: str = "secrets") -> DataFrame:
     part = F.transform(some, lambda b: F.slice(s["base"], b * BLOCK + 1, BLOCK))
     rows = rows.withColumn(blocks, F.transform(part, lambda p: F.struct(F.array_min(F.transform(p, lambda b: b["start"])).alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans"))))
     meet = lambda b, t: (b["start"] < t["end"]) & (t["start"] < b["end"])
-    known = lambda t: F.coalesce(F.exists(F.col(blocks), lambda b: meet(b, t) & F.exists(b["spans"], lambda x: meet(x, t))), F.lit(False))
+    # named twice, so that the optimizer keeps the column instead of making it anew for each token
+    known = lambda t: (F.size(blocks) > 0) & F.coalesce(F.exists(F.col(blocks), lambda b: meet(b, t) & F.exists(b["spans"], lambda x: meet(x, t))), F.lit(False))
     least = lambda t: reduce(lambda rest, x: F.when((t["encoding"] == x["encoding"]) & (t["size"] == x["size"]), F.lit(float(x["least"]))).otherwise(rest), limits, F.lit(None).cast("double"))
     random = _of_kind(F.filter(s["tokens"], lambda t: F.coalesce(t["p"] >= least(t), F.lit(False)) & ~known(t)), "random")
     return rows.withColumn(secrets_col, F.array_sort(F.concat(s["base"], random))).drop(blocks)
