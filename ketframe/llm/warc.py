@@ -11,6 +11,16 @@ Both carry WARC-Refers-To with the response's id, its target URI and date, and d
 (sha256, hexadecimal). Their ids follow from the response's id and their type, so a task that runs
 again makes the same records. All work is row by row; nothing is shuffled.
 
+A page is read once, tag by tag, in time that grows with its length (but for a logarithm) however broken
+it is: after TRIES tags that do not end, ends are looked up in a table of quotes and brackets.
+
+Transfer codings (chunked) and content codings (gzip, deflate) are undone; what is cut off or broken is
+read as far as it goes, and a body that does not look like its coding is taken as it is. A body in another
+coding (br, zstd) gives no text and no links, and its metadata says so (undecoded).
+
+Files: one gzip member to a record. Tasks write to a hidden folder, and the driver moves the files when
+all are done; readers unzip and parse a file piece by piece, so what they hold is one record.
+
 Defined cases: rows of other types than response, and responses without an id, are left out; a null
 or empty block gives an empty text and no links; a block without an HTTP head is taken as the
 payload; undecodable bytes become U+FFFD; repeated rows each give two records; other columns pass.
@@ -21,12 +31,16 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ketframe.llm._common import bounded_batches
 
@@ -34,18 +48,21 @@ DATE = "1970-01-01T00:00:00Z"
 RECORD = "struct<record_id: string, type: string, refers_to: string, uri: string, date: string, headers: map<string, string>, block: string>"
 TEMP = "__ketframe_"
 
-_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-_HIDDEN = re.compile(rf"<!--|<(script|style|noscript|template|svg|head)(?![\w-])({_ATTRS})>", re.I)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "title")} | {"!": re.compile("-->")}
-#: What a head holds without ending: white space, comments, its own elements and stray end tags.
-_HEAD_PART = re.compile(rf"\s+|<!--|<(script|style|noscript|template|title)(?![\w-]){_ATTRS}>|<(?:base|basefont|bgsound|link|meta|html|head)(?![\w-]){_ATTRS}>|</(?!(?:head|body|html|br)\b)[a-z]{_ATTRS}>|<[!?]{_ATTRS}>", re.I)
-_HEAD_END = re.compile(r"</head\s*>", re.I)
-_BLOCK = re.compile(rf"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|tr|ul|body|html)\b{_ATTRS}>", re.I)
-_TAG = re.compile(rf"</?[a-z!?]{_ATTRS}>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+#: Tags that do not end which are looked for before ends are put into a table.
+TRIES = 50
+#: Elements whose content is not shown.
+RAW, HIDDEN = ("script", "style"), ("noscript", "template", "svg")
+#: Elements that a head may hold.
+HEAD_PARTS = {"base", "basefont", "bgsound", "link", "meta", "html", "head", "title", *RAW, "noscript", "template"}
+BLOCKS = set("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section select table tbody td tfoot th thead tr ul".split())
+LINKED = {"a", "area", "link", "img", "script", "iframe", "frame", "source"}
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][\w:-]*)|[!?])")
+_REST = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"([^\s\"'=>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?|.", re.S)
+_CLOSE = {t: re.compile(rf"</{t}(?![\w-])[^>]*+>?", re.I) for t in (*RAW, *HIDDEN, "title")} | {"!": re.compile("-->")}
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|frame|source)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[^\r\n]{0,200}\r\n")
 _ORIGIN = re.compile(r"https?://[^/?#]+", re.I)
 
 
@@ -67,6 +84,51 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return first, [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in rest) if c], payload
 
 
+def _dechunked(body: bytes) -> bytes:
+    """A body without chunk sizes; what is no chunk ends it, and a body that starts with none is taken as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+        if not size or at > len(body):
+            break
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, bits: int) -> bytes:
+    """As much as can be unzipped of a body."""
+    out: list[bytes] = []
+    try:
+        while body:
+            z = zlib.decompressobj(bits)
+            for at in range(0, len(body), 1 << 16):
+                out.append(z.decompress(body[at : at + (1 << 16)]))
+                if z.eof:
+                    break
+            body = z.unused_data + body[at + (1 << 16) :] if z.eof else b""
+            if body and body[:2] != b"\x1f\x8b":
+                break
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def decode_body(body: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, str | None]:
+    """(body without its codings, the coding that could not be undone)."""
+    named = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",")]
+    if "chunked" in named("transfer-encoding"):
+        body = _dechunked(body)
+    for coding in reversed(named("content-encoding")):
+        if coding in ("gzip", "x-gzip"):
+            body = _inflated(body, 31) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":
+            body = _inflated(body, 15) or _inflated(body, -15) or body
+        elif coding not in ("", "identity"):
+            return b"", coding
+    return body, None
+
+
 def decode_payload(payload: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
     """(text, charset) by the HTTP header, the page's own word, or UTF-8."""
     told = next((v for k, v in headers if k.lower() == "content-type"), "").encode()
@@ -78,50 +140,147 @@ def decode_payload(payload: bytes, headers: list[tuple[str, str]]) -> tuple[str,
         return payload.decode("utf-8", "replace"), "utf-8"
 
 
-def _visible(page: str) -> str:
-    """The page without comments, scripts, styles and other elements that are not shown.
+class _Ends:
+    """Where tags end: at the first > that is not in quotes."""
+
+    def __init__(self, page: str):
+        self.page, self.tried, self.marks = page, 0, None
+
+    def after(self, at: int) -> int:
+        """The place behind the tag whose name ends before `at`; -1 if it does not end."""
+        if self.tried < TRIES:
+            if m := _REST.match(self.page, at):
+                return m.end()
+            self.tried += 1
+            return -1
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("['\">]", self.page)]
+            self.same = {q: [p for p in self.marks if self.page[p] == q] for q in "'\""}
+            self.ends = {len(self.marks): -1}
+        path, k = [], bisect_left(self.marks, at)
+        while k not in self.ends:  # a mark outside quotes: > ends the tag, a quote leads behind its partner
+            p = self.marks[k]
+            path.append(k)
+            if self.page[p] == ">":
+                self.ends[k] = p + 1
+                break
+            partners = self.same[self.page[p]]
+            i = bisect_right(partners, p)
+            k = bisect_right(self.marks, partners[i]) if i < len(partners) else len(self.marks)
+        for x in path:
+            self.ends[x] = self.ends[k]
+        return self.ends[k]
+
+
+class Page(NamedTuple):
+    text: str
+    links: list[tuple[str, str]]
+    title: str | None
+    language: str | None
+
+
+def attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag's inside, the first of each name."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(tag):
+        if name:
+            out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def read_page(page: str) -> Page:
+    """Text (a line for each block that has some), links as they stand, title and language of a page.
 
     A head ends at </head> or, where that is left out, at the first thing that a head cannot hold (a body,
     a flow element, text). Unclosed comments, scripts and styles run to the end of the page; of other
-    unclosed elements only the tag goes.
+    unclosed elements only the tag goes. Links in elements that are not shown count, those in comments
+    and scripts do not.
     """
-    out, at, missing = [], 0, set()
-
-    def end_of(tag: str, start: int) -> int:
-        """Where the element with its tag before start ends."""
+    ends, missing = _Ends(page), set()
+    out: list[str] = []
+    links: list[tuple[str, str]] = []
+    title = language = None
+    at = shown = search = 0  # text from `at` on is new; before `shown` it is hidden
+    head = False
+
+    def close(tag: str, start: int) -> int | None:
+        """Where the end tag begins and ends, or None."""
         if tag not in missing:
             if m := _CLOSE[tag].search(page, start):
-                return m.end()
+                return m
             missing.add(tag)
-        return len(page) if tag in ("!", "script", "style") else start
-
-    while m := _HIDDEN.search(page, at):
-        out += [page[at : m.start()], "\n"]
-        at, tag = m.end(), (m[1] or "!").lower()
-        if tag == "head":
-            while part := _HEAD_PART.match(page, at):
-                comment = part[0] == "<!--"
-                at = end_of("!" if comment else part[1].lower(), part.end()) if comment or part[1] else part.end()
-            if end := _HEAD_END.match(page, at):
-                at = end.end()
-        elif tag != "svg" or not m[2].endswith("/"):
-            at = end_of(tag, at)
-    return "".join([*out, page[at:]])
+        return None
+
+    while m := _START.search(page, search):
+        comment, slash, name = m.groups()
+        name = (name or "").lower()
+        end = m.end() if comment else ends.after(m.end())
+        if end < 0:  # no tag
+            search = m.start() + 1
+            continue
+        start = max(at, shown)
+        if start < m.start():
+            text = page[start : m.start()]
+            if not head or text.strip():
+                head = False
+                out.append(text)
+        search = at = end
+        if head and (name == "head" if slash else name not in HEAD_PARTS and name):
+            head = False
+            if slash:
+                continue
+        elif head and slash and name in ("body", "html", "br"):
+            head = False
+        quiet = head or m.start() < shown
+        if comment or name in RAW and not slash:
+            if not quiet:
+                out.append("\n")
+            if name in LINKED and (url := attributes(page[m.end() : end - 1]).get("src")):
+                links.append((name, url))
+            found = close(name or "!", end)
+            search = at = found.end() if found else len(page)
+            continue
+        if slash:
+            pass
+        elif name in LINKED:
+            own = attributes(page[m.end() : end - 1])
+            if url := own.get("href") or own.get("src"):
+                links.append((name, url))
+        elif name == "html" and language is None:
+            language = attributes(page[m.end() : end - 1]).get("lang") or None
+        elif name == "title" and (title is None or head):
+            if found := close(name, end):
+                title = page[end : found.start()] if title is None else title
+                if head:
+                    search = at = found.end()
+        elif name in HIDDEN and m.start() >= shown:
+            if not quiet:
+                out.append("\n")
+            if not (name == "svg" and page[end - 2] == "/") and (found := close(name, end)):
+                shown = found.end()
+            continue
+        if not slash and name == "head" and not quiet:
+            head = True
+            out.append("\n")
+        elif not quiet and name in BLOCKS:
+            out.append("\n")
+    out.append(page[max(at, shown) :])
+    whole = html.unescape(_LONG_REFERENCE.sub("\ufffd", "".join(out)))
+    lines = (" ".join(line.split()) for line in whole.split("\n"))
+    return Page("\n".join(line for line in lines if line), links, title, language)
 
 
 def plain_text(page: str) -> str:
     """The text of a page, a line for each block that has some."""
-    page = _TAG.sub("", _BLOCK.sub("\n", _visible(page)))
-    lines = (" ".join(line.split()) for line in html.unescape(page).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page).text
 
 
-def links(page: str, base: str) -> list[tuple[str, str]]:
-    """(element, absolute URL), each pair once, in the order of the page."""
+def links(found: list[tuple[str, str]], base: str) -> list[tuple[str, str]]:
+    """(element, absolute URL) of a page's links, each pair once, in the order of the page."""
     origin = _ORIGIN.match(base)
     out = {}
-    for m in _LINK.finditer(page):
-        url = html.unescape((m[2] or m[3] or m[4] or "").strip())
+    for tag, url in found:
+        url = html.unescape(_LONG_REFERENCE.sub("\ufffd", url.strip()))
         if not url or url[0] == "#" or url[:11].lower() == "javascript:":
             continue
         if origin and url[0] == "/" and url[1:2] != "/" and "/." not in url:
@@ -131,7 +290,7 @@ def links(page: str, base: str) -> list[tuple[str, str]]:
                 url = urljoin(base, url)
             except ValueError:
                 continue
-        out[m[1].lower(), re.sub(r"\s", "%20", url)] = None
+        out[tag, re.sub(r"\s", "%20", url)] = None
     return list(out)
 
 
@@ -142,14 +301,16 @@ def _field(name: str, value: str) -> str:
 def derivatives(record_id: str, uri: str | None, date: str | None, headers: dict[str, str], block: bytes) -> list[dict]:
     """The metadata and the conversion record of a response."""
     status, http, payload = http_parts(block)
-    page, charset = decode_payload(payload, http)
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [(name, html.unescape(m[1])) for name, m in (("title", title), ("language", lang)) if m] + [("charset", charset)]
+    body, undecoded = decode_body(payload, http)
+    page, charset = decode_payload(body, http)
+    found = read_page(page)
+    fields = [(name, html.unescape(value)) for name, value in (("title", found.title), ("language", found.language)) if value is not None] + [("charset", charset)]
+    fields += [("undecoded", undecoded)] * bool(undecoded)
     fields += [("http-status", status)] * bool(status) + [(f"http-{k.lower()}", v) for k, v in http]
     fields += [(f"source-{k.lower()}", v) for k, v in sorted(headers.items())]
     fields += [(f"source-{k}", v) for k, v in (("warc-block-digest", digest(block)), ("warc-payload-digest", digest(payload))) if k not in {h.lower() for h in headers}]
-    fields += [("outlink", f"{url} {tag}") for tag, url in links(page, uri or "")]
-    blocks = {"metadata": ("application/warc-fields", "".join(_field(*f) for f in fields)), "conversion": ("text/plain; charset=utf-8", plain_text(page))}
+    fields += [("outlink", f"{url} {tag}") for tag, url in links(found.links, uri or "")]
+    blocks = {"metadata": ("application/warc-fields", "".join(_field(*f) for f in fields)), "conversion": ("text/plain; charset=utf-8", found.text)}
     out = []
     for kind, (content, text) in blocks.items():
         data = text.encode("utf-8", "replace")
@@ -191,53 +352,165 @@ def derive(records: DataFrame) -> DataFrame:
     return rows.select(*rest, F.explode(made("record_id", "uri", "date", "headers", "block")).alias(TEMP + "r")).select(*rest, *(F.col(TEMP + "r")[n].alias(n) for n in own))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Records whose blocks are text as gzipped WARC files, one to a partition."""
-    told = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))
-    line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name + ": "), c, F.lit("\r\n"))).otherwise("")
-    head = F.concat(F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Target-URI", F.col("uri")), line("WARC-Date", F.col("date")), F.array_join(told, ""))
-    records.select(F.concat(head, F.lit("\r\n"), F.col("block").cast("string")).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+def _opened(path: str):
+    """(file system, path in it) for a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
+class _Written(WriterCommitMessage):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _WarcWriter(DataSourceArrowWriter):
+    """Writes rows (record) as one gzip member each, a file to a task."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         import gzip
+        import uuid
 
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        files, path = _opened(self.path)
+        name = f"part-{uuid.uuid4().hex}.warc.gz"
+        files.create_dir(f"{path}/_writing", recursive=True)
+        with files.open_output_stream(f"{path}/_writing/{name}", compression=None) as out:
+            for batch in batches:
+                for record in batch.column(0):
+                    out.write(gzip.compress(record.as_buffer(), compresslevel=6, mtime=0))
+        return _Written(name)
+
+    def commit(self, messages: list) -> None:
+        files, path = _opened(self.path)
+        for m in messages:
+            files.move(f"{path}/_writing/{m.name}", f"{path}/{m.name}")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        files, path = _opened(self.path)
+        if files.get_file_info(f"{path}/_writing").type == fs.FileType.Directory:
+            files.delete_dir(f"{path}/_writing")
+
+
+class WarcFiles(DataSource):
+    """Sink of whole WARC records as bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return _WarcWriter(self.options["path"])
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Records as gzipped WARC files in the folder path, one to a partition, in a store that pyarrow opens."""
+    told = F.transform(F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string, string>")))), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n")))
+    told = F.filter(told, lambda x: x.isNotNull() & ~F.lower(x).startswith("content-length:"))
+    block = F.coalesce(F.col("block").cast("binary"), F.lit(b""))
+    line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name + ": "), c, F.lit("\r\n"))).otherwise("")
+    head = F.concat(F.lit("WARC/1.0\r\n"), line("WARC-Type", F.col("type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Target-URI", F.col("uri")), line("WARC-Date", F.col("date")), F.array_join(told, ""), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
+    spark = records.sparkSession
+    spark.dataSource.register(WarcFiles)
+    records.select(F.concat(head.cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record")).write.format("warc_files").mode("append").save(path)
+
+
+def _unzipped(pieces: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file in pieces, unzipped member by member if it is gzipped."""
+    z, kind = None, None
+    for data in pieces:
+        if kind is None and data:
+            kind = data[:1] == b"\x1f"
+        if not kind:
+            yield data
+            continue
+        while data:
+            z = z or zlib.decompressobj(31)
+            try:
+                yield z.decompress(data, most)
+            except zlib.error:  # no member: what is left is no record
+                return
+            data = z.unconsumed_tail
+            if z.eof:
+                data, z = z.unused_data.lstrip(b"\x00"), None
+
+
+def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a WARC file given in pieces, gzipped or not; of the file, one record is held."""
+    source, held, at = _unzipped(pieces), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        del held[:at]
+        at = 0
+        piece = next(source, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        while (start := held.find(b"WARC/", at)) < 0:
+            at = max(at, len(held) - 4)
+            if not more():
+                return
+        at = start
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                return
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), "0"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+        size, at = int(size) if size.isascii() and size.isdigit() else 0, end + 4
+        while len(held) - at < size and more():
+            pass
+        yield headers, bytes(held[at : at + size])
+        at = min(at + size, len(held))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files; a file is read by one task."""
+    """Records of WARC files; a file is read by one task, as a stream where pyarrow can open its store, else as Spark loads it."""
     schema = pa.schema([*((n, pa.string()) for n in ("record_id", "type", "refers_to", "uri", "date")), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
     names = {"warc-record-id": "record_id", "warc-type": "type", "warc-target-uri": "uri", "warc-date": "date"}
 
+    def pieces(file: str | bytes) -> Iterator[bytes]:
+        if isinstance(file, bytes):
+            yield from (file[k : k + (1 << 20)] for k in range(0, len(file), 1 << 20))
+            return
+        files, at = _opened(file)
+        with files.open_input_stream(at, compression=None) as stream:
+            while data := stream.read(1 << 20):
+                yield data
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                part = []
-                for headers, block in parse_warc(content.as_py()):
+            for file in batch.column(0):
+                part, held = [], 0
+                for headers, block in parse_warc(pieces(file.as_py())):
                     row = {names[k.lower()]: v for k, v in headers.items() if k.lower() in names}
                     rest = [(k, v) for k, v in headers.items() if k.lower() not in names]
                     part.append(row | {"refers_to": headers.get("WARC-Refers-To"), "headers": rest, "block": block})
-                    if len(part) == 256:
+                    held += len(block)
+                    if len(part) == 256 or held > 1 << 24:
                         yield pa.RecordBatch.from_pylist(part, schema)
-                        part = []
+                        part, held = [], 0
                 if part:
                     yield pa.RecordBatch.from_pylist(part, schema)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(rows, "record_id string, type string, refers_to string, uri string, date string, headers map<string, string>, block binary")
+    from urllib.parse import unquote
+
+    files = spark.read.format("binaryFile").load(path)
+    some = files.select("path").first()
+    try:
+        _opened(some.path if some else path)
+        found = files.select(F.udf(unquote)("path"))  # one row a file
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        found = files.select("content")
+    return found.mapInArrow(rows, "record_id string, type string, refers_to string, uri string, date string, headers map<string, string>, block binary")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
+import gzip
 import hashlib
+import random
+import time
+import tracemalloc
+import zlib
 from html.parser import HTMLParser
 
 from ketframe.llm import warc as op
@@ -87,3 +92,68 @@ def test_left_out_and_missing_end_tags():
     for tag in ("<script>", "<style>", "<!--"):
         assert text(f"<p>a</p>{tag}<p>b</p>") == "a"
     assert text("<svg>x" * 40_000) == "\n".join("x" * 40_000)
+
+
+def test_time_grows_with_length():
+    began = time.time()
+    n = 200_000
+    for part in ("<a ", "<html ", "<title>", "<svg>", "<noscript>x", "<!-", "</", "<a href='", '<a "x" ', "<p title=\"a>b\" ", "&#", "<head>", "<script"):
+        for end in ("", ">", "'", '">', "</svg></noscript></title>"):
+            op.read_page(part * (n // len(part)) + end)
+    op.read_page("&#" + "9" * n + ";" + "<a " + "x=" * n + ">" + "<a " + " " * n + "href>")
+    assert time.time() - began < 60
+
+
+def test_attributes():
+    page = op.read_page("<html data-lang=xx LANG='de'><title>a<b</title><a title='href=no' href = \"q'>1\">x</a><img alt=src src=i.png><a data-href=no>y</a><!-- <a href=c> --><noscript><a href=n></noscript><script src=s>'<a href=t>'</script>")
+    assert page.links == [("a", "q'>1"), ("img", "i.png"), ("a", "n"), ("script", "s")] and (page.title, page.language) == ("a<b", "de")
+
+
+def response(body, *headers):
+    return "\r\n".join(["HTTP/1.1 200 OK", *headers, "", ""]).encode() + body
+
+
+def test_codings():
+    def text(body, *headers):
+        made = {r["type"]: r["block"] for r in op.derivatives("i", "http://a", None, {}, response(body, *headers))}
+        return made["conversion"], "undecoded: br" in made["metadata"]
+
+    page = ("<p>" + "text é " * 5_000).encode()
+    plain = op.plain_text(page.decode())
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(x), x) for x in (gzip.compress(page)[:100], gzip.compress(page)[100:])) + b"0\r\n\r\n"
+    assert text(b"5\r\n<p>hi\r\n0\r\n\r\n", "Transfer-Encoding: chunked") == ("hi", False)
+    for body, *headers in [(gzip.compress(page), "Content-Encoding: gzip"), (zlib.compress(page), "Content-Encoding: deflate"), (raw, "Content-Encoding: deflate"), (page, "Content-Encoding: gzip"), (page, "Transfer-Encoding: chunked"), (chunked, "Content-Encoding: x-gzip", "Transfer-Encoding: chunked"), (gzip.compress(page[:70]) + gzip.compress(page[70:]), "Content-Encoding: gzip"), (gzip.compress(gzip.compress(page)), "Content-Encoding: gzip, gzip"), (page, "Content-Encoding: identity")]:
+        assert text(body, *headers) == (plain, False), headers
+    part = text(gzip.compress(random.Random(1).randbytes(200_000).hex().encode())[:100_000], "Content-Encoding: gzip")[0]
+    assert 100_000 < len(part) < 300_000  # cut off
+    assert text(b"\x8b\x02", "Content-Encoding: br") == ("", True)
+
+
+def test_members_and_bounded_reading(spark, tmp_path):
+    blocks = [bytes([k % 256]) * (k % 50) + b"\xff\x00WARC/1.0\r\n\r\n" for k in range(300)]
+    df = spark.createDataFrame([(f"<{k}>", "resource", f"http://a/{k}", "d", {"X-N": str(k)}, bytearray(b)) for k, b in enumerate(blocks)], "record_id string, type string, uri string, date string, headers map<string, string>, block binary").repartition(3)
+    op.write_warc(df, f"{tmp_path}/a b")
+    files = [p for p in (tmp_path / "a b").iterdir()]
+    assert len(files) == 3 and sum(p.read_bytes().count(b"\x1f\x8b\x08") for p in files) >= 300
+    for p in files:
+        data, members = p.read_bytes(), 0
+        while data:
+            z = zlib.decompressobj(31)
+            assert z.decompress(data).count(b"WARC-Record-ID") == 1
+            data, members = z.unused_data, members + 1
+        assert members > 50
+    back = {r.record_id: bytes(r.block) for r in op.read_warc(spark, f"{tmp_path}/a b/*.warc.gz").collect()}
+    assert back == {f"<{k}>": b for k, b in enumerate(blocks)}
+
+    def endless(n):  # members of a megabyte each, as a file of n megabytes would give them
+        one = gzip.compress(b"WARC/1.0\r\nContent-Length: 1000000\r\n\r\n" + bytes(1_000_000) + b"\r\n\r\n")
+        for _ in range(n):
+            yield from (one[:300], one[300:])
+
+    tracemalloc.start()
+    assert sum(len(b) for _, b in op.parse_warc(endless(1_000))) == 10**9
+    assert tracemalloc.get_traced_memory()[1] < 2e7
+    tracemalloc.stop()
+    assert [b for _, b in op.parse_warc([b"WARC/1.0\r\nContent-Len", b"gth: 3\r\n\r", b"\nabc\r\n\r\nWA", b"RC/1.0\r\n\r\n\r\n\r\n"])] == [b"abc", b""]
