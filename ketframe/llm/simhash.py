@@ -15,12 +15,14 @@ Links then go to `components`. Nothing but counts reaches the driver.
 `similar_documents` is for a threshold of similarity that a few bits of one fingerprint cannot
 tell: its candidates come from a fingerprint over words, which a changed word hardly moves, and, if
 asked for, from bands of minima of the shingles' hashes, which hold wherever the texts differ (an added
-or a cut passage moves the words' fingerprint); its complete distance is that of a wider fingerprint
-over shingles.
+or a cut passage moves the words' fingerprint). Candidates whose sets are of too different sizes, or
+far apart by a wider fingerprint over shingles, go; of the others the sets of shingles themselves are
+compared, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm._common import bounded_batches, documents, materialize, row_key, without_keys
+from ketframe.llm._common import BROADCAST_KEYS, bounded_batches, documents, materialize, release, row_key, without_keys
 from ketframe.llm.components import components
 
 BITS = 64
@@ -151,8 +153,10 @@ SEGMENTS, SEGMENT_BITS = 4, 24
 WIDE_LONGS = 8
 WIDE_BITS = BITS * WIDE_LONGS
 SIMILARITY = 0.8
-#: Standard deviations of the distance that are allowed for, so that pairs at the threshold are caught.
-MARGIN = 1.0
+#: Standard deviations of the distance that are allowed for before sets are compared: 0.999 of pairs at the threshold are.
+MARGIN = 3.0
+#: Sets of fewer shingles are compared whatever their fingerprints, whose bits are too dependent.
+SMALL_SET = 24
 #: Bands of minima and minima in one: a pair of Jaccard similarity J shares a band with the probability
 #: 1 - (1 - J ** BAND_MINIMA) ** BANDS, which is 0.998 at 0.8, wherever the texts differ.
 BANDS, BAND_MINIMA = 16, 5
@@ -160,7 +164,7 @@ WIDE_NAMES = ["u0", "u1", *(f"s{k}" for k in range(WIDE_LONGS))]
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of WIDE_BITS up to which two sets are taken to have this Jaccard similarity.
+    """Differing bits of WIDE_BITS up to which two sets may have this Jaccard similarity.
 
     Sets of equal size with Jaccard J have cosine 2J / (1 + J); a bit differs with the share angle / pi.
     Their mean number is exceeded by MARGIN standard deviations.
@@ -212,18 +216,28 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     return (keys | np.uint64(2**63)).view(np.int64)
 
 
-def _fingerprint_and_bands(text: str | None, shingle: int, banded: bool = True) -> tuple[list[int], list[int]]:
-    """`wide_fingerprint` and the keys of the bands; a text without words has none."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's different shingles; a text of fewer words has one, a text without words none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return [0] * len(WIDE_NAMES), []
-    parts = _hashes(set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)})
-    return [*_set_bits(_hashes(set(words)), 2).tolist(), *_set_bits(parts, WIDE_LONGS).tolist()], _band_keys(parts).tolist() if banded else []
+    parts = set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)} if words else set()
+    return np.sort(_hashes(parts))
+
+
+def _fingerprint_and_bands(text: str | None, shingle: int, banded: bool = True) -> tuple[int, int, list[int], list[int]]:
+    """Digest and size of the set of shingles, `wide_fingerprint` and the keys of the bands; a text without words has none."""
+    import xxhash
+
+    parts = shingle_set(text, shingle)
+    node = int(np.uint64(xxhash.xxh3_64_intdigest(parts.tobytes())).view(np.int64))
+    if not len(parts):
+        return node, 0, [0] * len(WIDE_NAMES), []
+    words = set((text or "").encode().lower().split())
+    return node, len(parts), [*_set_bits(_hashes(words), 2).tolist(), *_set_bits(parts, WIDE_LONGS).tolist()], _band_keys(parts).tolist() if banded else []
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
     """Two longs over the set of words, for candidates, and WIDE_LONGS over the set of shingles, for comparison."""
-    return _fingerprint_and_bands(text, shingle, False)[0]
+    return _fingerprint_and_bands(text, shingle, False)[2]
 
 
 def _segment_keys(radius: int) -> Column:
@@ -238,12 +252,13 @@ def _segment_keys(radius: int) -> Column:
     return F.explode(F.flatten(F.array(*(keys(s) for s in range(SEGMENTS)))))
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: DataFrame | None = None) -> DataFrame:
-    """(node, root) of all classes that links reach from another; classes: node and WIDE_NAMES; bands: node and key.
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: DataFrame | None = None, verify=lambda pairs: pairs) -> DataFrame:
+    """(node, root) of all classes that links reach from another; classes: node, size and WIDE_NAMES; bands: node and key.
+
+    verify keeps those of some pairs (a, b) of nodes that are similar in fact.
 
     Each class files its word fingerprint under each of its segments and asks for all values within
-    one bit of each; it files itself under the keys of its bands and asks for the same; what is found is verified by the distance of the shingle fingerprints. A value
-    that very many classes share must not meet itself pair by pair. So first every asker is compared
+    one bit of each; it files itself under the keys of its bands and asks for the same; what is found is verified. A value that very many classes share must not meet itself pair by pair. So first every asker is compared
     with one holder of each value only, and components are formed. Then a value is followed in full
     only by askers of a lower component than a holder's (the holder asks for the asker's value too, so
     each pair has one such asker), and the join yields only pairs of two components that are near. That loses no pair: pairs that are left out are in one component already.
@@ -254,15 +269,16 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: Dat
     filed = materialize(filed if bands is None else filed.unionByName(bands), "filed")
 
     def side(x: str) -> DataFrame:
-        return classes.select(F.col("node").alias(x), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(WIDE_LONGS)))
+        return classes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(WIDE_LONGS)))
 
-    near = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most
+    less, more_of = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    near = (less >= similarity * more_of - 1e-6) & ((less < SMALL_SET) | (sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most))
 
     asked = classes.select("node", _segment_keys(1).alias("key"))
     asked = asked if bands is None else asked.unionByName(bands)
     holder = filed.groupBy("key").agg(F.min("node").alias("holder"))
     first = asked.join(holder, "key").where("node <> holder").select(F.greatest("node", "holder").alias("a"), F.least("node", "holder").alias("b"))
-    links = materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links")
+    links = verify(materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links"))
     roots = materialize(components(links, "a", "b"), "roots")
 
     rooted = materialize(classes.select("node", "u0", "u1").join(roots, "node", "left").select("node", "u0", "u1", F.coalesce("root", "node").alias("root")), "rooted")
@@ -274,7 +290,7 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: Dat
     asking = asking.select(F.col("node").alias("a"), F.col("root").alias("a_root"), "key").join(side("a"), "a")
     holding = held.select(F.col("node").alias("b"), F.col("root").alias("b_root"), "key").join(side("b"), "b")
     across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near)  # all of it within the join
-    more = materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links")
+    more = verify(materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links"))
     if more.isEmpty():
         return roots
     return components(links.unionByName(more), "a", "b")
@@ -283,26 +299,66 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: Dat
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, banded: bool = False) -> DataFrame:
     """One row per row of df: key (see `row_key`), doc_id, node and root. banded: candidates from bands too.
 
-    Texts with the same fingerprints are one class, named by a hash of them (node); root names its
-    component: classes whose sets of shingles are, by their fingerprints, of at least this Jaccard
-    similarity. A text without words has fingerprint zero and is linked like any other.
+    Texts with the same set of shingles are one class, named by a digest of it (node); root names its
+    component: classes that links of at least this Jaccard similarity reach. Texts without words are
+    linked to each other.
     """
     bounded_batches(df.sparkSession)
+    fields = "node: long, size: int, " + "".join(f"{n}: long, " for n in WIDE_NAMES) + "bands: array<long>"
 
-    @F.arrow_udf("struct<" + ", ".join(f"{n}: long" for n in WIDE_NAMES) + ", bands: array<long>>")
+    @F.arrow_udf(f"struct<{fields}>")
     def wide(texts: pa.Array) -> pa.Array:
         made = [_fingerprint_and_bands(t.as_py(), shingle, banded) for t in texts]
-        rows = np.array([f for f, _ in made], np.int64).reshape(-1, len(WIDE_NAMES))
-        bands = pa.array([b for _, b in made], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([*(pa.array(c) for c in rows.T.copy()), bands], names=[*WIDE_NAMES, "bands"])
-
-    rows = df.select(row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
-    rows = materialize(rows.select("key", "doc_id", F.xxhash64(*(F.col("w")[n] for n in WIDE_NAMES)).alias("node"), "w.*"), "wide-fingerprints", packed=True)
+        longs = np.array([f for _, _, f, _ in made], np.int64).reshape(-1, len(WIDE_NAMES))
+        node, size = pa.array([n for n, *_ in made], pa.int64()), pa.array([n for _, n, *_ in made], pa.int32())
+        bands = pa.array([b for *_, b in made], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([node, size, *(pa.array(c) for c in longs.T.copy()), bands], names=["node", "size", *WIDE_NAMES, "bands"])
+
+    key, text = row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")
+    rows = df.select(key, F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
+    rows = materialize(rows.select("key", "doc_id", "w.*"), "wide-fingerprints", packed=True)
     bands = materialize(rows.select("node", F.explode("bands").alias("key")).distinct(), "bands") if banded else None
-    roots = similar_links(rows.select("node", *WIDE_NAMES).distinct(), similarity, bands)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return jaccard_links(pairs, rows, df.select(key, text), shingle, similarity)
+
+    roots = similar_links(rows.select("node", "size", *WIDE_NAMES).dropDuplicates(["node"]), similarity, bands, verify)
     return rows.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
+def jaccard_links(pairs: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have this Jaccard similarity.
+
+    rows: key and node of all texts; texts: key and text. Only texts of nodes in pairs are cut into shingles, one a node.
+    """
+    share = Fraction(similarity).limit_denominator(10_000)
+
+    @F.arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    @F.arrow_udf("boolean")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both * share.denominator >= (len(x) + len(y) - both) * share.numerator)
+        return pa.array(out, pa.bool_())
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialize(rows.join(asked, "node").groupBy("node").agg(F.min("key").alias("key")), "compared", packed=True)
+    if asked.isEmpty():
+        return pairs
+    few = asked.count() <= BROADCAST_KEYS
+    found = texts.join(F.broadcast(asked) if few else asked, "key").select("node", sets("text").alias("hashes"))
+    found = materialize(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    out = materialize(both.where(similar("x", "y")).select("a", "b"), "similar", packed=True)
+    release(found)
+    return out
+
+
 def keep_one_of_each(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without all but one row of each component of `found`; columns as in df.
 
