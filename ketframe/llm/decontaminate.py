@@ -7,9 +7,11 @@ all n tokens, n - n + 1 = 1 of them, in order of rarity, meets every match. Rari
 over the whole corpus. A place that has the shingle must leave room for the words before it
 (positional bound) and after it (length bound) before the words are compared one by one.
 
-The corpus is scanned twice (counting, matching) and never shuffled: positions stay inside
-generated code, where a hash join looks up 64-bit shingle hashes. What is broadcast is a block
-of at most BROADCAST_WINDOWS windows; more windows make more blocks, each a scan of its own.
+The corpus is scanned twice (counting, matching), however many windows there are, and never shuffled
+as a whole: positions stay inside generated code. Up to BROADCAST_TOKENS shingles, and BROADCAST_WINDOWS
+windows of BROADCAST_CHARS characters in all, a hash join looks up 64-bit shingle hashes there. Beyond,
+each scan looks them up in a filter of two bits a shingle (FILTER_BUCKETS rows of 4 KB at most), and only
+the places that pass, with the words about them, are shuffled to meet the shingles or windows themselves.
 Matches are few and are grouped by the digest of the text, so copies of a document combine
 before the shuffle.
 
@@ -29,8 +31,12 @@ from ketframe.llm._common import ascii_lower, documents, materialize, without_ke
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 3
-#: Windows that are broadcast at once, about 300 bytes each.
-BROADCAST_WINDOWS = 100_000
+#: Most windows that are broadcast, about 300 bytes each, and most characters of their words.
+BROADCAST_WINDOWS, BROADCAST_CHARS = 100_000, 30_000_000
+#: Most shingle hashes that are broadcast, about 40 bytes each in memory.
+BROADCAST_TOKENS = 500_000
+#: Bits of the filter for each shingle, longs in one of its rows, and its most rows (a power of two).
+FILTER_BITS, FILTER_LONGS, FILTER_BUCKETS = 16, 512, 16_384
 
 
 def item_words(text: Column) -> Column:
@@ -66,9 +72,29 @@ def _positions(docs: DataFrame, sizes: list[int], first: int) -> DataFrame:
     return rows.withColumn("shingle", F.explode(_shingles(F.col("w"), F.col("at"), sizes)))
 
 
-def _blocks(keys: DataFrame, column: str, count: int) -> list[DataFrame]:
-    n = max(1, -(-count // BROADCAST_WINDOWS))
-    return [keys if n == 1 else keys.where(F.pmod(F.xxhash64(column), F.lit(n)) == b) for b in range(n)]
+def _filter_bits(shingle: Column) -> list[Column]:
+    """The two bits of a shingle within its row of the filter; the row is told by other bits of the hash."""
+    return [F.shiftrightunsigned(shingle, by).bitwiseAND(F.lit(64 * FILTER_LONGS - 1)).cast("int") for by in (34, 49)]
+
+
+def shingle_filter(shingles: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """(bucket, longs) of a Bloom filter over column shingle, and the mask that tells a shingle's bucket."""
+    buckets = 1
+    while buckets < FILTER_BUCKETS and buckets * 64 * FILTER_LONGS < FILTER_BITS * count:
+        buckets *= 2
+    rows = shingles.select(F.col("shingle").bitwiseAND(F.lit(buckets - 1)).alias("bucket"), F.explode(F.array(*_filter_bits(F.col("shingle")))).alias("bit"))
+    words = rows.groupBy("bucket", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))).alias("bits"))
+    full = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    longs = F.transform(F.sequence(F.lit(0), F.lit(FILTER_LONGS - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    return materialize(full.select("bucket", longs.alias("longs")), "shingle-filter"), buckets - 1
+
+
+def _passing(positions: DataFrame, shingles: DataFrame, count: int, told: Column) -> DataFrame:
+    """The positions that are told, or whose shingle passes the filter."""
+    table, mask = shingle_filter(shingles, count)
+    rows = positions.withColumn("bucket", F.col("shingle").bitwiseAND(F.lit(mask))).join(F.broadcast(table), "bucket", "left")
+    has = [F.call_function("shiftrightunsigned", F.get("longs", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1 for bit in _filter_bits(F.col("shingle"))]
+    return rows.where(told | F.coalesce(has[0] & has[1], F.lit(False))).drop("bucket", "longs")
 
 
 def match_windows(docs: DataFrame, items: DataFrame, *, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +105,8 @@ def match_windows(docs: DataFrame, items: DataFrame, *, doc_text: str = "text",
     """
     # 1. the windows and their shingles in place
     windows = materialize(item_windows(items, item_id, item_text, window), "windows")
-    known = windows.agg(F.count("*").alias("n"), F.collect_set(F.least(F.size("words"), F.lit(shingle))).alias("sizes")).first()
+    chars = F.coalesce(F.sum(F.length(F.array_join("words", "")).cast("long")), F.lit(0).cast("long"))
+    known = windows.agg(F.count("*").alias("n"), chars.alias("chars"), F.collect_set(F.least(F.size("words"), F.lit(shingle))).alias("sizes")).first()
     sizes = sorted(known.sizes) or [shingle]
     corpus = docs.select(F.col(doc_text).alias("text")).select(text_digest(F.col("text")).alias("key"), item_words(F.col("text")).alias("w"))
     placed = windows.withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("words") - F.least(F.size("words"), F.lit(shingle)))))
@@ -90,29 +117,38 @@ def match_windows(docs: DataFrame, items: DataFrame, *, doc_text: str = "text",
 
     # 2. rarity of the windows' shingles over the whole corpus
     tokens = materialize(placed.select("shingle").distinct(), "tokens")
-    counts = None
-    for block in _blocks(tokens, "shingle", tokens.count()):
-        found = _positions(corpus, sizes, 0).join(F.broadcast(block), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
-        counts = found if counts is None else counts.unionByName(found)
+    n_tokens, nothing = tokens.count(), F.lit(False)
+    positions = _positions(corpus, sizes, 0)
+    if n_tokens <= BROADCAST_TOKENS:
+        counts = positions.join(F.broadcast(tokens), "shingle").groupBy("shingle").agg(F.count("*").alias("n"))
+    else:
+        counts = _passing(positions, tokens, n_tokens, nothing).groupBy("shingle").agg(F.count("*").alias("n")).join(tokens, "shingle")
     counts = materialize(counts, "rarity")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("first")
     prefix = placed.join(counts, "shingle", "left").groupBy("words").agg(rarest, F.first("items").alias("items"))
     prefix = materialize(prefix.where("first.n > 0").select(F.col("first.shingle").alias("shingle"), F.col("first.offset").alias("offset"), "words", "items"), "prefixes")
 
     # 3. look up the prefix, bound, verify; the row at place -1 only tells of its text
-    rows = None
-    for b, block in enumerate(_blocks(prefix, "words", known.n)):
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.size("words") <= F.size("w"))
-        same = F.when(fits, F.slice(F.col("w"), start + 1, F.size("words")) == F.col("words")).otherwise(False)
-        if b == 0:
-            found = _positions(corpus, sizes, -1).join(F.broadcast(block), "shingle", "left").where((F.col("at") == -1) | same)
-            told = F.col("at") == -1
-        else:
-            found = _positions(corpus, sizes, 0).join(F.broadcast(block), "shingle").where(same)
-            told = F.lit(False)
-        found = found.select("key", F.when(told, F.size("w")).alias("n_words"), F.when(~told, start).alias("start"), F.when(~told, F.size("words")).alias("length"), F.when(~told, F.col("items")).alias("items"))
-        rows = found if rows is None else rows.unionByName(found)
+    told, start = F.col("at") == -1, F.col("at") - F.col("offset")
+    positions = _positions(corpus, sizes, -1)
+    length = F.size("words")
+    if known.n <= BROADCAST_WINDOWS and known.chars <= BROADCAST_CHARS:
+        fits = (start >= 0) & (start + length <= F.size("w"))
+        same = F.when(fits, F.slice(F.col("w"), start + 1, length) == F.col("words")).otherwise(False)
+        rows = positions.join(F.broadcast(prefix), "shingle", "left").where(told | same).withColumn("n_words", F.when(told, F.size("w")))
+    else:
+        passing = _passing(positions, prefix, known.n, told)
+        before = F.least(F.col("at"), F.lit(window - 1))
+        about = F.when(told, F.array().cast("array<string>")).otherwise(F.slice("w", F.col("at") - before + 1, before + window))
+        passing = passing.select("key", "at", "shingle", F.when(told, F.size("w")).alias("n_words"), before.alias("before"), about.alias("about"))
+        passing = materialize(passing, "passing", packed=True)
+        first = F.col("before") - F.col("offset")
+        same = F.when((first >= 0) & (first + length <= F.size("about")), F.slice("about", first + 1, length) == F.col("words")).otherwise(False)
+        rows = passing.where("n_words is null").join(prefix, "shingle").where(same).select("key", "at", "n_words", "offset", "words", "items")
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in prefix.dtypes if name != "shingle"]
+        rows = rows.unionByName(passing.where("n_words is not null").select("key", "at", "n_words", *none))
+    found = lambda c: F.when(F.col("n_words").isNull(), c)
+    rows = rows.select("key", "n_words", found(start).alias("start"), found(length).alias("length"), found(F.col("items")).alias("items"))
     rows = materialize(rows, "matches", packed=True)
     texts = rows.where("n_words is not null").select("key", F.col("n_words").cast("long").alias("n_words"))
     return texts, rows.where("start is not null").select("key", "start", "length", "items")

@@ -30,9 +30,10 @@ def brute(docs, items, size):
     return out
 
 
-@pytest.mark.parametrize("size, shingle, block", [(13, 3, 100_000), (4, 2, 100_000), (4, 3, 5), (2, 3, 100_000)])
+@pytest.mark.parametrize("size, shingle, block", [(13, 3, 100_000), (4, 2, 100_000), (4, 3, 5), (13, 3, 5), (2, 3, 5)])
 def test_against_brute_force(spark, monkeypatch, size, shingle, block):
     monkeypatch.setattr(op, "BROADCAST_WINDOWS", block)
+    monkeypatch.setattr(op, "BROADCAST_TOKENS", block)
     rng = random.Random(size)
     vocabulary = ["the", "The", "of", "Élan", "élan", "x1", "日本", "w-y", "a_b", "zz", "it's"]
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "\x00"]) for _ in range(n))
@@ -60,6 +61,28 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in op.contamination(some, b).select("n_words", "n_hit", "items", "contaminated").collect()] == [(2, 0, [], False)]
 
 
+def test_filter(spark):
+    """All shingles pass; few others do, in one row or in several."""
+    keys = spark.range(3_000).select(op.F.xxhash64("id").alias("shingle"))
+    others = spark.range(10_000, 30_000).select(op.F.xxhash64("id").alias("shingle"))
+    for rows in (1, 2):
+        op_rows = op.FILTER_BUCKETS
+        try:
+            op.FILTER_BUCKETS = rows
+            assert op._passing(keys, keys, 3_000, op.F.lit(False)).count() == 3_000
+            assert op._passing(others, keys, 3_000, op.F.lit(False)).count() < 1_200 / rows
+        finally:
+            op.FILTER_BUCKETS = op_rows
+
+
+def test_query_by_the_filter(spark, sf, monkeypatch):
+    """The same rows where nothing but the filter is broadcast."""
+    want = {r.doc_id: r for r in op.op8(spark, sf).collect()}
+    monkeypatch.setattr(op, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(op, "BROADCAST_TOKENS", 0)
+    assert {r.doc_id: r for r in op.op8(spark, sf).collect()} == want and any(r.n_hit for r in want.values())
+
+
 def test_query_against_sql(spark, sf):
     from tests.llm.duck import same_rows
 
