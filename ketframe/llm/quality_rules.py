@@ -12,10 +12,10 @@ under MIN_GROUP rows take their language's threshold, small languages that of al
 fail the base rules are not in the sketches. Thresholds are joined to the rows by broadcast up to
 BROADCAST_GROUPS groups, by a shuffled join beyond.
 
-A junk tenth of a group moves its ninth decile and with it the limit. Where `bounded` is asked for, a
-limit is at most (a lower one at least) the largest (smallest) of the bounds of the group, its language
-and all rows: median plus BOUND_SPREADS times the distance from the first quartile to the median plus the
-slack, which a junk third moves little. op7 and its SQL are not bounded; the pipeline is.
+A junk tenth of a group moves its ninth decile and with it the limit. So a limit is at most (a lower one
+at least) the largest (smallest) of the bounds of the group, its language and all rows: median plus
+BOUND_SPREADS times the distance from the first quartile to the median plus the slack, which a junk third
+moves little.
 
 Defined cases: null is the empty text, which fails the base rules; null language or source is a
 group of its own; repeated rows count each; the struct column replaces an input column of its name.
@@ -97,7 +97,7 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str, bounded: bool = False) -> DataFrame:
+def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str) -> DataFrame:
     """(lang, source, rule thresholds): one row per group, merged from the rows' partial sketches."""
     q = F.col(quality_col)
     bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _bin(q, r).alias("bin")) for r in RULES)))
@@ -132,14 +132,14 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str
     def of_rule(rule: str, side: int) -> Column:
         limit = F.coalesce(*(F.col(x)[rule]["limit"] for x in levels))
         bounds = [F.col(x)[rule]["bound"] for x in levels]
-        return limit if not bounded else F.least(limit, F.greatest(*bounds)) if side > 0 else F.greatest(limit, F.least(*bounds))
+        return F.least(limit, F.greatest(*bounds)) if side > 0 else F.greatest(limit, F.least(*bounds))
 
     return whole.select("lang", "source", *(of_rule(r, side).alias(r) for r, (*_, side) in RULES.items()))
 
 
-def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", quality_col: str = "quality", bounded: bool = False) -> DataFrame:
+def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", quality_col: str = "quality") -> DataFrame:
     """Add base_failed, failed_rules and kept to the struct of counts. rows should be cheap to read twice."""
-    limits = materialize(thresholds(rows, lang_col, source_col, quality_col, bounded), "thresholds")
+    limits = materialize(thresholds(rows, lang_col, source_col, quality_col), "thresholds")
     small = limits.count() <= BROADCAST_GROUPS
     limits = limits.select(F.struct("*").alias(TEMP + "limits"), F.col("lang").alias(TEMP + "lang"), F.col("source").alias(TEMP + "source"))
     on = F.col(lang_col).eqNullSafe(F.col(TEMP + "lang")) & F.col(source_col).eqNullSafe(F.col(TEMP + "source"))
@@ -152,9 +152,9 @@ def judge(rows: DataFrame, lang_col: str = "lang", source_col: str = "source", q
     return out.withColumn(quality_col, full).drop(TEMP + "limits", TEMP + "lang", TEMP + "source")
 
 
-def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "quality", bounded: bool = False) -> DataFrame:
+def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", out_col: str = "quality") -> DataFrame:
     """df with a struct of counts and verdict: n_words, ..., base_failed, failed_rules, kept."""
-    return judge(materialize(quality_counts(df, text_col, out_col), "counted"), lang_col, source_col, out_col, bounded)
+    return judge(materialize(quality_counts(df, text_col, out_col), "counted"), lang_col, source_col, out_col)
 
 
 def drop_rejected(df: DataFrame, **options) -> DataFrame:
@@ -175,18 +175,20 @@ def _op7_sql() -> str:
     """The same counts, bins, quantiles and thresholds in SQL; rules in the order of RULES."""
     names = list(RULES)
     bins = ", ".join(f"least({scale} * {top} // greatest({bottom}, 1), {last}) AS b_{r}" for r, (top, bottom, scale, last, *_) in RULES.items())
-    long = " UNION ALL ".join(f"SELECT r, lang, source, '{r}' AS rule, b_{r} AS bin FROM good" for r in names)
-    side = "CASE rule " + " ".join(f"WHEN '{r}' THEN " + (f"q5 + {SPREADS} * (q9 - q5) + {slack}" if s > 0 else f"q5 - {SPREADS} * (q5 - q1) - {slack}") for r, (*_, slack, s) in RULES.items()) + " END"
-    quantiles = ", ".join(f"min(bin) FILTER (10 * seen >= {t} * n) AS q{t}" for t in (1, 5, 9))
+    long = lambda table: " UNION ALL ".join(f"SELECT r, lang, source, '{r}' AS rule, {i} AS k, b_{r} AS bin FROM {table}" for i, r in enumerate(names))
+    by_rule = lambda up, down: "CASE rule " + " ".join(f"WHEN '{r}' THEN {(up if s > 0 else down).format(slack=slack)}" for r, (*_, slack, s) in RULES.items()) + " END"
+    cut = by_rule(f"q5 + {SPREADS} * (q9 - q5) + {{slack}}", f"q5 - {SPREADS} * (q5 - q1) - {{slack}}")
+    bound = by_rule(f"q5 + {BOUND_SPREADS} * (q5 - low) + {{slack}}", f"q5 - {BOUND_SPREADS} * (high - q5) - {{slack}}")
+    fails = by_rule("bin > least(cut, most)", "bin < greatest(cut, least_)")
+    quantiles = ", ".join(f"min(bin) FILTER ({of} * seen >= {t} * n) AS {name}" for t, of, name in ((1, 10, "q1"), (5, 10, "q5"), (9, 10, "q9"), (1, 4, "low"), (3, 4, "high")))
 
     def level(name: str, by: str, least: int) -> str:
         keys = f"{by}, " if by else ""
         return f"""{name}_c AS (SELECT {keys}rule, bin, count(*) AS c FROM long GROUP BY {keys}rule, bin),
 {name}_s AS (SELECT {keys}rule, bin, sum(c) OVER (PARTITION BY {keys}rule ORDER BY bin) AS seen, sum(c) OVER (PARTITION BY {keys}rule) AS n FROM {name}_c),
 {name}_q AS (SELECT {keys}rule, n, {quantiles} FROM {name}_s GROUP BY {keys}rule, n),
-{name} AS (SELECT {keys}rule, {side} AS cut FROM {name}_q WHERE n >= {least})"""
+{name} AS (SELECT {keys}rule, {cut} AS cut, {bound} AS bound FROM {name}_q WHERE n >= {least})"""
 
-    fails = ", ".join(f"CASE WHEN b_{r} {'>' if s > 0 else '<'} coalesce((SELECT cut FROM fine f WHERE f.rule = '{r}' AND f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source), (SELECT cut FROM middle m WHERE m.rule = '{r}' AND m.lang IS NOT DISTINCT FROM x.lang), (SELECT cut FROM whole w WHERE w.rule = '{r}')) THEN '{r}' END" for r, (*_, s) in RULES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -196,12 +198,18 @@ hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 c AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
   CAST(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_capitals, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN hit USING (r)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {bins} FROM c),
-good AS (SELECT * FROM b WHERE NOT base_failed), long AS ({long}),
+good AS (SELECT * FROM b WHERE NOT base_failed), long AS ({long("good")}),
 {level("fine", "lang, source", MIN_GROUP)},
 {level("middle", "lang", MIN_GROUP)},
 {level("whole", "", 0)},
-v AS (SELECT *, concat_ws(',', {fails}) AS failed_rules FROM b x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+groups AS (SELECT DISTINCT lang, source FROM good),
+limits AS (SELECT g.lang, g.source, w.rule, coalesce(f.cut, m.cut, w.cut) AS cut, greatest(f.bound, m.bound, w.bound) AS most, least(f.bound, m.bound, w.bound) AS least_
+  FROM groups g CROSS JOIN whole w LEFT JOIN fine f ON f.rule = w.rule AND f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN middle m ON m.rule = w.rule AND m.lang IS NOT DISTINCT FROM g.lang),
+each AS ({long("b")}),
+failed AS (SELECT r, string_agg(rule, ',' ORDER BY k) AS rules FROM (SELECT e.r, e.k, e.rule, {fails.replace("CASE rule", "CASE e.rule")} AS bad FROM each e
+  JOIN limits l ON l.rule = e.rule AND l.lang IS NOT DISTINCT FROM e.lang AND l.source IS NOT DISTINCT FROM e.source) WHERE bad GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules FROM b LEFT JOIN failed USING (r)
 """
 
 
