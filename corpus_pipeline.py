@@ -14,28 +14,43 @@ from ketframe.llm._common import documents, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with limits that a junk source cannot raise."""
-    return quality_rules.drop_rejected(docs, bounded=True)
+    """Documents that the quality rules keep, with limits that a junk source cannot raise.
+
+    A null text counts as empty and goes, as does every text under the base rules; rows that agree stay or go together.
+    """
+    return quality_rules.drop_rejected(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines it shares with an earlier one; n_chars follows."""
+    """Every document, without the lines it shares with an earlier one; n_chars follows.
+
+    A null text stays null, with a null n_chars; a text that loses all its lines is empty; rows that agree lose the same.
+    """
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    Texts without words, null among them, are one group; of rows that agree one stays; null ids come last.
+    """
     return simhash.keep_one_of_each(docs, simhash.similar_documents(docs, banded=True))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates.
+
+    A null text or one without words is clean; so is every document where there are no items.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its text."""
+    """Ids of every document, and whether they decode to its text.
+
+    A null or empty text has no ids and decodes to the empty text.
+    """
     import public_tokenizers
 
     out = sentencepiece.sentencepiece_round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
