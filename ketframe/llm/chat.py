@@ -11,8 +11,8 @@ those of maximal conversations. Prefix digests are made distinct before they are
 partial aggregation, so a conversation or first turn that very many share is one row from each task.
 
 Defined cases: turns are ordered by turn number (nulls first), then digest; a null role or
-text differs from an empty one in comparisons and is rendered as empty; turns of a null conversation
-id belong together; repeated rows of a turn count once each; columns besides the four named are left
+text differs from an empty one in comparisons and is rendered as empty; a turn without a conversation
+id is a conversation of its own; repeated rows of a turn count once each; columns besides the four named are left
 behind, since a conversation has no single value for them.
 """
 
@@ -50,22 +50,25 @@ def _rolling():
 
 
 def _turns(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """k, conv, turn, role, text, digest and copies; turns of no conversation that agree are one row."""
     rows = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("k", F.when(F.col("conv").isNull(), F.lit("-")).otherwise(F.concat(F.lit("i"), F.col("conv").cast("string"))))
-    return rows.withColumn("digest", F.md5(F.concat(_told(F.col("role")), _told(F.col("text"))).cast("binary")))
+    rows = rows.withColumn("digest", F.md5(F.concat(_told(F.col("role")), _told(F.col("text"))).cast("binary")))
+    rows = rows.withColumn("k", F.when(F.col("conv").isNull(), F.concat(F.lit("-"), "digest")).otherwise(F.concat(F.lit("i"), F.col("conv").cast("string"))))
+    alone = rows.where("conv is null").groupBy("k", "digest").agg(F.first("conv").alias("conv"), F.min("turn").alias("turn"), F.first("role").alias("role"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    return rows.where("conv is not null").withColumn("copies", F.lit(1).cast("long")).unionByName(alone)
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """(k, n, copies) of conversations that are no prefix of another; copies counts the equal ones. turns: k, conv, turn, digest.
+    """(k, n, copies) of conversations that are no prefix of another; copies counts the equal ones. turns: k, conv, turn, digest, copies.
 
     k is the id as text that is never null, so that one shuffle by it serves the join and the grouping.
     """
-    convs = turns.groupBy("k").agg(F.max("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("turn", "digest"))).alias("t"))
-    convs = materialize(convs.select("k", "conv", F.size("t").alias("n"), _rolling()(F.transform("t", lambda x: x["digest"])).alias("rolling")), "prefixes")
+    convs = turns.groupBy("k").agg(F.max("conv").alias("conv"), F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("turn", "digest"))).alias("t"))
+    convs = materialize(convs.select("k", "conv", "copies", F.size("t").alias("n"), _rolling()(F.transform("t", lambda x: x["digest"])).alias("rolling")), "prefixes")
     inner = convs.where("n > 1").select(F.explode(F.slice("rolling", F.lit(1), F.col("n") - 1)).alias("whole")).distinct()
-    whole = convs.select("k", "conv", "n", F.element_at("rolling", -1).alias("whole"))
+    whole = convs.select("k", "conv", "n", "copies", F.element_at("rolling", -1).alias("whole"))
     first = F.min(F.struct(F.col("conv").isNull().alias("last"), "conv", "k", "n")).alias("first")
-    equal = whole.groupBy("whole").agg(first, F.count("*").alias("copies"))
+    equal = whole.groupBy("whole").agg(first, F.sum("copies").alias("copies"))
     return equal.join(inner, "whole", "left_anti").select("first.k", "first.n", "copies")
 
 
@@ -79,8 +82,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     """(conv_col, n_turns, n_copies, out_col): maximal conversations, rendered."""
     bounded_batches(df.sparkSession)
     turns = _turns(df, conv_col, turn_col, role_col, text_col)
-    kept = maximal_conversations(turns.select("k", "conv", "turn", "digest"))
-    out = turns.join(kept, "k").groupBy("k").agg(F.max("conv").alias("conv"), F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("turn", "digest", "role", "text"))).alias("t"))
+    kept = maximal_conversations(turns.select("k", "conv", "turn", "digest", "copies"))
+    out = turns.drop("copies").join(kept, "k").groupBy("k").agg(F.max("conv").alias("conv"), F.first("n").cast("long").alias("n_turns"), F.first("copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("turn", "digest", "role", "text"))).alias("t"))
     return out.select(F.col("conv").alias(conv_col), "n_turns", "n_copies", render(F.col("t")).alias(out_col))
 
 
@@ -90,12 +93,14 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH t AS (SELECT conv_id, turn, role, text, md5(CASE WHEN role IS NULL THEN '-' ELSE length(role) || ':' || role END || CASE WHEN text IS NULL THEN '-' ELSE length(text) || ':' || text END) AS d FROM conversations),
-c AS (SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d) AS ds,
+WITH a AS (SELECT conv_id, turn, role, text, md5(CASE WHEN role IS NULL THEN '-' ELSE length(role) || ':' || role END || CASE WHEN text IS NULL THEN '-' ELSE length(text) || ':' || text END) AS d FROM conversations),
+t AS (SELECT 'i' || conv_id AS k, conv_id, turn, role, text, d, 1 AS copies FROM a WHERE conv_id IS NOT NULL
+      UNION ALL SELECT '-' || d, any_value(conv_id), min(turn), any_value(role), any_value(text), d, count(*) FROM a WHERE conv_id IS NULL GROUP BY d),
+c AS (SELECT k, max(conv_id) AS conv_id, max(copies) AS copies, list(d ORDER BY turn NULLS FIRST, d) AS ds,
         string_agg('<|im_start|>' || replace(replace(coalesce(role, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
           || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, d) AS rendered
-      FROM t GROUP BY conv_id),
-inner_ AS (SELECT DISTINCT ds[1:k] AS ds FROM (SELECT ds, unnest(generate_series(1, len(ds) - 1)) AS k FROM c)),
-e AS (SELECT ds, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ds)
-SELECT conv_id, CAST(len(c.ds) AS BIGINT) AS n_turns, n_copies, rendered FROM e JOIN c USING (conv_id) WHERE e.ds NOT IN (SELECT ds FROM inner_)
+      FROM t GROUP BY k),
+inner_ AS (SELECT DISTINCT ds[1:n] AS ds FROM (SELECT ds, unnest(generate_series(1, len(ds) - 1)) AS n FROM c)),
+e AS (SELECT ds, first(k ORDER BY conv_id NULLS LAST, k) AS k, sum(copies) AS n_copies FROM c GROUP BY ds)
+SELECT conv_id, CAST(len(c.ds) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies, rendered FROM e JOIN c USING (k) WHERE e.ds NOT IN (SELECT ds FROM inner_)
 """

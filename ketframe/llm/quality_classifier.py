@@ -78,8 +78,11 @@ def add_statistics(df: DataFrame, text_col: str = "text", out_col: str = "statis
 
 
 def partition_sums(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all batches of what `part` makes of each: `size` numbers. At most SLOTS rows reach the driver."""
-    schema = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
+    """Sum over all batches of what `part` makes of each: `size` numbers. At most SLOTS rows reach the driver.
+
+    Partitions are added in their order, so that a task that runs again does not move the last digits.
+    """
+    schema = pa.schema([("slot", pa.int32()), ("place", pa.int32()), ("sums", pa.binary())])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,17 +93,19 @@ def partition_sums(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray],
                 total += part(batch)
                 some = True
         if some:
-            yield pa.RecordBatch.from_pydict({"slot": [TaskContext.get().partitionId() % SLOTS], "sums": [total.tobytes()]}, schema)
+            place = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"slot": [place % SLOTS], "place": [place], "sums": [total.tobytes()]}, schema)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for slot, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for slot, sums in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 totals[slot] = totals.get(slot, 0) + np.frombuffer(sums)
         for slot, total in totals.items():
-            yield pa.RecordBatch.from_pydict({"slot": [slot], "sums": [total.tobytes()]}, schema)
+            yield pa.RecordBatch.from_pydict({"slot": [slot], "place": [slot], "sums": [total.tobytes()]}, schema)
 
-    rows = df.mapInArrow(first, "slot int, sums binary").repartition(SLOTS, "slot").mapInArrow(second, "slot int, sums binary").collect()
+    kind = "slot int, place int, sums binary"
+    rows = df.mapInArrow(first, kind).repartition(SLOTS, "slot").sortWithinPartitions("place").mapInArrow(second, kind).collect()
     return sum((np.frombuffer(r.sums) for r in sorted(rows)), np.zeros(size))
 
 
