@@ -249,8 +249,7 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     part = cut.join(first, "doc").select("key", F.lit(False).alias("whole"), "lines")
     whole = rows.select("key").distinct().join(first, "key", "left_anti").select("key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("lines"))
     out = materialize(part.unionByName(whole), "cuts", packed=True)
-    for table in (once, rows):
-        release(table)
+    release(once, rows, *cuts)
     return out
 
 

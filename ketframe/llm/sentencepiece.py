@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from ketframe.llm._common import bounded_batches, documents
 
 MARK = "▁"
-TABLE_WORDS = 400_000
+TABLE_WORDS = 100_000
 #: Words segmented by one call of the library.
-CALL_WORDS = 50_000
+CALL_WORDS = 20_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 RESULT = "struct<ids: array<int>, decoded: string>"
