@@ -93,6 +93,30 @@ def compare_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
     return a.join(b, "file", "full_outer").select("file", status.alias("status"))
 
 
+def changed_evidence(found: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Pinned files that are changed or missing; files that the pinned list lacks do not count."""
+    return compare_checksums(found, pinned).where(F.col("status").isin("changed", "missing"))
+
+
+def reproducibility_record(spark: SparkSession, config: dict, sources: str, datasets: dict[str, str]) -> DataFrame:
+    """(kind, name, value): digests of a config, of the source files under a folder and of data folders, and versions."""
+    import platform
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ketframe.functions.seeds import canonical_json
+
+    digest = F.sha2(F.lit(canonical_json(config)).cast("binary"), 256)
+    versions = {"python": platform.python_version(), "numpy": np.__version__, "pyarrow": pa.__version__, "spark": spark.version}
+    out = spark.createDataFrame([("version", k, v) for k, v in versions.items()], "kind string, name string, value string")
+    out = out.unionByName(spark.range(1).select(F.lit("config").alias("kind"), F.lit("config").alias("name"), digest.alias("value")))
+    out = out.unionByName(checksums(spark, sources).select(F.lit("source").alias("kind"), F.col("file").alias("name"), F.col("sha256").alias("value")))
+    for name, path in datasets.items():
+        out = out.unionByName(tree_hash(checksums(spark, path)).select(F.lit("dataset").alias("kind"), F.lit(name).alias("name"), F.col("tree").alias("value")))
+    return out
+
+
 def tree_hash(files: DataFrame) -> DataFrame:
     """One row: a digest over (file, sha256) in the order of names."""
     row = F.concat_ws(" ", "file", "sha256")
@@ -118,8 +142,10 @@ def write_json_report(spark: SparkSession, value: dict, path: str) -> None:
 
 
 def write_markdown(spark: SparkSession, df: DataFrame, title: str, path: str, most: int = 1_000) -> None:
-    """A report table of at most `most` rows."""
-    rows = df.limit(most).collect()
+    """A report table of the first `most` rows, with the number of those left out."""
+    rows = df.limit(most + 1).collect()
+    more = df.count() - most if len(rows) > most else 0
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    lines += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
+    lines += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows[:most]]
+    lines += ["", f"{more} more rows are not shown."] if more else []
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)

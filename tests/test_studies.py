@@ -79,3 +79,27 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     query = done.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r.start, r.group): (r.n, round(r.mean, 9)) for r in spark.table("windows").collect()} == batch
+
+
+def test_evidence_and_reproducibility(spark, tmp_path):
+    folder = tmp_path / "evidence"
+    folder.mkdir()
+    for name in "abc":
+        (folder / name).write_text(f"content of {name}")
+    pinned = spark.createDataFrame(tables.checksums(spark, str(folder)).collect())
+    assert pinned.count() == 3 and tables.changed_evidence(tables.checksums(spark, str(folder)), pinned).count() == 0
+    first = {(r.kind, r.name): r.value for r in tables.reproducibility_record(spark, {"b": 1, "a": [2]}, str(folder), {"all": str(folder)}).collect()}
+    (folder / "a").write_text("another")
+    (folder / "b").unlink()
+    (folder / "d").write_text("new")
+    got = {r.file: r.status for r in tables.changed_evidence(tables.checksums(spark, str(folder)), pinned).collect()}
+    assert got == {"a": "changed", "b": "missing"}
+    second = {(r.kind, r.name): r.value for r in tables.reproducibility_record(spark, {"a": [2], "b": 1}, str(folder), {"all": str(folder)}).collect()}
+    assert first["config", "config"] == second["config", "config"] and first["source", "c"] == second["source", "c"]
+    assert first["dataset", "all"] != second["dataset", "all"] and ("source", "b") not in second and ("version", "spark") in second
+
+
+def test_markdown_says_what_is_left_out(spark, tmp_path):
+    tables.write_markdown(spark, spark.range(7).orderBy("id"), "T", f"{tmp_path}/m", most=3)
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/m").collect())
+    assert "4 more rows are not shown." in text and "| 2 |" in text and "| 3 |" not in text
