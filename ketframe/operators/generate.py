@@ -173,13 +173,23 @@ def radii_of(states: np.ndarray) -> dict[str, float]:
     return {k: float(np.quantile(np.arccos(np.clip(c, 0, 1)), q)) for k, q in RADII.items()}
 
 
-def tangent_pool(sources: DataFrame, dataset: str, run_seed: int, radius: str = "medium", count: int = 20, namespace: str = TANGENT_NAME) -> DataFrame:
-    """count states a class around its anchors in hashed order; sources: parameter_id, label, state of one frozen subset."""
-    if radius not in RADII:
+#: What calibration asks of a candidate besides: its place, and how far rounding moved it and its tangent.
+TANGENT_CELL = f"dataset string, run_seed int, index int, near_earlier int, norm_error double, tangent_overlap double, tangent_norm_error double, {TANGENT}"
+#: Fixed value: infidelity below which two states count as near-duplicates.
+NEAR_INFIDELITY = 1e-4
+
+
+def tangent_pools(sources: DataFrame, run_seeds: list[int], radii: list[str], count: int = 20, namespace: str = TANGENT_NAME) -> DataFrame:
+    """count states for each cell of data set, class, seed and radius, around the cell's anchors in hashed order.
+
+    sources: dataset, parameter_id, label, state of frozen subsets. Cells are what is distributed; near_earlier
+    counts the earlier states of a cell that a state nearly repeats.
+    """
+    if set(radii) - set(RADII):
         raise ValueError("unknown radius")
 
     def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        label = int(key[0])
+        dataset, label, run_seed, radius = key[0], int(key[1]), int(key[2]), key[3]
         part = part.sort_values("parameter_id", kind="stable")
         ids, states = part["parameter_id"].tolist(), to_matrix(part["state"])
         delta = radii_of(states)[radius]
@@ -188,13 +198,22 @@ def tangent_pool(sources: DataFrame, dataset: str, run_seed: int, radius: str =
         for index in range(count):
             at, depth = order[index % len(ids)], index // len(ids)
             parts = (run_seed, label, ids[at], radius, depth, namespace)
-            state, _, redraw = random_tangent(states[at], delta, (np.random.default_rng(hash_seed(*parts, k)) for k in range(100)), known)
+            state, tangent, redraw = random_tangent(states[at], delta, (np.random.default_rng(hash_seed(*parts, k)) for k in range(100)), known)
+            near = int((1 - np.abs(known[len(states) :].conj() @ state) ** 2 < NEAR_INFIDELITY).sum())
+            errors = [abs(float(np.linalg.norm(state)) - 1), float(abs(np.vdot(states[at], tangent))), abs(float(np.linalg.norm(tangent)) - 1)]
             known = np.vstack([known, state])
             actual = float(np.arccos(min(abs(np.vdot(states[at], state)), 1.0)))
-            rows.append(("local-" + stable_hash(dataset, *parts)[:20], label, ids[at], radius, delta, depth, [r for r, n in ((0.5, 5), (1.0, 10), (2.0, 20)) if index < n], redraw, _decimal(hash_seed(*parts, redraw)), actual, abs(actual - delta), 1 - float((np.abs(states.conj() @ state) ** 2).max()), linalg.state_digests(linalg.largest_pivot(state))[0], to_rows(state[None])[0]))
-        return pd.DataFrame(rows, columns=["synthetic_id", "label", "anchor_id", "radius_name", "delta", "depth", "member", "redraws", "generator_seed", "actual", "error", "nearest_infidelity", "state_hash", "state"])
+            rows.append((dataset, run_seed, index, near, *errors, "local-" + stable_hash(dataset, *parts)[:20], label, ids[at], radius, delta, depth, [r for r, n in ((0.5, 5), (1.0, 10), (2.0, 20)) if index < n], redraw, _decimal(hash_seed(*parts, redraw)), actual, abs(actual - delta), 1 - float((np.abs(states.conj() @ state) ** 2).max()), linalg.state_digests(linalg.largest_pivot(state))[0], to_rows(state[None])[0]))
+        return pd.DataFrame(rows, columns=["dataset", "run_seed", "index", "near_earlier", "norm_error", "tangent_overlap", "tangent_norm_error", "synthetic_id", "label", "anchor_id", "radius_name", "delta", "depth", "member", "redraws", "generator_seed", "actual", "error", "nearest_infidelity", "state_hash", "state"])
+
+    cells = sources.select("dataset", "label", "parameter_id", "state").withColumn("run_seed", F.explode(F.array(*(F.lit(s) for s in run_seeds)))).withColumn("radius", F.explode(F.array(*(F.lit(r) for r in radii))))
+    return cells.groupBy("dataset", "label", "run_seed", "radius").applyInPandas(of, TANGENT_CELL)
+
 
-    return sources.select("label", "parameter_id", "state").groupBy("label").applyInPandas(of, TANGENT)
+def tangent_pool(sources: DataFrame, dataset: str, run_seed: int, radius: str = "medium", count: int = 20, namespace: str = TANGENT_NAME) -> DataFrame:
+    """count states a class around its anchors in hashed order; sources: parameter_id, label, state of one frozen subset."""
+    pools = tangent_pools(sources.withColumn("dataset", F.lit(dataset)), [run_seed], [radius], count, namespace)
+    return pools.drop("dataset", "run_seed", "index", "near_earlier", "norm_error", "tangent_overlap", "tangent_norm_error")
 
 
 def _decimal(x: int):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
 from ketframe.operators import audit, diagnostics, generate, mmd, pairs, sampling, training
+from ketframe.plans import studies
 from ketframe.sources import tables
 
 QUBITS = 6
@@ -506,9 +507,17 @@ ISING = {
 }
 
 
+#: The published configuration of the blocked data set.
+BLOCKED = ISING | {"split_strategy": "blocked", "blocked_g_gap": 0.02}
+
+
+def _states_of(spark, config: dict) -> DataFrame:
+    return generate.ising_dataset(spark, config, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ising_states(spark, sf):
     """The state table of both phases, solved in Arrow batches."""
-    return generate.ising_dataset(spark, ISING, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _states_of(spark, ISING)
 
 
 def _sources(spark, sf, size: int = 10) -> DataFrame:
@@ -550,13 +559,28 @@ def rdm_kernel_mmd(spark, sf):
 
 
 def classifier_training(spark, sf):
-    """The published sweep's first cells: three seeds on ten and on twenty-five states a class."""
-    d = ising_states(spark, sf)
-    subsets = sampling.nested_subsets(d.where("split = 'train'"), [10, 25], seed=31415)
-    ids = subsets.groupBy("size").agg(F.array_sort(F.collect_list("parameter_id")).alias("ids"))
-    seeds = spark.range(0, 3).select(F.col("id").alias("seed"))
-    runs = ids.join(seeds, F.lit(True)).select(F.format_string("n%d-s%d", "size", "seed").alias("run_id"), (F.col("seed") + 1000).alias("init_seed"), (F.col("seed") + 2000).alias("spsa_seed"), "ids")
-    return training.run_classifiers(runs, d, steps=300, patience=40, min_delta=1e-4).drop("parameters")
+    """The published sweep: four sizes and three seeds on the random and the blocked data set, a run a task."""
+    out = None
+    for name, config in (("random", ISING), ("blocked", BLOCKED)):
+        runs, _ = studies.baseline_sweep(_states_of(spark, config), [10, 25, 50, 100], [(1000 + i, 2000 + i) for i in range(3)])
+        runs = runs.withColumn("dataset", F.lit(name)).drop("parameters")
+        out = runs if out is None else out.unionByName(runs)
+    return out
+
+
+def radius_calibration(spark, sf):
+    """The calibration grid of tangent radii and ratios over both data sets, and which of it is selected."""
+    return studies.radius_calibration({"random": _states_of(spark, ISING), "blocked": _states_of(spark, BLOCKED)})[1]
+
+
+def kernel_study(spark, sf):
+    """How each kernel's MMD follows the error of the physics over a few models."""
+    return studies.kernel_study(spark, [1, 2, 3, 4])[1]
+
+
+def gradient_study(spark, sf):
+    """Mean cosine of each task's derivatives to the others', and the weight that follows."""
+    return studies.gradient_study(spark)[1]
 
 
 def diffusion_training(spark, sf):
@@ -694,6 +718,7 @@ _QUERIES = {
     "group_diversity": (group_diversity, DIVERSITY_SQL), "outcome_mmd": (outcome_mmd, OUTCOME_SQL), "signature_alignment": (signature_alignment, ALIGNMENT_SQL), "nearest_parameters": (nearest_parameters, NEAREST_PARAMETERS_SQL),
     "candidate_diagnostics": (candidate_diagnostics, None), "symmetry_audit": (symmetry_audit, None), "dataset_audit": (dataset_audit, None), "numerical_floor": (numerical_floor, None),
     "freshness": (freshness, None), "ensemble_metrics": (ensemble_metrics, None), "gram_floor": (gram_floor, None),
+    "radius_calibration": (radius_calibration, None), "kernel_study": (kernel_study, None), "gradient_study": (gradient_study, None),
 }
 
 

@@ -101,16 +101,43 @@ def geometry_study(dataset: DataFrame, budget: int, ratios: list[float], seeds:
     return arms_study(dataset, ids, arms, seeds, steps)[1]
 
 
-def radius_calibration(dataset: DataFrame, budget: int, run_seed: int = 0) -> DataFrame:
-    """(radius, label, n, anchors, largest error, least separation, eligible) of tangent pools by radius."""
-    ids = subset_ids(dataset, [budget], 31415).first().ids
-    sources = dataset.where(F.col("parameter_id").isin(ids))
-    rows = None
-    for radius in generate.RADII:
-        pool = generate.tangent_pool(sources, "random", run_seed, radius)
-        rows = pool if rows is None else rows.unionByName(pool)
-    out = rows.groupBy(F.col("radius_name").alias("radius"), "label").agg(F.count("*").alias("n"), F.countDistinct("anchor_id").alias("anchors"), F.max("error").alias("largest_error"), F.min("nearest_infidelity").alias("separation"))
-    return out.withColumn("eligible", (F.col("largest_error") <= 1e-7) & (F.col("separation") > 1e-10))
+#: Ratios of the calibration grid, the radius that wins a tie, and its tolerances.
+CALIBRATION_RATIOS, TIE = (0.5, 1.0, 2.0), ("medium", 1.0)
+NORM_TOLERANCE, TANGENT_TOLERANCE, DISPLACEMENT_TOLERANCE = 1e-10, 1e-12, 1e-10
+
+
+def radius_calibration(datasets: dict[str, DataFrame], budget: int = 10, run_seeds: tuple[int, ...] = (0, 1, 2), subset_seed: int = 31415) -> tuple[DataFrame, DataFrame]:
+    """(cells, decision) of tangent pools over data sets, classes, seeds, radii and ratios; train states only.
+
+    A cell holds the first budget * ratio states of a pool. A radius and ratio is eligible if all its cells are
+    valid and full, nothing in them is a near-duplicate and no displacement is off; of those that reach
+    most anchors the one of the fixed tie-break is selected, or none.
+    """
+    sources = None
+    for name, dataset in datasets.items():
+        ids = subset_ids(dataset, [budget], subset_seed).select(F.explode("ids").alias("parameter_id"))
+        part = dataset.join(F.broadcast(ids), "parameter_id", "left_semi").select(F.lit(name).alias("dataset"), "label", "parameter_id", "state")
+        sources = part if sources is None else sources.unionByName(part)
+    pools = generate.tangent_pools(sources, list(run_seeds), list(generate.RADII), int(budget * max(CALIBRATION_RATIOS)))
+    requested = F.floor(budget * F.col("ratio"))
+    rows = pools.withColumn("ratio", F.explode(F.array(*(F.lit(r) for r in CALIBRATION_RATIOS)))).where(F.col("index") < requested)
+    sound = (F.col("norm_error") <= NORM_TOLERANCE) & (F.col("tangent_overlap") <= TANGENT_TOLERANCE) & (F.col("tangent_norm_error") <= TANGENT_TOLERANCE)
+    n = F.count("*")
+    cells = rows.groupBy("dataset", "label", "run_seed", F.col("radius_name").alias("radius"), "ratio").agg(
+        F.first(requested).alias("requested"), n.alias("accepted"), (n / (n + F.sum("redraws"))).alias("acceptance_rate"), F.sum("redraws").alias("failed_redraws"),
+        (F.countDistinct("anchor_id") / budget).alias("anchor_coverage"), F.max("error").alias("displacement_error"),
+        (F.count_if(F.col("nearest_infidelity") < generate.NEAR_INFIDELITY) / n).alias("source_near_rate"), (F.sum("near_earlier") / F.greatest(F.lit(1), n * (n - 1) / 2)).alias("pair_near_rate"),
+        (F.countDistinct("state_hash") == n).alias("all_different"), F.bool_and(sound).alias("valid"),
+    )
+    grid = cells.groupBy("radius", "ratio").agg(
+        F.count("*").alias("cells"), F.count_if("valid").alias("valid_cells"), F.sum("requested").alias("requested"), F.sum("accepted").alias("accepted"), F.min("acceptance_rate").alias("acceptance_rate"),
+        F.min("anchor_coverage").alias("anchor_coverage"), F.max("source_near_rate").alias("source_near_rate"), F.max("pair_near_rate").alias("pair_near_rate"), F.max("displacement_error").alias("displacement_error"), F.sum("failed_redraws").alias("failed_redraws"),
+    )
+    eligible = (F.col("valid_cells") == F.col("cells")) & (F.col("accepted") == F.col("requested")) & (F.col("source_near_rate") == 0) & (F.col("pair_near_rate") == 0) & (F.col("displacement_error") <= DISPLACEMENT_TOLERANCE)
+    best = F.max(F.when(F.col("eligible"), F.col("anchor_coverage"))).over(W.partitionBy())  # nine rows
+    grid = grid.withColumn("eligible", eligible).withColumn("best", best)
+    chosen = F.col("eligible") & (F.col("anchor_coverage") == F.col("best")) & (F.col("radius") == TIE[0]) & (F.col("ratio") == TIE[1])
+    return cells, grid.withColumn("selected", F.coalesce(chosen, F.lit(False))).drop("best")
 
 
 KERNEL_ROW = "run int, label int, kernel string, mmd double, mx_error double, mz2_error double"

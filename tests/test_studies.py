@@ -29,7 +29,22 @@ def test_arms(dataset):
     assert {r.arm for r in rows} == {"unitary-0.50", "unitary-1.00"} and all(r.wins + r.ties + r.losses == r.n == 2 for r in rows)
     other = studies.geometry_study(dataset, 6, [1.0], SEEDS, steps=5).collect()
     assert {r.arm for r in other} == {"geodesic-1.00", "control-1.00", "tangent-1.00"}
-    assert all(r.eligible for r in studies.radius_calibration(dataset, 6).collect())
+
+
+def test_radius_calibration(spark, dataset):
+    blocked = generate.ising_dataset(spark, catalog.BLOCKED)
+    cells, grid = studies.radius_calibration({"random": dataset, "blocked": blocked})
+    assert cells.count() == 2 * 2 * 3 * 3 * 3
+    rows = {(r.radius, r.ratio): r for r in grid.collect()}
+    assert len(rows) == 9 and all(r.cells == r.valid_cells == 12 and r.accepted == r.requested == 120 * r.ratio for r in rows.values())
+    assert all(r.anchor_coverage == min(r.ratio, 1.0) for r in rows.values())
+    assert [k for k, r in rows.items() if r.selected] == [("medium", 1.0)]
+
+
+def test_calibration_refuses_near_duplicates(dataset, monkeypatch):
+    monkeypatch.setattr(generate, "NEAR_INFIDELITY", 2.0)
+    _, grid = studies.radius_calibration({"random": dataset}, run_seeds=(0,))
+    assert not any(r.eligible or r.selected for r in grid.collect())
 
 
 def test_kernels_and_gradients(spark):
