@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ketframe.llm import chat, decontaminate, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, warc
+from ketframe.llm import chat, decontaminate, hard_negatives, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, warc
 
 
 def queries():
@@ -18,10 +18,11 @@ def queries():
         "op8_decontaminate": decontaminate.op8,
         "op9_sentencepiece": sentencepiece.op9,
         "op10_quality_classifier": quality_classifier.op10,
+        "op13_hard_negatives": hard_negatives.op13,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    own = {"op5_substrings": substrings.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    own = {"op5_substrings": substrings.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
