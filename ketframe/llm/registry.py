@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ketframe.llm import chat, decontaminate, hard_negatives, language_id, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, warc
+from ketframe.llm import chat, decontaminate, hard_negatives, language_id, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, token_alignment, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_decontaminate": decontaminate.op8,
         "op9_sentencepiece": sentencepiece.op9,
         "op10_quality_classifier": quality_classifier.op10,
+        "op11_token_alignment": token_alignment.op11,
         "op12_language_id": language_id.op12,
         "op13_hard_negatives": hard_negatives.op13,
         "pipeline": corpus_pipeline.run,
