@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
+from ketframe.operators import ranks
 from ketframe.operators.pairs import block_pairs, to_matrix
+from ketframe.operators.rounds import cut
 
 
 def cosine_groups(states: DataFrame) -> DataFrame:
@@ -40,18 +41,20 @@ def binary_scores(rows: DataFrame, group: str, actual: str, predicted: str, scor
 def ks(rows: DataFrame, group: str, value: str, baseline) -> DataFrame:
     """(group, statistic): two-sample Kolmogorov-Smirnov of each group against the baseline group.
 
-    Values are counted by group first. The running counts of a group over all distinct values meet
-    the baseline's in one window by group; the baseline's distinct values are joined to each group.
+    Between two of a group's own values its share stays and the baseline's only grows, so the largest difference is at
+    one of the group's values or right before one. Hence each distinct value needs the baseline's running count
+    there, one running sum over all distinct values, and no group meets the baseline's values.
     """
-    counts = rows.where(C.finite(F.col(value))).groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    base = counts.where(F.col("g") == baseline).select("x", F.col("n").alias("m"))
-    groups = counts.where(F.col("g") != baseline).select("g").distinct()
-    at = groups.join(base, F.lit(True)).select("g", "x", F.lit(0).cast("long").alias("n"), "m").unionByName(counts.where(F.col("g") != baseline).select("g", "x", "n", F.lit(0).cast("long").alias("m")))
-    at = at.groupBy("g", "x").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    run = W.partitionBy("g").orderBy("x")
-    whole = W.partitionBy("g")
-    d = F.abs(F.sum("n").over(run) / F.sum("n").over(whole) - F.sum("m").over(run) / F.sum("m").over(whole))
-    return at.select("g", d.alias("d")).groupBy(F.col("g").alias("group")).agg(F.max("d").alias("statistic"))
+    counts = cut(rows.where(C.finite(F.col(value))).groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("g").agg(F.sum("n").alias("size"))
+    base = counts.groupBy("x").agg(F.coalesce(F.sum(F.when(F.col("g") == baseline, F.col("n"))), F.lit(0)).alias("m"))
+    base = ranks.running_sums(base, [], ["x"], {"to": F.col("m")}).select("x", "m", "to")
+    own = ranks.running_sums(counts.where(F.col("g") != baseline), ["g"], ["x"], {"upto": F.col("n")})
+    whole = sizes.where(F.col("g") == baseline).agg(F.max("size").alias("whole"))  # one row
+    at = own.join(base, "x").join(sizes, "g").join(F.broadcast(whole), F.lit(True))
+    here = F.abs(F.col("upto") / F.col("size") - F.col("to") / F.col("whole"))
+    before = F.abs((F.col("upto") - F.col("n")) / F.col("size") - (F.col("to") - F.col("m")) / F.col("whole"))
+    return at.groupBy(F.col("g").alias("group")).agg(F.max(F.greatest(here, before)).alias("statistic"))
 
 
 def robust_floor(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -68,8 +71,7 @@ def isolated_gap(rows: DataFrame, group: str, value: str, ratio: float = 10.0, s
     threshold, their geometric mean, is null unless the ratio is large enough and the gap low enough.
     """
     x = rows.where(F.col(value) > 0).select(F.col(group).alias("group"), F.col(value).alias("x")).distinct()
-    after = F.lead("x").over(W.partitionBy("group").orderBy("x"))
-    gaps = x.withColumn("y", after).where("y is not null").groupBy("group").agg(F.max(F.struct((F.col("y") / F.col("x")).alias("r"), (-F.col("x")).alias("nx"), "x", "y")).alias("g"))
+    gaps = ranks.following(x, ["group"], ["x"], "x", "y").where("y is not null").groupBy("group").agg(F.max(F.struct((F.col("y") / F.col("x")).alias("r"), (-F.col("x")).alias("nx"), "x", "y")).alias("g"))
     low = x.groupBy("group").agg(F.percentile("x", F.lit(share)).alias("low"))
     good = (F.col("g.r") >= ratio) & (F.col("g.x") <= F.col("low"))
     return gaps.join(low, "group").select("group", F.col("g.x").alias("below"), F.col("g.y").alias("above"), F.when(good, F.sqrt(F.col("g.x") * F.col("g.y"))).alias("threshold"))
@@ -78,13 +80,7 @@ def isolated_gap(rows: DataFrame, group: str, value: str, ratio: float = 10.0, s
 def spearman(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, n, spearman): Pearson of average ranks; values are ranked by counting, so ties are rows of a count."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("group"), F.col(x).alias("x"), F.col(y).alias("y"))
-
-    def ranks(c: str) -> DataFrame:
-        counts = both.groupBy("group", c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(W.partitionBy("group").orderBy(c)) - F.col("n")
-        return counts.select("group", c, (before + (F.col("n") + 1) / 2).alias(f"r{c}"))
-
-    out = both.join(ranks("x"), ["group", "x"]).join(ranks("y"), ["group", "y"])
+    out = ranks.average_ranks(ranks.average_ranks(both, ["group"], "x", "rx"), ["group"], "y", "ry")
     return out.groupBy("group").agg(F.count("*").alias("n"), C.safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import linalg
-from ketframe.operators.pairs import near_duplicate_pairs, to_matrix
+from ketframe.operators.metric_index import closest_across, near_duplicate_pairs
+from ketframe.operators.pairs import to_matrix
 
 #: Most source states that are sent to every task, 16 kB each at ten qubits.
 BROADCAST_STATES = 50_000
@@ -129,7 +130,6 @@ def freshness(new: DataFrame, reference: DataFrame, tolerance: float = 1e-10) ->
 
     The three intersections are semi joins of keys; duplicates and the nearest pair come from blocks.
     """
-    from ketframe.operators.pairs import closest_across
 
     both = [d.select("parameter_id", "g", digest_column(d).alias("digest")) for d in (new, reference)]
     shared = [both[0].join(both[1].select(k).distinct(), k, "left_semi").agg(F.countDistinct(k).alias(f"shared_{k}")) for k in ("parameter_id", "g", "digest")]

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1_024
@@ -74,46 +75,93 @@ def pair_distances(states: DataFrame, id_type: str = "long", within: list[str] |
     return block_pairs(states, keep, schema, within)
 
 
-def near_duplicate_pairs(states: DataFrame, least_fidelity: float, id_type: str = "long") -> DataFrame:
-    """(a, b, fidelity) of pairs with a fidelity of least_fidelity or more; nothing else leaves a block."""
+#: Angles as whole numbers: DEPTH levels of 2**LEVEL bins each.
+LEVEL, DEPTH = 11, 4
+KEYS = 1 << LEVEL * DEPTH
+#: Values of a bin that are read rather than binned once more.
+FEW = 20_000
 
-    def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        f = _overlaps(left, right) ** 2
-        i, j = np.nonzero(f >= least_fidelity)
-        if same:
-            i, j = i[i < j], j[i < j]
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        swap = a > b
-        yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "fidelity": f[i, j]})
 
-    return block_pairs(states, keep, f"a {id_type}, b {id_type}, fidelity double")
+def angle_keys(overlaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fubini-Study angles, and whole numbers below KEYS in the same order."""
+    d = np.arccos(np.minimum(overlaps, 1.0))
+    return d, np.minimum((d * (KEYS / (np.pi / 2))).astype(np.int64), KEYS - 1)
 
 
-def nearest(states: DataFrame, k: int, id_type: str = "long", within: list[str] | None = None) -> DataFrame:
-    """(id, neighbour, overlap, rank): the k nearest other states of each, ties by the neighbour's id.
+def pair_quantiles(states: DataFrame, shares: dict[str, float], within: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(within, pairs, mean_fidelity, a column a share): exact quantiles of the angles of all pairs, with linear interpolation.
 
-    Each block pair keeps k candidates of each row, so at most k rows a block are shuffled again.
+    By selection: block pairs count angles into bins, and only the bins that hold a wanted rank are looked into
+    again, first by finer bins and, once they hold FEW values, by the values. No pair leaves its block pair but those.
+    Equal angles count as one value with a number. A group of one row has no pairs and no row.
     """
-    from pyspark.sql import Window as W
-
-    within = within or []
-    types = dict(states.dtypes)
-    head = [f"{c} {types[c]}" for c in within]
-
-    def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        c = _overlaps(left, right)
-        if same:
-            np.fill_diagonal(c, -1)
-        for rows, columns, values in ((left, right, c),) if same else ((left, right, c), (right, left, c.T)):
-            order = np.lexsort((np.broadcast_to(columns["id"].to_numpy(), values.shape), -values), axis=1)[:, : min(k, values.shape[1] - same)]
-            if order.size:
-                i = np.repeat(np.arange(len(rows)), order.shape[1])
-                j = order.ravel()
-                yield pd.DataFrame({w: left[w].iloc[0] for w in within} | {"id": rows["id"].to_numpy()[i], "neighbour": columns["id"].to_numpy()[j], "overlap": values[i, j]})
-
-    found = block_pairs(states, keep, ", ".join([*head, f"id {id_type}", f"neighbour {id_type}", "overlap double"]), within)
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("overlap"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    from ketframe.operators.rounds import cut
+
+    groups = within or ["__all"]
+    rows = states if within else states.withColumn("__all", F.lit(0))
+    types = dict(rows.dtypes)
+    head = ", ".join(f"{c} {types[c]}" for c in groups)
+    rows = rows.select(*groups, "id", "state")
+
+    def counted(bits: int, targets: DataFrame | None) -> DataFrame:
+        """Numbers of angles by target bin and next finer bin."""
+        shift, again = LEVEL * DEPTH - bits, targets is not None
+
+        def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+            c, (_, keys) = _pairs_of(left, right, same)
+            for target in left["targets"].iloc[0] if again else [0]:
+                here = keys >> shift == target
+                bins = keys[here] >> (shift - LEVEL) & ((1 << LEVEL) - 1)
+                n = np.bincount(bins, minlength=1 << LEVEL)
+                some = np.flatnonzero(n)
+                yield pd.DataFrame({w: left[w].iloc[0] for w in groups} | {"target": (target << LEVEL) + some, "n": n[some], "squares": np.bincount(bins, weights=c[here] ** 2, minlength=1 << LEVEL)[some]})
+
+        out = block_pairs(rows if targets is None else rows.join(targets, groups), keep, f"{head}, target long, n long, squares double", groups, block_rows)
+        return out.groupBy(*groups, "target").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"))
+
+    def holding(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """For each wanted rank (from 0) the bin that holds it, with how many angles come before the bin."""
+        before = F.sum("n").over(W.partitionBy(*groups).orderBy("target").rowsBetween(W.unboundedPreceding, -1))  # at most 2**LEVEL bins a wanted rank
+        placed = counts.withColumn("before", F.coalesce(before, F.lit(0)) + (F.col("base") if "base" in counts.columns else 0))
+        return placed.join(wanted, groups).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+
+    first = cut(counted(0, None))
+    totals = first.groupBy(*groups).agg(F.sum("n").alias("pairs"), (F.sum("squares") / F.sum("n")).alias("mean_fidelity"))
+    share = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in shares.items()))).alias("s")
+    place = F.col("s.q") * (F.col("pairs") - 1)
+    ranks = cut(totals.select(*groups, "pairs", "mean_fidelity", share).select(*groups, "pairs", "mean_fidelity", "s.name", (place - F.floor(place)).alias("part"), F.floor(place).alias("low"), F.ceil(place).alias("high")))
+    wanted = ranks.select(*groups, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    held, bits = cut(holding(first, wanted).select(*groups, "rank", "target", "n", "before")), LEVEL
+    while bits < LEVEL * DEPTH and (held.agg(F.max("n")).first()[0] or 0) > FEW:
+        finer = counted(bits, held.groupBy(*groups).agg(F.collect_set("target").alias("targets")))  # two bins a share at most
+        inside = held.select(*groups, "rank", F.col("target").alias("coarse"), F.col("before").alias("base"))
+        joined = finer.withColumn("coarse", F.shiftright("target", LEVEL)).join(inside, [*groups, "coarse"])
+        before = F.sum("n").over(W.partitionBy(*groups, "rank").orderBy("target").rowsBetween(W.unboundedPreceding, -1))
+        at = joined.withColumn("before", F.coalesce(before, F.lit(0)) + F.col("base"))
+        held = cut(at.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*groups, "rank", "target", "n", "before"))
+        bits += LEVEL
+    shift = LEVEL * DEPTH - bits
+
+    def values(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        _, (d, keys) = _pairs_of(left, right, same)
+        for target in left["targets"].iloc[0]:
+            value, n = np.unique(d[keys >> shift == target], return_counts=True)
+            yield pd.DataFrame({w: left[w].iloc[0] for w in groups} | {"target": target, "value": value, "n": n})
+
+    found = block_pairs(rows.join(held.groupBy(*groups).agg(F.collect_set("target").alias("targets")), groups), values, f"{head}, target long, value double, n long", groups, block_rows)
+    found = found.groupBy(*groups, "target", "value").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*groups, "target").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # the few values of a bin
+    ranked = found.withColumn("inside", before).join(held.select(*groups, "target", "rank", "before"), [*groups, "target"])
+    at = cut(ranked.where((F.col("rank") >= F.col("before") + F.col("inside")) & (F.col("rank") < F.col("before") + F.col("inside") + F.col("n"))).select(*groups, "rank", "value"))
+    ends = ranks.join(at.select(*groups, F.col("rank").alias("low"), F.col("value").alias("from")), [*groups, "low"]).join(at.select(*groups, F.col("rank").alias("high"), F.col("value").alias("to")), [*groups, "high"])
+    out = ends.groupBy(*groups, "pairs", "mean_fidelity").pivot("name", list(shares)).agg(F.first(F.col("from") + F.col("part") * (F.col("to") - F.col("from"))))
+    return out if within else out.drop("__all")
+
+
+def _pairs_of(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    c = _overlaps(left, right)
+    c = c[np.triu_indices(len(left), 1)] if same else c.ravel()
+    return c, angle_keys(c)
 
 
 def knn_graph(states: DataFrame, k: int = 3, quantile: float = 0.75, minimum: float = 0.04, id_type: str = "long", within: list[str] | None = None) -> DataFrame:
@@ -122,41 +170,44 @@ def knn_graph(states: DataFrame, k: int = 3, quantile: float = 0.75, minimum: fl
     Eligible edges are at least `minimum` long and no longer than the group's quantile of all distances.
     """
     from ketframe.functions.columns import fs_acos
+    from ketframe.operators.metric_index import nearest
 
     within = within or []
     near = nearest(states, k, id_type, within)
     edges = near.select(*within, F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), fs_acos(F.col("overlap")).alias("distance")).dropDuplicates(["a", "b"])
-    cut = pair_distances(states, id_type, within).groupBy(*within).agg(F.percentile(fs_acos(F.col("overlap")), F.lit(quantile)).alias("cutoff"))
+    cut = pair_quantiles(states, {"cutoff": quantile}, within).select(*within, "cutoff")
     out = edges.join(cut, within) if within else edges.join(F.broadcast(cut), F.lit(True))  # one row
     return out.withColumn("eligible", (F.col("distance") >= minimum) & (F.col("distance") <= F.col("cutoff")))
 
 
-def closest_across(states: DataFrame, split_col: str, id_type: str = "long") -> DataFrame:
-    """(split_a, split_b, overlap): the closest pair of every two splits, split_a < split_b."""
+def totals_to_others(states: DataFrame, cosine: bool = False) -> DataFrame:
+    """(id, total, n): sums over all other states of fidelities, or of signed overlaps of real vectors; no pairs are made.
 
-    def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        c = _overlaps(left, right)
-        s, t = left[split_col].to_numpy(), right[split_col].to_numpy()
-        rows = []
-        for a in np.unique(s):
-            for b in np.unique(t):
-                if a != b:
-                    rows.append((min(a, b), max(a, b), c[np.ix_(s == a, t == b)].max()))
-        yield pd.DataFrame(rows, columns=["split_a", "split_b", "overlap"])
+    Both are linear in the other states: cosines add up to the product with the sum of all vectors, fidelities to
+    the quadratic form of the sum of all projectors. What a state has with itself is taken off.
+    """
+    n = F.lit(states.count() - 1)
+    if cosine:
+        total = states.select(F.posexplode("state").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+        whole = total.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("whole"))  # one vector
+        both = states.join(F.broadcast(whole), F.lit(True))
+        return both.select("id", (_dot(F.col("state"), F.col("whole")) - _dot(F.col("state"), F.col("state"))).alias("total"), n.alias("n"))
+    from ketframe.operators.mmd import densities
 
-    return block_pairs(states, keep, "split_a string, split_b string, overlap double").groupBy("split_a", "split_b").agg(F.max("overlap").alias("overlap"))
+    rho = densities(states.withColumn("__all", F.lit(0)), "__all").select("re", "im")  # one matrix
+    kind = dict(states.dtypes)["id"]
 
+    def form(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = to_matrix(f["state"]).astype(complex)
+                r = (np.asarray(f["re"].iloc[0]) + 1j * np.asarray(f["im"].iloc[0])).reshape(x.shape[1], -1)
+                yield pd.DataFrame({"id": f["id"], "total": np.einsum("bi,ij,bj->b", x.conj(), r, x).real - (np.abs(x) ** 2).sum(1) ** 2})
 
-def mean_fidelity_to_others(states: DataFrame, id_type: str = "long", cosine: bool = False) -> DataFrame:
-    """(id, total, n): sums over all other states of fidelities, or of signed overlaps of real vectors."""
+    return states.select("id", "state").join(F.broadcast(rho), F.lit(True)).mapInPandas(form, f"id {kind}, total double").withColumn("n", n)
 
-    def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        c = to_matrix(left["state"]).conj() @ to_matrix(right["state"]).T
-        c = c.real if cosine else np.abs(c) ** 2
-        if same:
-            np.fill_diagonal(c, 0)
-        yield pd.DataFrame({"id": left["id"].to_numpy(), "total": c.sum(1), "n": c.shape[1] - same})
-        if not same:
-            yield pd.DataFrame({"id": right["id"].to_numpy(), "total": c.sum(0), "n": c.shape[0]})
-
-    return block_pairs(states, keep, f"id {id_type}, total double, n long").groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+def _dot(a: Column, b: Column) -> Column:
+    from ketframe.functions.columns import dot
+
+    return dot(a, b)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
-from ketframe.operators import audit, diagnostics, generate, mmd, pairs, sampling, training
+from ketframe.operators import audit, diagnostics, generate, metric_index, mmd, pairs, sampling, training
 from ketframe.plans import studies
 from ketframe.sources import tables
 
@@ -43,9 +43,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_fidelity_by_label(spark, sf):
-    p = pairs.pair_distances(states(spark, sf), within=["label"]).withColumn("d", C.fs_acos(F.col("overlap")))
-    q = C.quantiles(F.col("d"), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    out = p.groupBy("label").agg(F.count("*").alias("pairs"), F.avg(F.col("overlap") ** 2).alias("mean_fidelity"), *q)
+    out = pairs.pair_quantiles(states(spark, sf), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["label"])
     return out.select("label", "pairs", *(C.rounded(F.col(c)).alias(c) for c in ("mean_fidelity", "q25", "q50", "q75")))
 
 
@@ -54,7 +52,7 @@ PAIR_FIDELITY_SQL = f"""WITH {STATES_SQL}, {PAIRS_SQL} SELECT label, count(*) AS
 
 
 def nearest_in_class(spark, sf):
-    near = pairs.nearest(states(spark, sf), 1, within=["label"])
+    near = metric_index.nearest(states(spark, sf), 1, within=["label"])
     return near.select("label", "id", "neighbour", C.rounded(C.fs_stable(F.col("overlap"))).alias("distance"))
 
 
@@ -74,7 +72,7 @@ SELECT label, a, b, {R('d')} AS distance, d >= 0.04 AND d <= q AS eligible FROM
 
 
 def near_duplicate_states(spark, sf):
-    out = pairs.near_duplicate_pairs(states(spark, sf), 0.25)
+    out = metric_index.near_duplicate_pairs(states(spark, sf), 0.25)
     return out.select("a", "b", C.rounded(F.col("fidelity")).alias("fidelity"))
 
 
@@ -84,7 +82,7 @@ NEAR_DUPLICATE_SQL = f"""WITH {STATES_SQL} SELECT a.id AS a, b.id AS b, {R(f'{DO
 def unlike_all_others(spark, sf):
     """States that no other of the table comes near: the anti join of near duplicates."""
     s = states(spark, sf)
-    near = pairs.near_duplicate_pairs(s, 0.25)
+    near = metric_index.near_duplicate_pairs(s, 0.25)
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return s.select("id", "label").join(ids, "id", "left_anti")
 
@@ -93,7 +91,7 @@ UNLIKE_SQL = f"""WITH {STATES_SQL} SELECT id, label FROM st a WHERE NOT EXISTS (
 
 
 def closest_between_splits(spark, sf):
-    out = pairs.closest_across(states(spark, sf), "split")
+    out = metric_index.closest_across(states(spark, sf), "split")
     return out.select("split_a", "split_b", C.rounded(C.fs_stable(F.col("overlap"))).alias("distance"))
 
 
@@ -101,8 +99,45 @@ CLOSEST_SQL = f"""WITH {STATES_SQL}, p AS (SELECT a.split AS split_a, b.split AS
 SELECT split_a, split_b, {R('atan2(sqrt(greatest((1 - c) * (1 + c), 0.0)), c)')} AS distance FROM p"""
 
 
+def _three_qubits(spark, sf):
+    """States of three qubits: the others are found in zero, which leaves the first eight amplitudes."""
+    s = states(spark, sf)
+    return s.select("id", "label", "split", C.unit(F.slice("state", 1, 8)).alias("state"))
+
+
+THREE_SQL = f"{STATES_SQL}, tq AS (SELECT id, label, split, list_transform(v[1:8], lambda x: x / sqrt(list_dot_product(v[1:8], v[1:8]))) AS v FROM st)"
+
+
+def near_projected_states(spark, sf):
+    """Near states of three qubits, where few pivot cells have to be seen."""
+    out = metric_index.near_duplicate_pairs(_three_qubits(spark, sf), 0.97)
+    return out.select("a", "b", C.rounded(F.col("fidelity")).alias("fidelity"))
+
+
+NEAR_PROJECTED_SQL = f"WITH {THREE_SQL} SELECT a.id AS a, b.id AS b, {R(f'{DOT} * {DOT}')} AS fidelity FROM tq a JOIN tq b ON a.id < b.id WHERE {DOT} * {DOT} >= 0.97"
+
+
+def nearest_projected(spark, sf):
+    """The two nearest other states of three qubits."""
+    near = metric_index.nearest(_three_qubits(spark, sf), 2)
+    return near.select("id", "neighbour", "rank", C.rounded(C.fs_stable(F.col("overlap"))).alias("distance"))
+
+
+NEAREST_PROJECTED_SQL = f"""WITH {THREE_SQL}, p AS (SELECT a.id, b.id AS neighbour, abs({DOT}) AS c, row_number() OVER (PARTITION BY a.id ORDER BY abs({DOT}) DESC, b.id) AS n FROM tq a JOIN tq b ON a.id <> b.id)
+SELECT id, neighbour, CAST(n AS INTEGER) AS rank, {R('atan2(sqrt(greatest((1 - c) * (1 + c), 0.0)), c)')} AS distance FROM p WHERE n <= 2"""
+
+
+def fidelity_totals(spark, sf):
+    """Mean fidelity of each state to all others."""
+    m = pairs.totals_to_others(states(spark, sf))
+    return m.select("id", "n", C.rounded(F.col("total") / F.col("n")).alias("score"))
+
+
+FIDELITY_TOTALS_SQL = f"""WITH {STATES_SQL} SELECT a.id, count(*) AS n, {R(f'avg({DOT} * {DOT})')} AS score FROM st a JOIN st b ON a.id <> b.id GROUP BY a.id"""
+
+
 def conflict_scores(spark, sf):
-    m = pairs.mean_fidelity_to_others(states(spark, sf), cosine=True)
+    m = pairs.totals_to_others(states(spark, sf), cosine=True)
     return m.select("id", "n", C.rounded(F.col("total") / F.col("n")).alias("score"))
 
 
@@ -111,7 +146,7 @@ CONFLICT_SQL = f"""WITH {STATES_SQL} SELECT a.id, count(*) AS n, {R(f'avg({DOT})
 
 def conflict_weights(spark, sf):
     """Softmax weights of scores in each class, their effective sample size and class totals."""
-    m = pairs.mean_fidelity_to_others(states(spark, sf), cosine=True).withColumn("score", F.col("total") / F.col("n"))
+    m = pairs.totals_to_others(states(spark, sf), cosine=True).withColumn("score", F.col("total") / F.col("n"))
     e = m.join(states(spark, sf).select("id", "label"), "id").withColumn("e", F.exp(5 * F.col("score")))
     w = e.withColumn("w", F.col("e") / F.sum("e").over(W.partitionBy("label")))
     out = w.groupBy("label").agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), (1 / F.sum(F.col("w") * F.col("w"))).alias("effective"))
@@ -399,7 +434,7 @@ def round_robin(spark, sf):
     """Nations of each region take turns: customers in the order of a digest."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     digest = F.sha2(F.concat(F.lit("turn"), F.col("c_custkey").cast("string")).cast("binary"), 256)
-    out = sampling.round_robin(c.withColumn("h", digest), "n_name", [F.col("h")], within=["n_regionkey"])
+    out = sampling.round_robin(c.withColumn("h", digest), "n_name", ["h"], within=["n_regionkey"])
     return out.select("n_regionkey", "c_custkey", "position")
 
 
@@ -549,13 +584,22 @@ def confirmatory_tangents(spark, sf):
 
 
 def rdm_kernel_mmd(spark, sf):
-    """MMD of validation against train states by each kernel and class, four qubits."""
-    d = ising_states(spark, sf)
-    out = None
-    for kernel in ("global", "1-rdm", "2-rdm"):
-        k = mmd.kernel_mmd(d.where("split = 'val'"), _sources(spark, sf, 30), "label", kernel).withColumn("kernel", F.lit(kernel))
-        out = k if out is None else out.unionByName(k)
-    return out
+    """MMD between the splits of each class by the mean fidelity of one-qubit reduced states."""
+    out = mmd.qubit_kernel_mmd(states(spark, sf), "split", QUBITS, ["label"])
+    return out.select("label", "a", "b", C.rounded(F.col("mmd")).alias("mmd"))
+
+
+RDM_SQL = f"""WITH {STATES_SQL}, r AS (SELECT id, label, split, q, (SELECT sum(v[i + 1] * v[xor(i, 1 << q) + 1]) FROM generate_series(0, 63) t(i)) AS x,
+ (SELECT sum(v[i + 1] * v[i + 1] * CASE WHEN (i >> q) & 1 = 1 THEN -1 ELSE 1 END) FROM generate_series(0, 63) t(i)) AS z FROM st, generate_series(0, 5) u(q)),
+f AS (SELECT *, sqrt(greatest(1 - x * x - z * z, 0.0)) AS s FROM r),
+k AS (SELECT a.label, a.split AS a, b.split AS b, avg((1 + a.x * b.x + a.z * b.z + a.s * b.s) / 2) AS m FROM f a JOIN f b ON a.label = b.label AND a.q = b.q GROUP BY 1, 2, 3)
+SELECT p.label, p.a, p.b, {R('greatest(x.m + y.m - 2 * p.m, 0.0)')} AS mmd FROM k p JOIN k x ON x.label = p.label AND x.a = p.a AND x.b = p.a JOIN k y ON y.label = p.label AND y.a = p.b AND y.b = p.b WHERE p.a < p.b"""
+
+
+def two_qubit_kernel_mmd(spark, sf):
+    """MMD between the splits of the whole table by the mean fidelity of two-qubit reduced states of three qubits."""
+    out = mmd.blocked_kernel_mmd(_three_qubits(spark, sf), "split", "2-rdm", ["label"])
+    return out.select("label", "a", "b", C.rounded(F.col("mmd")).alias("mmd"))
 
 
 def classifier_training(spark, sf):
@@ -605,6 +649,13 @@ def greedy_unique(spark, sf):
     return sampling.greedy_unique(states(spark, sf), "label", 0.75)
 
 
+GREEDY_SQL = f"""WITH RECURSIVE {STATES_SQL}, r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY id) AS n, v FROM st),
+e AS (SELECT b.label, b.n, list(a.n) FILTER (a.n IS NOT NULL) AS earlier FROM r b LEFT JOIN r a ON a.label = b.label AND a.n < b.n AND {DOT} * {DOT} >= 0.25 GROUP BY 1, 2),
+g AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM r
+ UNION ALL SELECT g.label, e.n, CASE WHEN e.earlier IS NOT NULL AND list_has_any(g.kept, e.earlier) THEN g.kept ELSE list_append(g.kept, e.n) END FROM g JOIN e ON e.label = g.label AND e.n = g.n + 1)
+SELECT label AS "group", max(n) AS n, max(len(kept)) AS "unique" FROM g GROUP BY label"""
+
+
 def bootstrap_intervals(spark, sf):
     e = table(spark, sf, "events")
     arms = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
@@ -702,7 +753,8 @@ def gram_floor(spark, sf):
 _QUERIES = {
     "pair_fidelity_by_label": (pair_fidelity_by_label, PAIR_FIDELITY_SQL), "nearest_in_class": (nearest_in_class, NEAREST_SQL), "knn_edges": (knn_edges, KNN_SQL),
     "near_duplicate_states": (near_duplicate_states, NEAR_DUPLICATE_SQL), "unlike_all_others": (unlike_all_others, UNLIKE_SQL), "closest_between_splits": (closest_between_splits, CLOSEST_SQL),
-    "conflict_scores": (conflict_scores, CONFLICT_SQL), "conflict_weights": (conflict_weights, WEIGHTS_SQL), "cosine_groups": (cosine_groups, COSINE_SQL), "fs_metric": (fs_metric, FS_METRIC_SQL),
+    "near_projected_states": (near_projected_states, NEAR_PROJECTED_SQL), "nearest_projected": (nearest_projected, NEAREST_PROJECTED_SQL), "fidelity_totals": (fidelity_totals, FIDELITY_TOTALS_SQL),
+    "two_qubit_kernel_mmd": (two_qubit_kernel_mmd, None), "conflict_scores": (conflict_scores, CONFLICT_SQL), "conflict_weights": (conflict_weights, WEIGHTS_SQL), "cosine_groups": (cosine_groups, COSINE_SQL), "fs_metric": (fs_metric, FS_METRIC_SQL),
     "state_observables": (state_observables, STATE_OBSERVABLES_SQL), "observable_means": (observable_means, OBSERVABLE_MEANS_SQL), "class_scores": (class_scores, CLASS_SCORES_SQL),
     "train_gate": (train_gate, TRAIN_GATE_SQL), "hashed_targets": (hashed_targets, HASHED_TARGETS_SQL), "class_mmd": (class_mmd, CLASS_MMD_SQL), "mmd_contributions": (mmd_contributions, CONTRIBUTIONS_SQL),
     "split_mmd": (split_mmd, SPLIT_MMD_SQL), "cancellation": (cancellation, CANCELLATION_SQL), "finite_stats": (finite_stats, FINITE_STATS_SQL), "quantile_summary": (quantile_summary, QUANTILE_SQL),
@@ -712,8 +764,8 @@ _QUERIES = {
     "key_overlaps": (key_overlaps, OVERLAP_SQL), "manifest_audit": (manifest_audit, MANIFEST_SQL), "state_table_audit": (state_table_audit, STATE_AUDIT_SQL), "run_matrix": (run_matrix, RUN_MATRIX_SQL),
     "contract_checks": (contract_checks, CONTRACT_SQL), "study_decisions": (study_decisions, DECISION_SQL), "resumable_runs": (resumable_runs, RESUMABLE_SQL),
     "ising_states": (ising_states, None), "unitary_augmentation": (unitary_augmentation, None), "geodesic_pool": (geodesic_pool, None), "matched_controls": (matched_controls, None),
-    "tangent_pool": (tangent_pool, None), "confirmatory_tangents": (confirmatory_tangents, None), "rdm_kernel_mmd": (rdm_kernel_mmd, None), "classifier_training": (classifier_training, None),
-    "diffusion_training": (diffusion_training, None), "diffusion_trajectories": (diffusion_trajectories, None), "constrained_split": (constrained_split, None), "greedy_unique": (greedy_unique, None),
+    "tangent_pool": (tangent_pool, None), "confirmatory_tangents": (confirmatory_tangents, None), "rdm_kernel_mmd": (rdm_kernel_mmd, RDM_SQL), "classifier_training": (classifier_training, None),
+    "diffusion_training": (diffusion_training, None), "diffusion_trajectories": (diffusion_trajectories, None), "constrained_split": (constrained_split, None), "greedy_unique": (greedy_unique, GREEDY_SQL),
     "bootstrap_intervals": (bootstrap_intervals, None), "redrawn_corpus": (redrawn_corpus, None),
     "group_diversity": (group_diversity, DIVERSITY_SQL), "outcome_mmd": (outcome_mmd, OUTCOME_SQL), "signature_alignment": (signature_alignment, ALIGNMENT_SQL), "nearest_parameters": (nearest_parameters, NEAREST_PARAMETERS_SQL),
     "candidate_diagnostics": (candidate_diagnostics, None), "symmetry_audit": (symmetry_audit, None), "dataset_audit": (dataset_audit, None), "numerical_floor": (numerical_floor, None),

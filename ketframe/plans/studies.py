@@ -40,7 +40,7 @@ def baseline_sweep(dataset: DataFrame, sizes: list[int], seeds: list[tuple[int,
     return out, out.groupBy("size").agg(F.count_if(ok).alias("completed"), F.count_if(~ok).alias("failed"), *stats)
 
 
-def select_candidates(pool: DataFrame, budget: int, ratios: list[float], order: list, source: str = "source_id") -> DataFrame:
+def select_candidates(pool: DataFrame, budget: int, ratios: list[float], order: list[str], source: str = "source_id") -> DataFrame:
     """(ratio, label, candidate): sources of a class take turns; the first ratio * budget are taken."""
     placed = sampling.round_robin(pool, source, order, within=["label"])
     each = F.explode(F.array(*(F.lit(float(r)) for r in ratios)))
@@ -79,7 +79,7 @@ def unitary_study(dataset: DataFrame, budget: int, strengths: list[float], ratio
     by = pool.groupBy("label", "operator", F.abs("strength").alias("strength"))
     summary = by.agg(F.count("*").alias("n"), F.avg(F.col("accepted").cast("double")).alias("rate"), F.avg("source_fidelity").alias("fidelity"), F.min("source_fidelity").alias("least"), F.countDistinct("source_id").alias("sources"))
     good = pool.where("accepted and strength <> 0")
-    picked = select_candidates(good, budget, ratios, [F.col("source_fidelity"), F.col("synthetic_id")])
+    picked = select_candidates(good, budget, ratios, ["source_fidelity", "synthetic_id"])
     arm = picked.select("ratio", F.col("synthetic_id").alias("parameter_id"), "label", "state")
     return summary, arms_study(dataset, ids, {"unitary": arm}, seeds, steps)[1]
 
