@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm._common import bounded_batches, documents
+from ketframe.llm._common import bounded_batches, documents, materialize
 
 NONE = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -255,7 +255,8 @@ def word_counts(df: DataFrame) -> DataFrame:
 def lexicon(df: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """The LEXICON most frequent words, and the centred logarithms of their shares by language."""
     counts = word_counts(df).groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # an entry a language at most
-    top = [r for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect() if has_letter(r.word)]
+    first = materialize(counts.orderBy(F.desc("n"), "word").limit(LEXICON), "lexicon")  # collected at once, every partition's first would go to the driver
+    top = [r for r in first.orderBy(F.desc("n"), "word").collect() if has_letter(r.word)]
     n = np.array([[r.by.get(v, 0) for v in languages] for r in top], float).reshape(-1, len(languages))
     share = (n + 0.5) / np.maximum(n.sum(0), 1)
     logs = np.log(share / share.sum(1, keepdims=True)) if len(n) else n
@@ -278,7 +279,8 @@ def windows(df: DataFrame, languages: dict[str, int]) -> list[tuple[str, list[st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["h", "lang", "words"])
 
     cuts = chosen.select("h", "lang", "text").mapInArrow(cut, "h long, lang string, words array<string>").where(F.size("words") > 0)
-    return [(r.lang, list(r.words)) for r in cuts.orderBy("h", "lang", "words").limit(2 * SAMPLE).collect()]
+    first = materialize(cuts.orderBy("h", "lang", "words").limit(2 * SAMPLE), "windows")
+    return [(r.lang, list(r.words)) for r in first.orderBy("h", "lang", "words").collect()]
 
 
 def fit(df: DataFrame) -> Model | None:
