@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from ketframe.llm import chat, decontaminate, hard_negatives, language_id, line_dedup, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, token_alignment, warc
+from ketframe.llm import chat, decontaminate, hard_negatives, language_id, line_dedup, pipeline, quality_classifier, quality_rules, secrets, sentencepiece, simhash, substrings, token_alignment, warc
 
 
 def queries():
@@ -21,10 +20,10 @@ def queries():
         "op11_token_alignment": token_alignment.op11,
         "op12_language_id": language_id.op12,
         "op13_hard_negatives": hard_negatives.op13,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql():
     own = {"op5_substrings": substrings.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return own | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -102,7 +102,7 @@ def encode_whole(processor, texts: list[str | None]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(processor.decode(ids, num_threads=1), pa.string())], names=["ids", "decoded"])
 
 
-def _slices(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str | None]]:
+def _slices(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | None]]:
     """A batch in runs of rows of about so many characters; a longer text is a run of its own."""
     part, held = [], 0
     for t in texts.to_pylist():

@@ -12,12 +12,11 @@ never meets itself as a whole. No bucket, partner or candidate is capped.
 
 Links then go to `components`. Nothing but counts reaches the driver.
 
-`similar_documents` is for a threshold of similarity that a few bits of one fingerprint cannot
-tell: its candidates come from a fingerprint over words, which a changed word hardly moves, and, if
-asked for, from bands of minima of the shingles' hashes, which hold wherever the texts differ (an added
-or a cut passage moves the words' fingerprint). Candidates whose sets are of too different sizes, or
-far apart by a wider fingerprint over shingles, go; of the others the sets of shingles themselves are
-compared, so no pair below the threshold is linked.
+`similar_documents` is for a threshold of similarity that a few bits of one fingerprint cannot tell, and whose
+Hamming balls would have to be so wide that what they return grows with the square of the corpus. Its candidates
+come from bands of minima of the shingles' hashes, which hold wherever the texts differ. Candidates whose sets are
+of too different sizes, or far apart by a wider fingerprint over shingles, go; of the others the sets of shingles
+themselves are compared, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
@@ -147,8 +146,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # Similar documents ---------------------------------------------------------------------------
 
-#: Segments of the candidate fingerprint and their bits; two segments to a long.
-SEGMENTS, SEGMENT_BITS = 4, 24
 #: Longs of the comparison fingerprint, and its bits.
 WIDE_LONGS = 8
 WIDE_BITS = BITS * WIDE_LONGS
@@ -160,7 +157,7 @@ SMALL_SET = 24
 #: Bands of minima and minima in one: a pair of Jaccard similarity J shares a band with the probability
 #: 1 - (1 - J ** BAND_MINIMA) ** BANDS, which is 0.998 at 0.8, wherever the texts differ.
 BANDS, BAND_MINIMA = 16, 5
-WIDE_NAMES = ["u0", "u1", *(f"s{k}" for k in range(WIDE_LONGS))]
+WIDE_NAMES = [f"s{k}" for k in range(WIDE_LONGS)]
 
 
 def most_bits(similarity: float) -> int:
@@ -204,7 +201,7 @@ def _band_mixes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A negative long for each band of minima of a set's mixed hashes (keys of segments are not negative)."""
+    """A long for each band of minima of a set's mixed hashes."""
     masks, factors = _band_mixes()
     least = np.full(BANDS * BAND_MINIMA, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 8_192):
@@ -213,7 +210,7 @@ def _band_keys(hashes: np.ndarray) -> np.ndarray:
     for minimum in least.reshape(BANDS, BAND_MINIMA).T:
         keys = (keys ^ minimum) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(29)
-    return (keys | np.uint64(2**63)).view(np.int64)
+    return keys.view(np.int64)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -223,50 +220,29 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(_hashes(parts))
 
 
-def _fingerprint_and_bands(text: str | None, shingle: int, banded: bool = True) -> tuple[int, int, list[int], list[int]]:
-    """Digest and size of the set of shingles, `wide_fingerprint` and the keys of the bands; a text without words has none."""
+def _fingerprint_and_bands(text: str | None, shingle: int) -> tuple[int, int, list[int], list[int]]:
+    """Digest and size of the set of shingles, its fingerprint of WIDE_LONGS and the keys of its bands; a text without words has none."""
     import xxhash
 
     parts = shingle_set(text, shingle)
     node = int(np.uint64(xxhash.xxh3_64_intdigest(parts.tobytes())).view(np.int64))
     if not len(parts):
-        return node, 0, [0] * len(WIDE_NAMES), []
-    words = set((text or "").encode().lower().split())
-    return node, len(parts), [*_set_bits(_hashes(words), 2).tolist(), *_set_bits(parts, WIDE_LONGS).tolist()], _band_keys(parts).tolist() if banded else []
+        return node, 0, [0] * WIDE_LONGS, []
+    return node, len(parts), _set_bits(parts, WIDE_LONGS).tolist(), _band_keys(parts).tolist()
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """Two longs over the set of words, for candidates, and WIDE_LONGS over the set of shingles, for comparison."""
-    return _fingerprint_and_bands(text, shingle, False)[2]
-
-
-def _segment_keys(radius: int) -> Column:
-    """Longs that name a segment and a value: of columns u0 and u1, the value itself or its whole ball."""
-    low = (1 << SEGMENT_BITS) - 1
-    masks = F.array(*(F.lit(m).cast("long") for m in _ball(SEGMENT_BITS, radius)))
-
-    def keys(s: int) -> Column:
-        value = F.shiftrightunsigned(F.col(f"u{s // 2}"), SEGMENT_BITS * (s % 2)).bitwiseAND(F.lit(low))
-        return F.transform(masks, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(s << SEGMENT_BITS).cast("long")))
-
-    return F.explode(F.flatten(F.array(*(keys(s) for s in range(SEGMENTS)))))
-
-
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: DataFrame | None = None, verify=lambda pairs: pairs) -> DataFrame:
+def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, verify=lambda pairs: pairs) -> DataFrame:
     """(node, root) of all classes that links reach from another; classes: node, size and WIDE_NAMES; bands: node and key.
 
     verify keeps those of some pairs (a, b) of nodes that are similar in fact.
 
-    Each class files its word fingerprint under each of its segments and asks for all values within
-    one bit of each; it files itself under the keys of its bands and asks for the same; what is found is verified. A value that very many classes share must not meet itself pair by pair. So first every asker is compared
-    with one holder of each value only, and components are formed. Then a value is followed in full
-    only by askers of a lower component than a holder's (the holder asks for the asker's value too, so
-    each pair has one such asker), and the join yields only pairs of two components that are near. That loses no pair: pairs that are left out are in one component already.
+    A key that very many classes share must not meet itself pair by pair. So first every class is compared with one
+    holder of each of its keys only, and components are formed. Then the classes of a key meet in full only across
+    components, those of lower ones with those of higher ones. That loses no pair: pairs that are left out are in
+    one component already.
     """
     classes = materialize(classes, "classes")
     most = most_bits(similarity)
-    filed = classes.select("node", _segment_keys(0).alias("key"))
-    filed = materialize(filed if bands is None else filed.unionByName(bands), "filed")
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(WIDE_LONGS)))
@@ -274,30 +250,30 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, bands: Dat
     less, more_of = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     near = (less >= similarity * more_of - 1e-6) & ((less < SMALL_SET) | (sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most))
 
-    asked = classes.select("node", _segment_keys(1).alias("key"))
-    asked = asked if bands is None else asked.unionByName(bands)
-    holder = filed.groupBy("key").agg(F.min("node").alias("holder"))
-    first = asked.join(holder, "key").where("node <> holder").select(F.greatest("node", "holder").alias("a"), F.least("node", "holder").alias("b"))
-    links = verify(materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links"))
+    holder = bands.groupBy("key").agg(F.min("node").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = bands.join(holder, "key").where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
+    pairs = materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links")
+    links = verify(pairs)
     roots = materialize(components(links, "a", "b"), "roots")
 
-    rooted = materialize(classes.select("node", "u0", "u1").join(roots, "node", "left").select("node", "u0", "u1", F.coalesce("root", "node").alias("root")), "rooted")
-    held = filed.join(rooted.select("node", "root"), "node")
-    spread = held.groupBy("key").agg(F.max("root").alias("high"))
-    asking = rooted.select("node", "root", _segment_keys(1).alias("key"))
-    asking = asking if bands is None else asking.unionByName(held.where("key < 0").select("node", "root", "key"))
-    asking = asking.join(spread, "key").where("root < high")
-    asking = asking.select(F.col("node").alias("a"), F.col("root").alias("a_root"), "key").join(side("a"), "a")
+    held = bands.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    spread = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    held = materialize(held.join(spread, "key").select("node", "key", "root", "high"), "across")  # keys of one component are done with
+    asking = held.where("root < high").select(F.col("node").alias("a"), F.col("root").alias("a_root"), "key").join(side("a"), "a")
     holding = held.select(F.col("node").alias("b"), F.col("root").alias("b_root"), "key").join(side("b"), "b")
     across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near)  # all of it within the join
-    more = verify(materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links"))
-    if more.isEmpty():
-        return roots
-    return components(links.unionByName(more), "a", "b")
+    pairs = materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links")
+    more = verify(pairs)
+    done = [classes, held, pairs]
+    if not more.isEmpty():
+        again = materialize(components(links.unionByName(more), "a", "b"), "roots")
+        done, roots = [*done, roots], again
+    release(*done)
+    return roots
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY, banded: bool = False) -> DataFrame:
-    """One row per row of df: key (see `row_key`), doc_id, node and root. banded: candidates from bands too.
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of df: key (see `row_key`), doc_id, node and root.
 
     Texts with the same set of shingles are one class, named by a digest of it (node); root names its
     component: classes that links of at least this Jaccard similarity reach. Texts without words are
@@ -308,7 +284,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf(f"struct<{fields}>")
     def wide(texts: pa.Array) -> pa.Array:
-        made = [_fingerprint_and_bands(t.as_py(), shingle, banded) for t in texts]
+        made = [_fingerprint_and_bands(t.as_py(), shingle) for t in texts]
         longs = np.array([f for _, _, f, _ in made], np.int64).reshape(-1, len(WIDE_NAMES))
         node, size = pa.array([n for n, *_ in made], pa.int64()), pa.array([n for _, n, *_ in made], pa.int32())
         bands = pa.array([b for *_, b in made], pa.list_(pa.int64()))
@@ -317,12 +293,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key, text = row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")
     rows = df.select(key, F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
     rows = materialize(rows.select("key", "doc_id", "w.*"), "wide-fingerprints", packed=True)
-    bands = materialize(rows.select("node", F.explode("bands").alias("key")).distinct(), "bands") if banded else None
+    bands = materialize(rows.select("node", F.explode("bands").alias("key")).distinct(), "bands")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return jaccard_links(pairs, rows, df.select(key, text), shingle, similarity)
 
-    roots = similar_links(rows.select("node", "size", *WIDE_NAMES).dropDuplicates(["node"]), similarity, bands, verify)
+    roots = similar_links(rows.select("node", "size", *WIDE_NAMES).dropDuplicates(["node"]), bands, similarity, verify)
+    release(bands)
     return rows.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

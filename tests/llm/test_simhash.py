@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-import corpus_pipeline
+from ketframe.llm import pipeline
 from ketframe.llm import simhash as op
 from ketframe.llm.components import components
 
@@ -116,8 +116,8 @@ def test_similar_documents(spark):
         texts += [mutated(rng, words, share) for share in [0.0, 0.0, *[rng.choice([0.004, 0.01, 0.02, 0.05, 0.3]) for _ in range(25 if g == 0 else 4)]]]
     texts += [None, "", " ", "a b", "A  b", "lone"]
     docs = dict(enumerate(texts))
-    df = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, u0 int").repartition(3)
-    got = op.similar_documents(df, banded=True).collect()
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, s0 int").repartition(3)
+    got = op.similar_documents(df).collect()
     by, want = {}, {}
     for r in got:
         by.setdefault(r.root, set()).add(r.doc_id)
@@ -137,13 +137,13 @@ def test_similar_documents(spark):
             if jaccard(docs[first], docs[i]) > 0.92:
                 assert root[i] == root[first]
     assert root[len(texts) - 6] == root[len(texts) - 5] == root[len(texts) - 4] and root[len(texts) - 3] == root[len(texts) - 2]
-    kept = op.keep_one_of_each(df, op.similar_documents(df, banded=True))
+    kept = op.keep_one_of_each(df, op.similar_documents(df))
     assert {r.doc_id for r in kept.collect()} == {min(ids) for ids in by.values()} and kept.columns == df.columns
     assert op.similar_documents(df.limit(0)).count() == 0
 
 
 def test_crowded_values_lose_no_pair(spark):
-    """Classes that share one segment, in clusters whose first holder is near none of them."""
+    """Classes that share one key, in clusters whose first holder is near none of them."""
     rng = random.Random(9)
     rows = []
     for c in range(6):
@@ -151,9 +151,9 @@ def test_crowded_values_lose_no_pair(spark):
         for _ in range(8):
             s = list(centre)
             s[rng.randrange(op.WIDE_LONGS)] ^= 1 << rng.randrange(64)
-            rows.append((rng.getrandbits(63), 7, rng.getrandbits(48), *map(signed, s), 100, c))
+            rows.append((rng.getrandbits(63), *map(signed, s), 100, c))
     df = spark.createDataFrame(rows, "node long, " + "".join(f"{n} long, " for n in op.WIDE_NAMES) + "size int, c int")
-    root = {r.node: r.root for r in op.similar_links(df.drop("c")).collect()}
+    root = {r.node: r.root for r in op.similar_links(df.drop("c"), df.selectExpr("node", "1L AS key")).collect()}
     for c in range(6):
         nodes = [r[0] for r in rows if r[-1] == c]
         assert {root[n] for n in nodes} == {min(nodes)}
@@ -173,7 +173,7 @@ def test_added_and_cut_passages_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     called = []
     monkeypatch.setattr(op, "similar_documents", lambda *a, f=op.similar_documents, **k: called.append(f(*a, **k)) or called[0])
-    corpus_pipeline.near_duplicates(spark, df, "")  # the stage as the pipeline asks for it
+    pipeline.near_duplicates(spark, df, "")  # the stage as the pipeline asks for it
     root = {r.doc_id: r.root for r in called[0].collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
     similar = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
