@@ -14,9 +14,10 @@ again makes the same records. All work is row by row; nothing is shuffled.
 A page is read once, tag by tag, in time that grows with its length (but for a logarithm) however broken
 it is: after TRIES tags that do not end, ends are looked up in a table of quotes and brackets.
 
-Transfer codings (chunked) and content codings (gzip, deflate) are undone; what is cut off or broken is
+Transfer and content codings (chunked, gzip, deflate) are undone in their order; what is cut off or broken is
 read as far as it goes, and a body that does not look like its coding is taken as it is. A body in another
-coding (br, zstd) gives no text and no links, and its metadata says so (undecoded).
+coding (br, zstd) gives no text and no links, and its metadata says so (undecoded); so does one that is no text by its
+content type (not-text). Links are relative to the page's <base> where it has one.
 
 Files: one gzip member to a record. Tasks write to a hidden folder, and the driver moves the files when
 all are done; readers unzip and parse a file piece by piece, so what they hold is one record.
@@ -63,6 +64,8 @@ _CLOSE = {t: re.compile(rf"</{t}(?![\w-])[^>]*+>?", re.I) for t in (*RAW, *HIDDE
 _LONG_REFERENCE = re.compile(r"&#(?:[0-9]{20,}|[xX][0-9a-fA-F]{20,});?")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _CHUNK = re.compile(rb"([0-9a-fA-F]{1,15})[^\r\n]{0,200}\r\n")
+_MEMBER = b"\x1f\x8b\x08"
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 _ORIGIN = re.compile(r"https?://[^/?#]+", re.I)
 
 
@@ -76,11 +79,12 @@ def derived_id(response_id: str, kind: str) -> str:
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and payload of an HTTP response."""
+    """Status line, headers and payload of an HTTP response; lines end with CR LF or a bare LF."""
     if not block.startswith(b"HTTP/"):
         return "", [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    first, *rest = head.decode("latin-1").split("\r\n")
+    end = _HEAD_END.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
+    first, *rest = re.split("\r?\n", head.decode("latin-1"))
     return first, [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in rest) if c], payload
 
 
@@ -115,12 +119,12 @@ def _inflated(body: bytes, bits: int) -> bytes:
 
 
 def decode_body(body: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, str | None]:
-    """(body without its codings, the coding that could not be undone)."""
+    """(body without its codings, the coding that could not be undone): transfer codings first, each kind from the last one applied."""
     named = lambda name: [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",")]
-    if "chunked" in named("transfer-encoding"):
-        body = _dechunked(body)
-    for coding in reversed(named("content-encoding")):
-        if coding in ("gzip", "x-gzip"):
+    for coding in (*reversed(named("transfer-encoding")), *reversed(named("content-encoding"))):
+        if coding == "chunked":
+            body = _dechunked(body)
+        elif coding in ("gzip", "x-gzip"):
             body = _inflated(body, 31) if body[:2] == b"\x1f\x8b" else body
         elif coding == "deflate":
             body = _inflated(body, 15) or _inflated(body, -15) or body
@@ -129,6 +133,14 @@ def decode_body(body: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, str
     return body, None
 
 
+def is_text(body: bytes, headers: list[tuple[str, str]]) -> bool:
+    """Whether a payload is markup or text: by its content type, or where none is given by the lack of zero bytes and of a PDF's mark."""
+    told = next((v.split(";")[0].strip().lower() for k, v in headers if k.lower() == "content-type"), "")
+    if told:
+        return told.startswith("text/") or told.endswith(("+xml", "/xml", "/json", "+json", "/javascript")) or "/" not in told
+    return b"\0" not in body[:1024] and not body.startswith(b"%PDF")
+
+
 def decode_payload(payload: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
     """(text, charset) by the HTTP header, the page's own word, or UTF-8."""
     told = next((v for k, v in headers if k.lower() == "content-type"), "").encode()
@@ -177,6 +189,7 @@ class Page(NamedTuple):
     links: list[tuple[str, str]]
     title: str | None
     language: str | None
+    base: str | None
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -189,7 +202,7 @@ def attributes(tag: str) -> dict[str, str]:
 
 
 def read_page(page: str) -> Page:
-    """Text (a line for each block that has some), links as they stand, title and language of a page.
+    """Text (a line for each block that has some), links as they stand, title, language and base of a page.
 
     A head ends at </head> or, where that is left out, at the first thing that a head cannot hold (a body,
     a flow element, text). Unclosed comments, scripts and styles run to the end of the page; of other
@@ -199,7 +212,7 @@ def read_page(page: str) -> Page:
     ends, missing = _Ends(page), set()
     out: list[str] = []
     links: list[tuple[str, str]] = []
-    title = language = None
+    title = language = base = None
     at = shown = search = 0  # text from `at` on is new; before `shown` it is hidden
     head = False
 
@@ -246,6 +259,8 @@ def read_page(page: str) -> Page:
             own = attributes(page[m.end() : end - 1])
             if url := own.get("href") or own.get("src"):
                 links.append((name, url))
+        elif name == "base" and base is None:
+            base = attributes(page[m.end() : end - 1]).get("href") or None
         elif name == "html" and language is None:
             language = attributes(page[m.end() : end - 1]).get("lang") or None
         elif name == "title" and (title is None or head):
@@ -267,7 +282,7 @@ def read_page(page: str) -> Page:
     out.append(page[max(at, shown) :])
     whole = html.unescape(_LONG_REFERENCE.sub("\ufffd", "".join(out)))
     lines = (" ".join(line.split()) for line in whole.split("\n"))
-    return Page("\n".join(line for line in lines if line), links, title, language)
+    return Page("\n".join(line for line in lines if line), links, title, language, base)
 
 
 def plain_text(page: str) -> str:
@@ -294,6 +309,14 @@ def links(found: list[tuple[str, str]], base: str) -> list[tuple[str, str]]:
     return list(out)
 
 
+def base_of(uri: str, base: str | None) -> str:
+    """What a page's links are relative to: its <base>, itself relative to the page, or the page."""
+    try:
+        return urljoin(uri, html.unescape(_LONG_REFERENCE.sub("\ufffd", base.strip()))) if base else uri
+    except ValueError:
+        return uri
+
+
 def _field(name: str, value: str) -> str:
     return f"{name}: {' '.join(value.split())}\r\n"
 
@@ -303,13 +326,14 @@ def derivatives(record_id: str, uri: str | None, date: str | None, headers: dict
     status, http, payload = http_parts(block)
     body, undecoded = decode_body(payload, http)
     page, charset = decode_payload(body, http)
-    found = read_page(page)
+    readable = is_text(body, http)
+    found = read_page(page) if readable else Page("", [], None, None, None)
     fields = [(name, html.unescape(value)) for name, value in (("title", found.title), ("language", found.language)) if value is not None] + [("charset", charset)]
-    fields += [("undecoded", undecoded)] * bool(undecoded)
+    fields += [("undecoded", undecoded)] * bool(undecoded) + [("not-text", "true")] * (not readable)
     fields += [("http-status", status)] * bool(status) + [(f"http-{k.lower()}", v) for k, v in http]
     fields += [(f"source-{k.lower()}", v) for k, v in sorted(headers.items())]
     fields += [(f"source-{k}", v) for k, v in (("warc-block-digest", digest(block)), ("warc-payload-digest", digest(payload))) if k not in {h.lower() for h in headers}]
-    fields += [("outlink", f"{url} {tag}") for tag, url in links(found.links, uri or "")]
+    fields += [("outlink", f"{url} {tag}") for tag, url in links(found.links, base_of(uri or "", found.base))]
     blocks = {"metadata": ("application/warc-fields", "".join(_field(*f) for f in fields)), "conversion": ("text/plain; charset=utf-8", found.text)}
     out = []
     for kind, (content, text) in blocks.items():
@@ -420,56 +444,122 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(F.concat(head.cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record")).write.format("warc_files").mode("append").save(path)
 
 
-def _unzipped(pieces: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file in pieces, unzipped member by member if it is gzipped."""
-    z, kind = None, None
+#: Stands between the bytes of members, where a member's checksum was right.
+MEMBER_END = b""
+
+
+class Gap(NamedTuple):
+    """A stretch of a file that gives no bytes."""
+
+    offset: int
+    reason: str
+
+
+def _unzipped(pieces: Iterable[bytes], most: int = 1 << 20) -> Iterator[bytes | Gap]:
+    """The bytes of a file in pieces, unzipped member by member if it is gzipped; behind a damaged member goes on at the next one's mark."""
+    z, kind, offset, lost, held = None, None, 0, False, b""
     for data in pieces:
         if kind is None and data:
             kind = data[:1] == b"\x1f"
         if not kind:
-            yield data
+            if data:
+                yield data
             continue
+        data, held = held + data, b""
         while data:
+            if lost:
+                at = data.find(_MEMBER)
+                if at < 0:  # the mark may begin at the end of a piece
+                    held = data[max(0, len(data) - len(_MEMBER) + 1) :]
+                    offset += len(data) - len(held)
+                    break
+                data, offset, lost = data[at:], offset + at, False
+            if z is None and data[:1] == b"\0":  # padding between members
+                before, data = len(data), data.lstrip(b"\0")
+                offset += before - len(data)
+                continue
             z = z or zlib.decompressobj(31)
+            before = len(data)
             try:
-                yield z.decompress(data, most)
-            except zlib.error:  # no member: what is left is no record
-                return
+                out = z.decompress(data, most)
+            except zlib.error as e:
+                yield Gap(offset, str(e))
+                z, lost, data = None, True, data[1:]
+                offset += 1
+                continue
+            if out:
+                yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data.lstrip(b"\x00"), None
+                data, z = z.unused_data, None
+                yield MEMBER_END
+            offset += before - len(data)
+    if z is not None and not z.eof:
+        yield Gap(offset, "the file ends within a member")
 
 
 def parse_warc(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file given in pieces, gzipped or not; of the file, one record is held."""
-    source, held, at = _unzipped(pieces), bytearray(), 0
+    """(headers, block) of each record of a WARC file given in pieces, gzipped or not; of the file, one record is held.
+
+    Values of a header that is given several times are joined by commas. A record that is cut off has the bytes that are
+    there and says WARC-Truncated, as does the last record of a damaged member. Where the file is damaged, a record of type
+    `damaged` names the offset and the reason.
+    """
+    source, held, at, gap = _unzipped(pieces), bytearray(), 0, None
+    last, sure = None, True  # a record waits until its member's checksum is known to be right, or the next one comes
 
     def more() -> bool:
-        nonlocal at
+        nonlocal at, gap, sure
+        if gap is not None:
+            return False
         del held[:at]
         at = 0
         piece = next(source, None)
-        if piece is not None:
+        while isinstance(piece, bytes) and not piece:
+            sure, piece = True, next(source, None)
+        if isinstance(piece, Gap):
+            gap = piece
+        elif piece is not None:
             held.extend(piece)
-        return piece is not None
+        return piece is not None and gap is None
 
     while True:
+        headers = None
         while (start := held.find(b"WARC/", at)) < 0:
             at = max(at, len(held) - 4)
             if not more():
+                break
+        if start >= 0:
+            at = start
+            while not (end := _HEAD_END.search(held, at)):
+                if not more():
+                    break
+            if end:
+                headers = {}
+                for name, _, value in (x.partition(":") for x in re.split("\r?\n", held[at : end.start()].decode("utf-8", "replace"))[1:]):
+                    same = next((k for k in headers if k.lower() == name.strip().lower()), name.strip())
+                    headers[same] = f"{headers[same]}, {value.strip()}" if same in headers else value.strip()
+                size = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+                size, at = int(size) if size.isascii() and size.isdigit() else 0, end.end()
+                while len(held) - at < size and more():
+                    pass
+                if len(held) - at < size and not any(k.lower() == "warc-truncated" for k in headers):
+                    headers["WARC-Truncated"] = "unspecified"
+                if last:
+                    yield last
+                last, sure = (headers, bytes(held[at : at + size])), False
+                at = min(at + size, len(held))
+        if headers is None:  # nothing more up to the end or the next gap
+            if last:
+                if gap is not None and not sure:
+                    last[0].setdefault("WARC-Truncated", "unspecified")
+                yield last
+                last = None
+            if gap is None:
                 return
-        at = start
-        while (end := held.find(b"\r\n\r\n", at)) < 0:
-            if not more():
-                return
-        lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
-        size, at = int(size) if size.isascii() and size.isdigit() else 0, end + 4
-        while len(held) - at < size and more():
-            pass
-        yield headers, bytes(held[at : at + size])
-        at = min(at + size, len(held))
+            yield {"WARC-Type": "damaged", "offset": str(gap.offset), "reason": gap.reason}, b""
+            held.clear()
+            at, gap = 0, None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -493,7 +583,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for headers, block in parse_warc(pieces(file.as_py())):
                     row = {names[k.lower()]: v for k, v in headers.items() if k.lower() in names}
                     rest = [(k, v) for k, v in headers.items() if k.lower() not in names]
-                    part.append(row | {"refers_to": headers.get("WARC-Refers-To"), "headers": rest, "block": block})
+                    refers_to = next((v for k, v in headers.items() if k.lower() == "warc-refers-to"), None)
+                    rest += [("file", file.as_py())] * (row.get("type") == "damaged" and isinstance(file.as_py(), str))
+                    part.append(row | {"refers_to": refers_to, "headers": rest, "block": block})
                     held += len(block)
                     if len(part) == 256 or held > 1 << 24:
                         yield pa.RecordBatch.from_pylist(part, schema)

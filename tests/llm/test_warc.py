@@ -157,3 +157,83 @@ def test_members_and_bounded_reading(spark, tmp_path):
     assert tracemalloc.get_traced_memory()[1] < 2e7
     tracemalloc.stop()
     assert [b for _, b in op.parse_warc([b"WARC/1.0\r\nContent-Len", b"gth: 3\r\n\r", b"\nabc\r\n\r\nWA", b"RC/1.0\r\n\r\n\r\n\r\n"])] == [b"abc", b""]
+
+
+def both_of(head, body):
+    return op.derivatives("<r>", "http://a.org/x/y", None, {}, head.encode() + body)
+
+
+def conversion(head, body):
+    return next(d for d in both_of(head, body) if d["type"] == "conversion")["block"]
+
+
+def metadata(head, body):
+    return next(d for d in both_of(head, body) if d["type"] == "metadata")["block"]
+
+
+def test_heads_with_bare_line_feeds():
+    assert conversion("HTTP/1.0 200 OK\nContent-Type: text/html\n\n", b"<p>hello world") == "hello world"
+    assert conversion("HTTP/1.0 200 OK\r\nContent-Type: text/html\n\r\n", b"<p>one\r\n\r\ntwo") == "one\ntwo"
+    assert "http-content-type: text/html" in metadata("HTTP/1.0 200 OK\nContent-Type: text/html\n\n", b"x")
+
+
+def test_transfer_codings_in_order():
+    import gzip
+
+    zipped = gzip.compress(b"<p>text")
+    chunked = b"%x\r\n" % len(zipped) + zipped + b"\r\n0\r\n\r\n"
+    assert conversion("HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, chunked\r\n\r\n", chunked) == "text"
+    assert conversion("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n", chunked) == "text"
+
+
+def test_payloads_that_are_no_text():
+    pdf = b"%PDF-1.4 \x00\x01 stream"
+    for head in ("HTTP/1.1 200 OK\r\nContent-Type: application/pdf\r\n\r\n", "HTTP/1.1 200 OK\r\n\r\n"):
+        assert conversion(head, pdf) == "" and "not-text: true" in metadata(head, pdf)
+    assert conversion("HTTP/1.1 200 OK\r\nContent-Type: application/xhtml+xml\r\n\r\n", b"<p>x") == "x"
+
+
+def test_links_are_relative_to_the_base():
+    page = b"<head><base href='/other/'><base href='/no/'></head><a href=z>z</a><a href=/top>t</a>"
+    block = metadata("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", page)
+    assert "outlink: http://a.org/other/z a" in block and "outlink: http://a.org/top a" in block
+    assert "outlink: http://a.org/x/z a" in metadata("HTTP/1.1 200 OK\r\n\r\n", b"<a href=z>z</a>")
+
+
+def record(k, body=None, size=None):
+    body = body or f"body {k}".encode()
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nwarc-refers-to: <q>\r\nContent-Length: {size or len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_damaged_members_lose_only_themselves(spark, tmp_path):
+    import gzip
+    import random
+
+    noise = random.Random(1).randbytes(4000)
+    members = [gzip.compress(record(k, noise if k == 1 else None)) for k in range(5)]
+    bad = bytearray(members[1])
+    bad[200:260] = bytes(60)
+    data = members[0] + bytes(bad) + members[2] + bytes(500) + b"".join(members[3:])
+    for size in (7, 100, 1 << 20):
+        got = list(op.parse_warc(data[k : k + size] for k in range(0, len(data), size)))
+        whole = [h["WARC-Record-ID"] for h, b in got if h["WARC-Type"] == "response" and "WARC-Truncated" not in h]
+        assert whole == ["<0>", "<2>", "<3>", "<4>"] and sum(h["WARC-Type"] == "damaged" for h, _ in got) >= 1
+        first = next(h for h, _ in got if h["WARC-Type"] == "damaged")
+        assert len(members[0]) <= int(first["offset"]) <= len(members[0]) + len(bad) and first["reason"]
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    rows = op.read_warc(spark, str(tmp_path)).collect()
+    assert [r.record_id for r in rows if r.type == "response"][0] == "<0>" and {r.record_id for r in rows if r.type == "response"} >= {"<2>", "<3>", "<4>"}
+    gone = next(r for r in rows if r.type == "damaged")
+    assert "x.warc.gz" in gone.headers["file"] and gone.headers["offset"].isdigit()
+    assert rows[0].refers_to == "<q>" and rows[0].headers["WARC-Concurrent-To"] == "<a>, <b>"
+
+
+def test_cut_records_say_so():
+    import gzip
+
+    data = record(0) + record(1, b"ab", 5)[:-4]
+    got = list(op.parse_warc([data]))
+    assert got[0][1] == b"body 0" and "WARC-Truncated" not in got[0][0] and got[1][1] == b"ab" and got[1][0]["WARC-Truncated"] == "unspecified"
+    member = gzip.compress(record(0)) + gzip.compress(record(1, b"x" * 50_000))[:-30]
+    kinds = [(h["WARC-Type"], "WARC-Truncated" in h) for h, _ in op.parse_warc([member])]
+    assert kinds[0] == ("response", False) and kinds[-1][0] == "damaged"
