@@ -645,6 +645,20 @@ def constrained_split(spark, sf):
     return sampling.constrained_split(d, {"train": 140, "val": 30, "test": 30}, 1e-5, 15007963261698017722)
 
 
+def component_split(spark, sf):
+    """Rows of each class and split of a new split that parts no near states, and how many near pairs it parts."""
+    s = states(spark, sf).select("id", "label", "state")
+    got = sampling.component_split(s, {"train": 0.7, "val": 0.15, "test": 0.15}, 0.25, 5)
+    near = metric_index.near_duplicate_pairs(s, 0.25)
+    parted = near.join(got.select(F.col("id").alias("a"), F.col("split").alias("x")), "a").join(got.select(F.col("id").alias("b"), F.col("split").alias("y")), "b").agg(F.count_if(F.col("x") != F.col("y")).alias("parted"), F.count("*").alias("near_pairs"))
+    return got.groupBy("label", "split").agg(F.count("*").alias("n")).join(F.broadcast(parted), F.lit(True))  # one row
+
+
+COMPONENT_SPLIT_SQL = f"""WITH {STATES_SQL}, q AS (SELECT label, count(*) AS n FROM st GROUP BY 1), p AS (SELECT count(*) AS near_pairs FROM st a JOIN st b ON a.id < b.id WHERE {DOT} * {DOT} >= 0.25),
+r AS (SELECT label, 'train' AS split, round(n * CAST(0.7 AS DOUBLE)) AS n FROM q UNION ALL SELECT label, 'val', round(n * CAST(0.85 AS DOUBLE)) - round(n * CAST(0.7 AS DOUBLE)) FROM q UNION ALL SELECT label, 'test', n - round(n * CAST(0.85 AS DOUBLE)) FROM q)
+SELECT label, split, CAST(n AS BIGINT) AS n, CAST(0 AS BIGINT) AS parted, near_pairs FROM r CROSS JOIN p"""
+
+
 def greedy_unique(spark, sf):
     return sampling.greedy_unique(states(spark, sf), "label", 0.75)
 
@@ -754,7 +768,7 @@ _QUERIES = {
     "pair_fidelity_by_label": (pair_fidelity_by_label, PAIR_FIDELITY_SQL), "nearest_in_class": (nearest_in_class, NEAREST_SQL), "knn_edges": (knn_edges, KNN_SQL),
     "near_duplicate_states": (near_duplicate_states, NEAR_DUPLICATE_SQL), "unlike_all_others": (unlike_all_others, UNLIKE_SQL), "closest_between_splits": (closest_between_splits, CLOSEST_SQL),
     "near_projected_states": (near_projected_states, NEAR_PROJECTED_SQL), "nearest_projected": (nearest_projected, NEAREST_PROJECTED_SQL), "fidelity_totals": (fidelity_totals, FIDELITY_TOTALS_SQL),
-    "two_qubit_kernel_mmd": (two_qubit_kernel_mmd, None), "conflict_scores": (conflict_scores, CONFLICT_SQL), "conflict_weights": (conflict_weights, WEIGHTS_SQL), "cosine_groups": (cosine_groups, COSINE_SQL), "fs_metric": (fs_metric, FS_METRIC_SQL),
+    "component_split": (component_split, COMPONENT_SPLIT_SQL), "two_qubit_kernel_mmd": (two_qubit_kernel_mmd, None), "conflict_scores": (conflict_scores, CONFLICT_SQL), "conflict_weights": (conflict_weights, WEIGHTS_SQL), "cosine_groups": (cosine_groups, COSINE_SQL), "fs_metric": (fs_metric, FS_METRIC_SQL),
     "state_observables": (state_observables, STATE_OBSERVABLES_SQL), "observable_means": (observable_means, OBSERVABLE_MEANS_SQL), "class_scores": (class_scores, CLASS_SCORES_SQL),
     "train_gate": (train_gate, TRAIN_GATE_SQL), "hashed_targets": (hashed_targets, HASHED_TARGETS_SQL), "class_mmd": (class_mmd, CLASS_MMD_SQL), "mmd_contributions": (mmd_contributions, CONTRIBUTIONS_SQL),
     "split_mmd": (split_mmd, SPLIT_MMD_SQL), "cancellation": (cancellation, CANCELLATION_SQL), "finite_stats": (finite_stats, FINITE_STATS_SQL), "quantile_summary": (quantile_summary, QUANTILE_SQL),
@@ -774,9 +788,25 @@ _QUERIES = {
 }
 
 
-def queries():
+#: Over generated states or lists of runs; they read no table, so they are run by tests and studies, not registered.
+GENERATED = {
+    "ising_states", "unitary_augmentation", "geodesic_pool", "matched_controls", "tangent_pool", "confirmatory_tangents", "classifier_training", "diffusion_training",
+    "diffusion_trajectories", "constrained_split", "redrawn_corpus", "candidate_diagnostics", "symmetry_audit", "dataset_audit", "numerical_floor", "freshness",
+    "ensemble_metrics", "gram_floor", "radius_calibration", "kernel_study", "gradient_study", "run_matrix",
+}
+
+
+def every_query():
     return {name: q for name, (q, _) in _QUERIES.items()}
 
 
-def oracle_sql():
+def every_sql():
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def queries():
+    return {name: q for name, q in every_query().items() if name not in GENERATED}
+
+
+def oracle_sql():
+    return {name: sql for name, sql in every_sql().items() if name not in GENERATED}

@@ -5,18 +5,18 @@ import pytest
 from ketframe.plans import catalog
 from tests.duck import same_rows
 
-SQL = catalog.oracle_sql()
+SQL = catalog.every_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
-    same_rows(catalog.queries()[name](spark, sf), SQL[name], sf)
+    same_rows(catalog.every_query()[name](spark, sf), SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL) - {"classifier_training", "diffusion_training"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.every_query()) - set(SQL) - {"classifier_training", "diffusion_training"}))
 def test_rows(spark, name):
-    df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    df = catalog.every_query()[name](spark, "/root/testdata/sf0.001")
     assert len(df.collect()) > 0
 
 
@@ -24,7 +24,7 @@ def test_published_sweep(spark):
     """Means and deviations of the test accuracy that are published for this sweep."""
     from pyspark.sql import functions as F
 
-    runs = catalog.queries()["classifier_training"](spark, "/root/testdata/sf0.001")
+    runs = catalog.every_query()["classifier_training"](spark, "/root/testdata/sf0.001")
     rows = runs.groupBy("dataset", "size").agg(F.count_if(F.col("status") == "completed").alias("n"), F.avg("test_accuracy").alias("mean"), F.stddev_pop("test_accuracy").alias("std")).collect()
     got = {(r.dataset, r["size"]): (round(r["mean"], 4), round(r["std"], 4)) for r in rows}
     assert len(got) == 8 and all(r.n == 3 for r in rows)

@@ -159,3 +159,33 @@ def test_running_sums_ranks_and_neighbours(spark):
             assert got[g, i] == (k + 1, total) and after[g, i] == (rows[k + 1][1] if k + 1 < len(rows) else None)
             places = [j + 1 for j, (y, _) in enumerate(rows) if y == x]
             assert mean[g, i] == sum(places) / len(places)
+
+
+def test_components_and_split(spark):
+    rng = np.random.default_rng(4)
+    chain = [(i, i + 1) for i in range(30, 50)] + [(1, 9), (9, 4), (2, 3), (3, 2)]
+    got = {r.id: r.root for r in sampling.conflict_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 30 for i in range(30, 51)}, 1: 1, 9: 1, 4: 1, 2: 2, 3: 2}
+    assert sampling.conflict_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+    x = rng.standard_normal((300, 12))
+    x[:40] = x[100:140] + 0.02 * rng.standard_normal((40, 12))  # near states of another label, mostly
+    x[40:60] = x[200] + 0.01 * rng.standard_normal((20, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, int(rng.integers(3)), "x", v.tolist()) for i, v in enumerate(x)]
+    shares = {"train": 0.7, "val": 0.15, "test": 0.15}
+    out = sampling.component_split(spark.createDataFrame(rows, KIND), shares, 0.95).collect()
+    split = {r.id: r.split for r in out}
+    assert len(out) == len(split) == 300
+    f = (x @ x.T) ** 2
+    assert all(split[i] == split[j] for i, j in zip(*np.nonzero(f >= 0.95)))
+    for label in range(3):
+        n = sum(r[1] == label for r in rows)
+        got = [sum(r[1] == label and split[r[0]] == s for r in rows) for s in shares]
+        assert sum(got) == n and np.abs(np.array(got) - np.array(list(shares.values())) * n).max() <= 1
+
+
+def test_a_component_that_fits_nowhere_is_an_error(spark):
+    rows = [(i, 0, "x", [1.0, 0.0]) for i in range(4)]
+    with pytest.raises(Exception, match="fits no split"):
+        sampling.component_split(spark.createDataFrame(rows, KIND), {"a": 0.5, "b": 0.5}, 0.9).collect()
