@@ -118,7 +118,8 @@ class Index:
                 return _none(schema)
             return pd.concat([*found(left, right, lambda: overlaps(left, right))] or [_none(schema)])
 
-        return v.select(*picked).unionByName(r.select(*picked)).groupBy(*keys, "__r", "__v").applyInPandas(unit, schema)
+        # Computed once: a plan that holds this twice has lost rows where Spark reused an exchange below it.
+        return cut(v.select(*picked).unionByName(r.select(*picked)).groupBy(*keys, "__r", "__v").applyInPandas(unit, schema))
 
 
 def _none(schema: str) -> pd.DataFrame:

@@ -42,6 +42,9 @@ def test_near_pairs(table):
         assert len(got) == len(set(got)) and set(got) == want
         same = {(a, b) for a, b in want if rows[a][0] == rows[b][0]}
         assert {(r.a, r.b) for r in metric_index.near_duplicate_pairs(df, least, within=["label"]).collect()} == same
+    near = metric_index.near_duplicate_pairs(df, 0.99)
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    assert both.count() == 2 * len(want)
     effort = metric_index.compared(df, 0.99).first()
     assert effort.rows == len(rows) and effort.found == len(want) and effort.met < len(rows) ** 2
 
