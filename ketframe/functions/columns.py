@@ -77,6 +77,12 @@ def magnetization_z2(v: Column, n: int) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
 
 
+def domain_walls(v: Column, n: int) -> Column:
+    """<sum of ZZ> of a real state over the bonds of an open chain: bonds less twice those whose ends differ."""
+    bonds = lambda i: n - 1 - 2 * F.bit_count(i.bitwiseXOR(F.shiftright(i, 1)).bitwiseAND(F.lit(2 ** (n - 1) - 1)))
+    return F.aggregate(F.transform(v, lambda x, i: x * x * bonds(i)), F.lit(0.0), lambda s, x: s + x)
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 

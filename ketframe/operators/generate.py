@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ketframe.functions import linalg
 from ketframe.functions.seeds import generator, hash_seed, stable_hash
+from ketframe.operators.envelope import largest_other
 from ketframe.operators.pairs import to_matrix
 from ketframe.operators.sampling import parameter_rows
 
@@ -110,29 +111,30 @@ def augment_by_unitary(sources: DataFrame, n_qubits: int, strengths: list[float]
 
 
 def fit_gate(train: DataFrame, n_qubits: int, coupling: float = 1.0, boundary: str = "open") -> DataFrame:
-    """One row a class: the range of both magnetisations and the largest energy another class member has at a row's g.
+    """One row a class: the range of both magnetisations and the largest energy another class member has at a row's g, less its own.
 
-    With E_j(g) = a_j + g b_j the excess needs no state again: pairs of three numbers are compared, in
-    one task a class, as a running maximum over g in order would be too.
+    Energies are lines in g, so that the largest other one is read off their envelope. A class of one state raises.
     """
 
-    def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) < 2:
-            raise ValueError("a gate needs two train states")
-        states = to_matrix(part["state"])
+    def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = linalg.ising_terms(n_qubits, coupling, boundary)
-        a, b = (np.einsum("bi,ij,bj->b", states.conj(), terms[k], states).real for k in ("interaction", "field"))
-        g = part["g"].to_numpy()
-        worst = -np.inf
-        for at in range(0, len(g), 1024):
-            energy = a[None] + g[at : at + 1024, None] * b[None]
-            own = energy[np.arange(len(energy)), np.arange(at, at + len(energy))]
-            energy[np.arange(len(energy)), np.arange(at, at + len(energy))] = -np.inf
-            worst = max(worst, float((energy - own[:, None]).max()))
-        mx, mz2 = linalg.observables(states)
-        return pd.DataFrame({"label": [key[0]], "mx_min": [mx.min()], "mx_max": [mx.max()], "mz2_min": [mz2.min()], "mz2_max": [mz2.max()], "max_excess": [worst]})
-
-    return train.where("split = 'train'").select("label", "g", "state").groupBy("label").applyInPandas(of, "label int, mx_min double, mx_max double, mz2_min double, mz2_max double, max_excess double")
+        for f in frames:
+            if len(f):
+                states = to_matrix(f["state"])
+                height, slope = (np.einsum("bi,ij,bj->b", states.conj(), terms[k], states).real for k in ("interaction", "field"))
+                mx, mz2 = linalg.observables(states)
+                yield pd.DataFrame({"label": f["label"], "g": f["g"], "slope": slope, "height": height, "mx": mx, "mz2": mz2})
+
+    rows = train.where("split = 'train'").select("label", "g", "state").mapInPandas(numbers, "label int, g double, slope double, height double, mx double, mz2 double")
+    return fit_gate_of(rows)
+
+
+def fit_gate_of(rows: DataFrame) -> DataFrame:
+    """The gate of rows (label, g, slope, height, mx, mz2), where a row's energy at any g is slope * g + height."""
+    excess = F.col("largest_other") - (F.col("slope") * F.col("g") + F.col("height"))
+    enough = F.when(F.count("*") < 2, F.raise_error(F.lit("a gate needs two train states")).cast("double"))
+    by = largest_other(rows, ["label"], "g", "slope", "height").groupBy("label")
+    return by.agg(F.min("mx").alias("mx_min"), F.max("mx").alias("mx_max"), F.min("mz2").alias("mz2_min"), F.max("mz2").alias("mz2_max"), F.coalesce(enough, F.max(excess)).alias("max_excess"))
 
 
 def through_gate(candidates: DataFrame, gate: DataFrame, norm_tolerance: float = 1e-10) -> DataFrame:

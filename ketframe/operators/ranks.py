@@ -51,6 +51,20 @@ def following(df: DataFrame, within: list[str], order: list[str], of: str, out_c
     return local.alias("l").join(after.alias("a"), keys).select(*(F.col(f"l.{c}") for c in df.columns), F.coalesce("__lead", "__next").alias(out_col))
 
 
+def latest(df: DataFrame, within: list[str], order: list[str], of: list[str]) -> DataFrame:
+    """df with nulls in the columns `of` filled from the last earlier row of the group that has a value."""
+    rows = stretches(df, within, order)
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*order, c)))[c]
+    each = rows.groupBy(*within, STRETCH).agg(*(last(c).alias(c) for c in of))  # a row a group and stretch
+    earlier = W.partitionBy(*within).orderBy(STRETCH).rowsBetween(W.unboundedPreceding, -1)
+    before = each.select(*within, STRETCH, *(F.last(c, ignorenulls=True).over(earlier).alias(f"__to_{c}") for c in of))
+    here = W.partitionBy(*within, STRETCH).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = rows.withColumns({f"__in_{c}": F.last(c, ignorenulls=True).over(here) for c in of})
+    keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*within, STRETCH]]
+    both = local.alias("l").join(before.alias("b"), keys)
+    return both.select(*(F.coalesce(f"__in_{c}", f"__to_{c}").alias(c) if c in of else F.col(f"l.{c}") for c in df.columns))
+
+
 def average_ranks(df: DataFrame, within: list[str], of: str, out_col: str) -> DataFrame:
     """df with the rank of a value in its group, the mean of the places where several rows have it; null for null."""
     counts = df.where(F.col(of).isNotNull()).groupBy(*within, of).agg(F.count("*").alias("__n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
-from ketframe.operators import audit, diagnostics, generate, metric_index, mmd, pairs, sampling, training
+from ketframe.operators import audit, diagnostics, envelope, generate, metric_index, mmd, pairs, sampling, training
 from ketframe.plans import studies
 from ketframe.sources import tables
 
@@ -232,6 +232,45 @@ TRAIN_GATE_SQL = f"""WITH {OBSERVED_SQL}, g AS (SELECT label, min(mx) AS a, max(
 SELECT label, split, count(*) AS n, count(*) FILTER (mx BETWEEN a AND b AND mz2 BETWEEN c AND d) AS accepted FROM o JOIN g USING (label) GROUP BY label, split"""
 
 
+def _energy_lines(spark, sf):
+    """Each state's energy as a line in the field strength, and a strength of its own."""
+    s = states(spark, sf).where(F.col("label").isNotNull())
+    v = F.col("state")
+    g = F.lit(0.2) + (F.col("id") % 97) / F.lit(60.0)
+    mx = C.magnetization_x(v, QUBITS)
+    return s.select("id", "label", "split", g.alias("g"), (-QUBITS * mx).alias("slope"), (-C.domain_walls(v, QUBITS)).alias("height"), mx.alias("mx"), C.magnetization_z2(v, QUBITS).alias("mz2"))
+
+
+ENERGY_SQL = f"""{OBSERVED_SQL}, en AS (SELECT o.id, o.label, o.split, 0.2 + (o.id % 97) / 60.0 AS g, -6 * mx AS m, mx, mz2,
+ -(SELECT sum(v[i + 1] * v[i + 1] * (5 - 2 * bit_count(xor(i, i >> 1) & 31))) FROM generate_series(0, 63) t(i)) AS c FROM o JOIN st ON st.id = o.id AND st.label = o.label)"""
+
+
+def energy_excess(spark, sf):
+    """The largest energy that another state of the class has at a state's field strength, and by how much it is more than its own."""
+    e = envelope.largest_other(_energy_lines(spark, sf), ["label"], "g", "slope", "height")
+    own = F.col("slope") * F.col("g") + F.col("height")
+    return e.select("id", "label", C.rounded(own).alias("energy"), C.rounded(F.col("largest_other")).alias("largest_other"), C.rounded(F.col("largest_other") - own).alias("excess"))
+
+
+ENERGY_EXCESS_SQL = f"""WITH {ENERGY_SQL}, x AS (SELECT a.id, any_value(a.label) AS label, any_value(a.m * a.g + a.c) AS own, max(b.m * a.g + b.c) AS best FROM en a JOIN en b ON a.label = b.label AND a.id <> b.id GROUP BY a.id)
+SELECT id, label, {R('own')} AS energy, {R('best')} AS largest_other, {R('best - own')} AS excess FROM x"""
+
+
+def energy_gate(spark, sf):
+    """The acceptance gate that train states give, and how many states of each split pass it at twice their field strength."""
+    rows = _energy_lines(spark, sf)
+    gate = generate.fit_gate_of(rows.where("split = 'train'").select("label", "g", "slope", "height", "mx", "mz2"))
+    moved = rows.select("label", "split", F.lit(1.0).alias("norm"), F.col("mx").alias("magnetization_x"), F.col("mz2").alias("magnetization_z2"), (F.col("slope") * F.col("g")).alias("energy_drift"))
+    out = generate.through_gate(moved, gate).groupBy("label", "split").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"))
+    return out.join(F.broadcast(gate.select("label", C.rounded(F.col("max_excess")).alias("max_excess"))), "label")
+
+
+ENERGY_GATE_SQL = f"""WITH {ENERGY_SQL}, tr AS (SELECT * FROM en WHERE split = 'train'),
+x AS (SELECT a.label, max((b.m * a.g + b.c) - (a.m * a.g + a.c)) AS most FROM tr a JOIN tr b ON a.label = b.label AND a.id <> b.id GROUP BY a.label),
+r AS (SELECT label, min(mx) AS a, max(mx) AS b, min(mz2) AS c, max(mz2) AS d FROM tr GROUP BY label)
+SELECT en.label, split, count(*) AS n, count(*) FILTER (mx BETWEEN a AND b AND mz2 BETWEEN r.c AND d AND m * g <= most + 1e-12) AS accepted, any_value({R('most')}) AS max_excess FROM en JOIN x USING (label) JOIN r USING (label) GROUP BY en.label, split"""
+
+
 def hashed_targets(spark, sf):
     """A digest picks the lower or upper bound of a row's support; the row moves half way to it."""
     l = table(spark, sf, "part").select("p_partkey", "p_size")
@@ -770,7 +809,7 @@ _QUERIES = {
     "near_projected_states": (near_projected_states, NEAR_PROJECTED_SQL), "nearest_projected": (nearest_projected, NEAREST_PROJECTED_SQL), "fidelity_totals": (fidelity_totals, FIDELITY_TOTALS_SQL),
     "component_split": (component_split, COMPONENT_SPLIT_SQL), "two_qubit_kernel_mmd": (two_qubit_kernel_mmd, None), "conflict_scores": (conflict_scores, CONFLICT_SQL), "conflict_weights": (conflict_weights, WEIGHTS_SQL), "cosine_groups": (cosine_groups, COSINE_SQL), "fs_metric": (fs_metric, FS_METRIC_SQL),
     "state_observables": (state_observables, STATE_OBSERVABLES_SQL), "observable_means": (observable_means, OBSERVABLE_MEANS_SQL), "class_scores": (class_scores, CLASS_SCORES_SQL),
-    "train_gate": (train_gate, TRAIN_GATE_SQL), "hashed_targets": (hashed_targets, HASHED_TARGETS_SQL), "class_mmd": (class_mmd, CLASS_MMD_SQL), "mmd_contributions": (mmd_contributions, CONTRIBUTIONS_SQL),
+    "train_gate": (train_gate, TRAIN_GATE_SQL), "energy_excess": (energy_excess, ENERGY_EXCESS_SQL), "energy_gate": (energy_gate, ENERGY_GATE_SQL), "hashed_targets": (hashed_targets, HASHED_TARGETS_SQL), "class_mmd": (class_mmd, CLASS_MMD_SQL), "mmd_contributions": (mmd_contributions, CONTRIBUTIONS_SQL),
     "split_mmd": (split_mmd, SPLIT_MMD_SQL), "cancellation": (cancellation, CANCELLATION_SQL), "finite_stats": (finite_stats, FINITE_STATS_SQL), "quantile_summary": (quantile_summary, QUANTILE_SQL),
     "ks_statistics": (ks_statistics, KS_SQL), "robust_floor": (robust_floor, ROBUST_SQL), "isolated_gap": (isolated_gap, GAP_SQL), "correlations": (correlations, CORRELATION_SQL),
     "grouping_sets": (grouping_sets, GROUPING_SQL), "paired_arms": (paired_arms, PAIRED_SQL), "leave_one_out": (leave_one_out, LEAVE_ONE_OUT_SQL), "distribution_shift": (distribution_shift, SHIFT_SQL),
