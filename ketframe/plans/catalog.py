@@ -6,14 +6,17 @@ and normalised; label is the class, and a digest of the id deals the rows out to
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
 from ketframe.operators import audit, diagnostics, envelope, generate, metric_index, mmd, pairs, sampling, training
+from ketframe.operators.rounds import shared_folder
 from ketframe.plans import studies
-from ketframe.sources import tables
+from ketframe.sources import json_tree, npz, snapshots, tables
 
 QUBITS = 6
 
@@ -803,6 +806,65 @@ def gram_floor(spark, sf):
     return diagnostics.gram_floor(_sources(spark, sf, 25), "1-rdm")
 
 
+# Sources --------------------------------------------------------------------------------------
+
+
+def npz_states(spark, sf):
+    """The table written as NPZ archives and read back, digests checked: what each state has come back as."""
+    path = f"{shared_folder(spark)}/npz-{uuid.uuid4().hex}"
+    npz.write_npz(states(spark, sf).where(F.col("label").isNotNull()), path)
+    v = F.col("state")
+    return npz.read_npz(spark, path, verify="true").select("id", "label", "split", F.size(v).alias("amplitudes"), C.rounded(F.element_at(v, 1)).alias("first"), C.rounded(F.element_at(v, -1)).alias("last"), C.rounded(C.dot(v, v)).alias("norm"))
+
+
+NPZ_SQL = f"WITH {STATES_SQL} SELECT id, label, split, CAST(len(v) AS INTEGER) AS amplitudes, {R('v[1]')} AS first, {R('v[-1]')} AS last, {R('list_dot_product(v, v)')} AS norm FROM st WHERE label IS NOT NULL"
+
+
+def json_harvest(spark, sf):
+    """Sizes and names at any depth of a report for each part; a tenth of the reports are cut off and give none."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    inner = F.struct(F.col("p_type").alias("name"), F.lit(1).alias("other"))
+    runs = F.array(F.struct(F.col("p_brand").alias("name"), F.when(F.lit(False), inner).alias("inner")), F.struct(F.lit(None).cast("string").alias("name"), inner.alias("inner")))
+    report = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.struct(F.col("p_size").alias("size"), runs.alias("runs")).alias("result")))
+    told = F.when(F.col("p_partkey") % 10 == 0, F.substring(report, 1, 25)).otherwise(report)
+    rows = p.select("p_partkey", told.alias("report"))
+    bad = json_tree.unparsed(rows, "report").select("p_partkey", F.lit("").alias("path"), F.lit("unread").alias("name"), F.lit("").alias("value"))
+    return json_tree.scalars(rows, "report", ["size", "name"]).unionByName(bad)
+
+
+JSON_HARVEST_SQL = """WITH p AS (SELECT * FROM part WHERE p_partkey % 10 <> 0)
+SELECT p_partkey, '$.result.size' AS path, 'size' AS name, CAST(p_size AS VARCHAR) AS value FROM p
+UNION ALL SELECT p_partkey, '$.result.runs[0].name', 'name', '"' || p_brand || '"' FROM p
+UNION ALL SELECT p_partkey, '$.result.runs[1].inner.name', 'name', '"' || p_type || '"' FROM p
+UNION ALL SELECT p_partkey, '', 'unread', '' FROM part WHERE p_partkey % 10 = 0"""
+
+
+def table_tree(spark, sf):
+    """Tree of digests over the parts' keys, brands and sizes."""
+    return snapshots.digest_tree(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), 2)
+
+
+TREE_SQL = """WITH r AS (SELECT sha256(string_agg(strlen(x) || ':' || x || ';', '' ORDER BY k)) AS d FROM (
+  SELECT p_partkey, unnest([p_brand, CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR)]) AS x, unnest([1, 2, 3]) AS k FROM part) GROUP BY p_partkey),
+l AS (SELECT substr(d, 1, 2) AS node, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(d || '*1', ',' ORDER BY d)) AS digest FROM r GROUP BY 1),
+m AS (SELECT substr(node, 1, 1) AS up, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM l GROUP BY 1)
+SELECT 2 AS level, node, n, digest FROM l UNION ALL SELECT 1, up, n, digest FROM m
+UNION ALL SELECT 0, '', CAST(sum(n) AS BIGINT), sha256(string_agg(up || ':' || digest, ',' ORDER BY up)) FROM m"""
+
+
+def changed_table_rows(spark, sf):
+    """What an altered table has more and less than the first, found by descending both trees."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    other = p.where(F.col("p_partkey") % 101 != 5).withColumn("p_size", F.when(F.col("p_partkey") % 97 == 3, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return snapshots.changed_rows(p, other.unionByName(p.where(F.col("p_partkey") % 89 == 7)), 3)
+
+
+CHANGED_ROWS_SQL = """WITH p AS (SELECT p_partkey, p_brand, p_size FROM part),
+o AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 97 = 3 THEN p_size + 1 ELSE p_size END AS p_size FROM p WHERE p_partkey % 101 <> 5 UNION ALL SELECT * FROM p WHERE p_partkey % 89 = 7),
+c AS (SELECT p_partkey, p_brand, p_size, sum(n) AS n FROM (SELECT *, 1 AS n FROM p UNION ALL SELECT *, -1 FROM o) GROUP BY ALL)
+SELECT CASE WHEN n > 0 THEN 'removed' ELSE 'added' END AS change, CAST(abs(n) AS BIGINT) AS copies, p_partkey, p_brand, p_size FROM c WHERE n <> 0"""
+
+
 _QUERIES = {
     "pair_fidelity_by_label": (pair_fidelity_by_label, PAIR_FIDELITY_SQL), "nearest_in_class": (nearest_in_class, NEAREST_SQL), "knn_edges": (knn_edges, KNN_SQL),
     "near_duplicate_states": (near_duplicate_states, NEAR_DUPLICATE_SQL), "unlike_all_others": (unlike_all_others, UNLIKE_SQL), "closest_between_splits": (closest_between_splits, CLOSEST_SQL),
@@ -823,6 +885,7 @@ _QUERIES = {
     "group_diversity": (group_diversity, DIVERSITY_SQL), "outcome_mmd": (outcome_mmd, OUTCOME_SQL), "signature_alignment": (signature_alignment, ALIGNMENT_SQL), "nearest_parameters": (nearest_parameters, NEAREST_PARAMETERS_SQL),
     "candidate_diagnostics": (candidate_diagnostics, None), "symmetry_audit": (symmetry_audit, None), "dataset_audit": (dataset_audit, None), "numerical_floor": (numerical_floor, None),
     "freshness": (freshness, None), "ensemble_metrics": (ensemble_metrics, None), "gram_floor": (gram_floor, None),
+    "npz_states": (npz_states, NPZ_SQL), "json_harvest": (json_harvest, JSON_HARVEST_SQL), "table_tree": (table_tree, TREE_SQL), "changed_table_rows": (changed_table_rows, CHANGED_ROWS_SQL),
     "radius_calibration": (radius_calibration, None), "kernel_study": (kernel_study, None), "gradient_study": (gradient_study, None),
 }
 

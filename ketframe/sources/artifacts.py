@@ -1,13 +1,10 @@
-"""Model checkpoints as one-row tables, verified reads, and harvests of mixed result files."""
+"""Model checkpoints as one-row tables, verified reads, and corpora of several shapes."""
 
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,35 +33,6 @@ def verified_bytes(spark: SparkSession, path: str, sha256: str) -> bytes:
     return data
 
 
-def harvest_json(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """(file, name, value) of every scalar under one of the names, at any depth, in JSON and JSON-lines files below a folder."""
-
-    def walk(node, found: list) -> None:
-        for k, v in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ():
-            if k in names and not isinstance(v, (dict, list)):
-                found.append((k, json.dumps(v)))
-            walk(v, found)
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for file, content in zip(f["path"], f["content"]):
-                found: list = []
-                text = bytes(content).decode("utf-8", "replace")
-                try:
-                    walk(json.loads(text), found)
-                except ValueError:
-                    for line in text.splitlines():
-                        try:
-                            walk(json.loads(line), found)
-                        except ValueError:
-                            continue
-                if found:
-                    yield pd.DataFrame([(file, k, v) for k, v in found], columns=["file", "name", "value"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(path).select("path", "content")
-    return files.mapInPandas(rows, "file string, name string, value string")
-
-
 def normalised_records(frames: dict[str, DataFrame]) -> DataFrame:
     """Corpora of several shapes as one table with `corpus`; the blocked regime's three spellings become one."""
     from ketframe.sources.tables import union_rows

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ PIECE = 1 << 22
 def _store(path: str):
     from pyarrow import fs
 
+    path = re.sub("^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 

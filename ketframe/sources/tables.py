@@ -17,17 +17,18 @@ def write_state_table(df: DataFrame, path: str) -> None:
     publish(df.sparkSession, staged, path)
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def publish(spark: SparkSession, staged: str, path: str) -> None:
     """Rename a staged folder; never over an existing one."""
-    fs, target = _fs(spark, path)
+    fs, target = hadoop_path(spark, path)
     if fs.exists(target):
         raise FileExistsError(path)
-    if not fs.rename(_fs(spark, staged)[1], target):
+    if not fs.rename(hadoop_path(spark, staged)[1], target):
         raise OSError(f"could not rename {staged} to {path}")
 
 
@@ -79,7 +80,7 @@ def manifest_audit(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256, size) of every file under a folder, by name within it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    _, folder = _fs(spark, path)
+    _, folder = hadoop_path(spark, path)
     root = folder.toUri().getPath().rstrip("/")
     full = F.regexp_replace("path", r"^\w+:/*", "/")
     inner = F.regexp_replace(full, "^.*?" + re.escape(root) + "/", "")

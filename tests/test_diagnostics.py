@@ -6,7 +6,7 @@ import pytest
 from ketframe.operators import diagnostics as d
 from ketframe.operators import generate
 from ketframe.plans import catalog
-from ketframe.sources import artifacts
+from ketframe.sources import artifacts, json_tree
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +73,7 @@ def test_artifacts(spark, tmp_path):
     (tmp_path / "j" / "deep").mkdir(parents=True)
     (tmp_path / "j" / "a.json").write_text(json.dumps({"id": "x", "rows": [{"g": 0.5, "id": "y"}, {"g": [1]}]}))
     (tmp_path / "j" / "deep" / "b.jsonl").write_text('{"id": "z"}\nbroken\n{"g": 2}')
-    rows = artifacts.harvest_json(spark, f"{tmp_path}/j", ["id", "g"]).collect()
+    rows = json_tree.harvest_json(spark, f"{tmp_path}/j", ["id", "g"]).collect()
     assert sorted((r.name, r.value) for r in rows) == [("g", "0.5"), ("g", "2"), ("id", '"x"'), ("id", '"y"'), ("id", '"z"')]
     path = tmp_path / "f.bin"
     path.write_bytes(b"abc")
