@@ -7,7 +7,9 @@ sketch has a bounded size, an error of one bin, and merges by adding counts, in
 the same result: partial sketches of tasks, and those of sources into languages and into all rows.
 
 A rule's threshold in a group is the median plus SPREADS times the distance from median to the
-ninth decile plus the rule's slack (for a lower bound: minus, and to the first decile). Groups of
+ninth decile plus a slack (for a lower bound: minus, and to the first decile). The slack is SLACK_SPREADS times the
+distance from the median to the quartile on the clean side, and at least the rule's floor: of ratios that are zero in most
+documents (symbols, repeated lines and words) the quartiles say nothing, and the floor alone decides. Groups of
 under MIN_GROUP rows take their language's threshold, small languages that of all rows. Rows that
 fail the base rules are not in the sketches. Thresholds are joined to the rows by broadcast up to
 BROADCAST_GROUPS groups, by a shuffled join beyond.
@@ -33,16 +35,17 @@ MIN_GROUP = 100
 SPREADS = 3
 #: Distances from the median to the quartile on the clean side; of a normal distribution, about SPREADS to the decile.
 BOUND_SPREADS = 6
+SLACK_SPREADS = 12
 BROADCAST_GROUPS = 500_000
 SYMBOLS = "#*$%&|<>"
-#: Rule -> (numerator, denominator, bins to one, last bin, slack in bins, side).
+#: Rule -> (numerator, denominator, bins to one, last bin, least slack in bins, side).
 RULES = {
     "symbols": ("n_symbols", "word_chars", 1000, 1000, 20, 1),
-    "capitals": ("n_capitals", "word_chars", 1000, 1000, 100, 1),
+    "capitals": ("n_capitals", "word_chars", 1000, 1000, 50, 1),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, 1000, 400, 1),
     "repeats": ("n_repeat_words", "n_words", 1000, 1000, 300, 1),
-    "long_words": ("word_chars", "n_words", 100, 10_000, 300, 1),
-    "short_words": ("word_chars", "n_words", 100, 10_000, 200, -1),
+    "long_words": ("word_chars", "n_words", 100, 10_000, 100, 1),
+    "short_words": ("word_chars", "n_words", 100, 10_000, 100, -1),
 }
 TEMP = "__ketframe_"
 
@@ -116,9 +119,12 @@ def thresholds(rows: DataFrame, lang_col: str, source_col: str, quality_col: str
 
         cut = group.select(*level, "rule", "rows", quantile(1).alias("q1"), quantile(5).alias("q5"), quantile(9).alias("q9"), quantile(1, 4).alias("low"), quantile(3, 4).alias("high"))
         limit = bound = F.lit(None).cast("long")
-        for rule, (*_, slack, side) in RULES.items():
-            limit = F.when(F.col("rule") == rule, F.col("q5") + SPREADS * (F.col("q9") - F.col("q5")) + slack if side > 0 else F.col("q5") - SPREADS * (F.col("q5") - F.col("q1")) - slack).otherwise(limit)
-            bound = F.when(F.col("rule") == rule, F.col("q5") + BOUND_SPREADS * (F.col("q5") - F.col("low")) + slack if side > 0 else F.col("q5") - BOUND_SPREADS * (F.col("high") - F.col("q5")) - slack).otherwise(bound)
+        for rule, (*_, floor, side) in RULES.items():
+            clean = F.col("q5") - F.col("low") if side > 0 else F.col("high") - F.col("q5")
+            far = F.col("q9") - F.col("q5") if side > 0 else F.col("q5") - F.col("q1")
+            slack = F.greatest(F.lit(floor), SLACK_SPREADS * clean)
+            limit = F.when(F.col("rule") == rule, F.col("q5") + side * (SPREADS * far + slack)).otherwise(limit)
+            bound = F.when(F.col("rule") == rule, F.col("q5") + side * (BOUND_SPREADS * clean + slack)).otherwise(bound)
         return cut.where(F.col("rows") >= (MIN_GROUP if level else 0)).groupBy(*level).agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct(limit.alias("limit"), bound.alias("bound"))))).alias(name))
 
     groups = sketch.select("lang", "source").distinct()
@@ -177,8 +183,9 @@ def _op7_sql() -> str:
     bins = ", ".join(f"least({scale} * {top} // greatest({bottom}, 1), {last}) AS b_{r}" for r, (top, bottom, scale, last, *_) in RULES.items())
     long = lambda table: " UNION ALL ".join(f"SELECT r, lang, source, '{r}' AS rule, {i} AS k, b_{r} AS bin FROM {table}" for i, r in enumerate(names))
     by_rule = lambda up, down: "CASE rule " + " ".join(f"WHEN '{r}' THEN {(up if s > 0 else down).format(slack=slack)}" for r, (*_, slack, s) in RULES.items()) + " END"
-    cut = by_rule(f"q5 + {SPREADS} * (q9 - q5) + {{slack}}", f"q5 - {SPREADS} * (q5 - q1) - {{slack}}")
-    bound = by_rule(f"q5 + {BOUND_SPREADS} * (q5 - low) + {{slack}}", f"q5 - {BOUND_SPREADS} * (high - q5) - {{slack}}")
+    up, down = f"greatest({{slack}}, {SLACK_SPREADS} * (q5 - low))", f"greatest({{slack}}, {SLACK_SPREADS} * (high - q5))"
+    cut = by_rule(f"q5 + {SPREADS} * (q9 - q5) + {up}", f"q5 - {SPREADS} * (q5 - q1) - {down}")
+    bound = by_rule(f"q5 + {BOUND_SPREADS} * (q5 - low) + {up}", f"q5 - {BOUND_SPREADS} * (high - q5) - {down}")
     fails = by_rule("bin > least(cut, most)", "bin < greatest(cut, least_)")
     quantiles = ", ".join(f"min(bin) FILTER ({of} * seen >= {t} * n) AS {name}" for t, of, name in ((1, 10, "q1"), (5, 10, "q5"), (9, 10, "q9"), (1, 4, "low"), (3, 4, "high")))
 

@@ -31,9 +31,15 @@ def verdicts(rows):
             v = sorted(bins(c, r) for c in rows)
             return v[-(-t * len(v) // of) - 1]
 
-        middle = quantile(group, 1, 2)
-        cut = middle + op.SPREADS * (quantile(group, 9, 10) - middle) + slack if side > 0 else middle - op.SPREADS * (middle - quantile(group, 1, 10)) - slack
-        bounds = [(m := quantile(x, 1, 2)) + side * (op.BOUND_SPREADS * abs(m - quantile(x, 2 - side, 4)) + slack) for x in levels]
+        def parts(rows):
+            """Median, distance to the quartile on the clean side, slack."""
+            m = quantile(rows, 1, 2)
+            clean = abs(m - quantile(rows, 2 - side, 4))
+            return m, clean, max(slack, op.SLACK_SPREADS * clean)
+
+        middle, _, own = parts(group)
+        cut = middle + side * (op.SPREADS * abs(middle - quantile(group, 9 if side > 0 else 1, 10)) + own)
+        bounds = [m + side * (op.BOUND_SPREADS * clean + s) for m, clean, s in map(parts, levels)]
         return min(cut, max(bounds)) if side > 0 else max(cut, min(bounds))
 
     good = [(a, b, c) for (a, b, c), bad in zip(rows, base) if not bad]
@@ -108,3 +114,32 @@ def test_a_junk_source_keeps_no_junk(spark, share):
     kept = op.drop_rejected(df).collect()
     assert not [r for r in kept if r.junk]
     assert len(kept) == sum(not r[3] for r in rows)
+
+
+DEFECTS = {
+    "symbols": lambda words: [w + "#$" for w in words],
+    "capitals": lambda words: [w.upper() for w in words],
+    "dup_lines": lambda words: words[:40] + ["\nsame line here"] * 6,
+    "repeats": lambda words: words[:45] + ["again", "and", "so"] * 12,
+    "long_words": lambda words: [a + b for a, b in zip(words, reversed(words))],
+    "short_words": lambda words: [w[:2] for w in words],
+}
+
+
+@pytest.mark.parametrize("rule", list(op.RULES))
+def test_each_rule_takes_its_defect_and_no_clean_document(spark, rule):
+    rng = random.Random(rule)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8, 9]))).capitalize() if rng.random() < 0.1 else "".join(rng.choice("abcdefghijklmno") for _ in range(rng.choice([3, 4, 5, 6, 7, 8])))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(rng.randrange(90, 200))]
+        bad = i % 15 == 7
+        words = DEFECTS[rule](words) if bad else words
+        text = ""
+        for j, w in enumerate(words):
+            text += w + ("\n" if j % 20 == 19 else " ")
+        rows.append((("en", "de")[i % 2], ("a", "b", "c")[i % 3], text, bad))
+    df = spark.createDataFrame(rows, "lang string, source string, text string, bad boolean")
+    got = op.quality_rules(df).select("bad", "quality.*").collect()
+    assert all(rule in r.failed_rules for r in got if r.bad and not r.base_failed) and sum(r.bad and not r.base_failed for r in got) >= 50
+    assert all(r.kept for r in got if not r.bad)
