@@ -147,7 +147,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Similar documents ---------------------------------------------------------------------------
 
 #: Longs of the comparison fingerprint, and its bits.
-WIDE_LONGS = 8
+WIDE_LONGS = 16
 WIDE_BITS = BITS * WIDE_LONGS
 SIMILARITY = 0.8
 #: Standard deviations of the distance that are allowed for before sets are compared: 0.999 of pairs at the threshold are.
@@ -237,7 +237,9 @@ def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMI
     verify keeps those of some pairs (a, b) of nodes that are similar in fact.
 
     A key that very many classes share must not meet itself pair by pair. So first every class is compared with one
-    holder of each of its keys only, and components are formed. Then the classes of a key meet in full only across
+    holder of each of its keys only, and components are formed. The holder is the class whose own keys have most holders
+    in all: in a family of near copies the one that they are copies of, which is near to all of them where they are not near to each
+    other. Then the classes of a key meet in full only across
     components, those of lower ones with those of higher ones. That loses no pair: pairs that are left out are in
     one component already.
     """
@@ -250,8 +252,11 @@ def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMI
     less, more_of = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     near = (less >= similarity * more_of - 1e-6) & ((less < SMALL_SET) | (sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most))
 
-    holder = bands.groupBy("key").agg(F.min("node").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = bands.join(holder, "key").where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
+    shared = bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    shared = materialize(shared, "shared-keys")
+    known = shared.groupBy("node").agg(F.sum("n").alias("known"))
+    holder = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node"))["node"].alias("holder"))
+    first = shared.join(holder, "key").where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
     pairs = materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links")
     links = verify(pairs)
     roots = materialize(components(links, "a", "b"), "roots")
@@ -264,7 +269,7 @@ def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMI
     across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near)  # all of it within the join
     pairs = materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links")
     more = verify(pairs)
-    done = [classes, held, pairs]
+    done = [classes, shared, held, pairs]
     if not more.isEmpty():
         again = materialize(components(links.unionByName(more), "a", "b"), "roots")
         done, roots = [*done, roots], again
