@@ -1,0 +1,39 @@
+"""What one task holds: pieces of bounded size that add up to the whole."""
+
+import tracemalloc
+
+import numpy as np
+
+from ketframe.operators import training
+
+
+def test_bootstrap_holds_a_piece_of_the_draws_at_once():
+    x = np.random.default_rng(1).standard_normal(20_000)
+    tracemalloc.start()
+    mean, interval = training.paired_bootstrap(x, 3, 2_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    rng = np.random.Generator(np.random.PCG64DXSM(np.random.SeedSequence(3)))
+    assert interval == np.quantile(np.concatenate([x[rng.integers(0, len(x), (500, len(x)))].mean(1) for _ in range(4)]), [0.025, 0.975]).tolist()
+
+
+def test_bootstrap_of_a_group_in_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.exponential(2.0, 900)] + [("b", 1.0)] * 300 + [("b", float("nan")), (None, 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "arm string, delta double")
+    whole = {r.group: r for r in training.bootstrap_intervals(df, "arm", "delta", seed=3).collect()}
+    x = np.sort([v for k, v in rows if k == "a"])
+    mean, (low, high) = training.paired_bootstrap(x, 3, 10_000)
+    assert (whole["a"].n, whole["a"]["mean"], whole["a"].low, whole["a"].high) == (900, mean, low, high)
+    monkeypatch.setattr(training, "STRETCH_PLACES", 128)
+    cut = {r.group: r for r in training.bootstrap_intervals(df, "arm", "delta", seed=3).collect()}
+    assert {k: r.n for k, r in cut.items()} == {k: r.n for k, r in whole.items()} == {"a": 900, "b": 300, None: 1, "c": 0}
+    assert abs(cut["a"]["mean"] - mean) < 1e-12 and abs(cut["a"].low - low) < 0.01 and abs(cut["a"].high - high) < 0.01
+    assert abs(cut["b"].low - 1) < 1e-12 and abs(cut["b"].high - 1) < 1e-12 and cut["c"].low is None
+
+
+def test_shares_of_stretches_are_multinomial():
+    m = np.stack([training._drawn(1_000, 300, k, 3, 0, 4_000) for k in range(4)])
+    assert (m.sum(0) == 1_000).all() and np.allclose(m.mean(1), [300, 300, 300, 100], atol=2)
+    assert np.allclose(m.var(1), [210, 210, 210, 90], rtol=0.1) and abs(np.cov(m)[0, 3] + 30) < 8
