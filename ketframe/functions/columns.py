@@ -22,7 +22,7 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """A vector of floats as doubles of norm one."""
     wide = a.cast("array<double>")
-    return F.transform(wide, lambda x: x / norm(wide))
+    return F.get(F.transform(F.array(norm(wide)), lambda n: F.transform(wide, lambda x: x / n)), F.lit(0))  # the norm once a row
 
 
 def rounded(x: Column, digits: int = 6) -> Column:

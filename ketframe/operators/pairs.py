@@ -1,9 +1,10 @@
 """Operators on pairs of states, by blocks.
 
-Rows are numbered into blocks by a hash of their id. Each pair of blocks is one task-sized unit:
-two matrices of at most a few thousand rows, multiplied in NumPy. Which pairs exist is a small
-table of block numbers; each row is sent to the block pairs that need it, so the shuffle is rows
-times blocks, not pairs, and what comes out is only what the caller's function keeps.
+Rows are numbered into blocks by a hash of their id. Each pair of blocks is one task-sized unit, which multiplies
+tiles of at most TILE rows of either in NumPy. Which pairs exist is a small table of block numbers; each row is sent, packed
+with others of its block, to the block pairs that need it, so the shuffle is rows times blocks, not pairs, and what comes out is only what
+the caller's function keeps. Blocks grow with the table, up to MOST_ROWS, so there are about BLOCKS of them and the shuffle
+grows as the table does; time grows with its square, as all pairs are compared.
 """
 
 from __future__ import annotations
@@ -12,11 +13,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1_024
+#: The least rows that a block is meant to have, and the most.
+BLOCK_ROWS, MOST_ROWS = 1_024, 1 << 16
+#: Blocks that a table is meant to have.
+BLOCKS = 24
+#: Rows of either side that are multiplied at once.
+TILE = 512
+#: Rows of a block that are packed into one value.
+PACKED_ROWS = 4_096
 
 
 def to_matrix(column: pd.Series) -> np.ndarray:
@@ -26,28 +35,89 @@ def to_matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()) if len(column) else np.zeros((0, 0))
 
 
-def block_pairs(states: DataFrame, keep: Callable[[pd.DataFrame, pd.DataFrame, bool], Iterator[pd.DataFrame]], schema: str, within: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Apply keep(left rows, right rows, same block) to every unordered pair of blocks.
+def packed_blocks(states: DataFrame, k: int, within: list[str]) -> DataFrame:
+    """(within, __b, rows): rows of each of k blocks, PACKED_ROWS of them as an Arrow stream."""
 
-    states has columns id and state besides others. within: only rows that agree in these columns
-    meet. With k blocks a row is sent k times; k follows from the number of rows.
-    """
-    within = within or []
-    n = states.count() if not within else (states.groupBy(*within).count().agg(F.max("count")).first()[0] or 0)
-    k = max(1, -(-n // block_rows))
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        out = []
+        for at in range(0, table.num_rows, PACKED_ROWS):
+            sink = pa.BufferOutputStream()
+            part = table.slice(at, PACKED_ROWS)
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_table(part)
+            out.append(sink.getvalue().to_pybytes())
+        first = table.select([*within, "__b"]).slice(0, 1)
+        return pa.table({**{c: pa.concat_arrays([first[c].combine_chunks()] * len(out)) for c in first.column_names}, "rows": pa.array(out, pa.binary())})
+
+    types = dict(states.dtypes)
     rows = states.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
-    other = F.sequence(F.lit(0), F.lit(k - 1))
-    sent = rows.withColumn("__o", F.explode(other)).withColumn("__x", F.least("__b", "__o")).withColumn("__y", F.greatest("__b", "__o"))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in within), "__b int, rows binary"])
+    return rows.groupBy(*within, "__b").applyInArrow(pack, schema)
+
 
-    def pair(key: tuple, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        x, y = key[-2:]
-        left = part[part["__b"] == x].sort_values("id", kind="stable")
-        right = left if x == y else part[part["__b"] == y].sort_values("id", kind="stable")
-        if len(left) and len(right):
-            yield from keep(left, right, x == y)
+def unpacked(parts: list[bytes]) -> pd.DataFrame:
+    """The rows of some packed values, in the order of ids."""
+    frames = [pa.ipc.open_stream(p).read_all().to_pandas() for p in parts]
+    return pd.concat(frames, ignore_index=True).sort_values("id", kind="stable", ignore_index=True)
 
-    keys = [*within, "__x", "__y"]
-    return sent.groupBy(*keys).applyInPandas(lambda key, part: pd.concat([*pair(key, part)] or [_empty(schema)]), schema)
+
+def block_pairs(states: DataFrame, keep: Callable[[pd.DataFrame, pd.DataFrame, bool], Iterator[pd.DataFrame]], schema: str, within: list[str] | None = None, block_rows: int | None = None, sums: list[str] | None = None, tiled: bool = True) -> DataFrame:
+    """Apply keep(left rows, right rows, same rows) to every unordered pair of tiles of every unordered pair of blocks.
+
+    states has columns id and state besides others. within: only rows that agree in these columns
+    meet. sums: columns by which what a unit keeps is added up before it is sent. Not tiled: keep gets whole blocks.
+    """
+    within = within or []
+    if within:
+        found = states.groupBy(*within).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+        n, most = found.n or 0, found.most or 0
+    else:
+        n = most = states.count()
+    block_rows = block_rows or min(MOST_ROWS, max(BLOCK_ROWS, -(-n // BLOCKS)))
+    k = max(1, -(-most // block_rows))
+    packed = packed_blocks(states, k, within)
+    other = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("__o")
+    sent = packed.select("*", other).select(*within, "__b", "rows", F.least("__b", "__o").alias("__x"), F.greatest("__b", "__o").alias("__y"))
+    names = [c.strip().rsplit(" ", 1)[0].strip() for c in schema.split(",")]
+
+    def kept(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        if not tiled:
+            yield from keep(left, right, same)
+            return
+        cut = lambda f: [f.iloc[at : at + TILE] for at in range(0, len(f), TILE)]
+        rights = cut(right)
+        for i, a in enumerate(cut(left)):
+            for j, b in enumerate(rights[i:] if same else rights):
+                yield from keep(a, b, same and j == 0)
+
+    def pair(key: tuple, part: pa.Table) -> pa.Table:
+        x, y = (v.as_py() for v in key[-2:])
+        blocks, rows = part["__b"].to_numpy(), part["rows"].to_pylist()
+        side = lambda b: [r for r, own in zip(rows, blocks) if own == b]
+        of_x, of_y = side(x), side(y)
+        out = [_empty(schema)]
+        if of_x and of_y:
+            left = unpacked(of_x)
+            for frame in kept(left, left if x == y else unpacked(of_y), x == y):
+                if len(frame):
+                    out.append(frame)
+                if sums and len(out) > 64:
+                    out = [pd.concat(out[1:]).groupby(sums, as_index=False, dropna=False).sum()]
+                    out.insert(0, _empty(schema))
+        whole = pd.concat(out[1:] or out)
+        if sums and len(out) > 1:
+            whole = whole.groupby(sums, as_index=False, dropna=False).sum()
+        return _as_table(whole[names], kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return sent.groupBy(*within, "__x", "__y").applyInArrow(pair, schema)
+
+
+def _as_table(frame: pd.DataFrame, kinds: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in kinds], schema=kinds)
 
 
 def _empty(schema: str) -> pd.DataFrame:
@@ -88,7 +158,7 @@ def angle_keys(overlaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, np.minimum((d * (KEYS / (np.pi / 2))).astype(np.int64), KEYS - 1)
 
 
-def pair_quantiles(states: DataFrame, shares: dict[str, float], within: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_quantiles(states: DataFrame, shares: dict[str, float], within: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """(within, pairs, mean_fidelity, a column a share): exact quantiles of the angles of all pairs, with linear interpolation.
 
     By selection: block pairs count angles into bins, and only the bins that hold a wanted rank are looked into
@@ -116,7 +186,7 @@ def pair_quantiles(states: DataFrame, shares: dict[str, float], within: list[str
                 some = np.flatnonzero(n)
                 yield pd.DataFrame({w: left[w].iloc[0] for w in groups} | {"target": (target << LEVEL) + some, "n": n[some], "squares": np.bincount(bins, weights=c[here] ** 2, minlength=1 << LEVEL)[some]})
 
-        out = block_pairs(rows if targets is None else rows.join(targets, groups), keep, f"{head}, target long, n long, squares double", groups, block_rows)
+        out = block_pairs(rows if targets is None else rows.join(targets, groups), keep, f"{head}, target long, n long, squares double", groups, block_rows, [*groups, "target"])
         return out.groupBy(*groups, "target").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"))
 
     def holding(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -148,7 +218,7 @@ def pair_quantiles(states: DataFrame, shares: dict[str, float], within: list[str
             value, n = np.unique(d[keys >> shift == target], return_counts=True)
             yield pd.DataFrame({w: left[w].iloc[0] for w in groups} | {"target": target, "value": value, "n": n})
 
-    found = block_pairs(rows.join(held.groupBy(*groups).agg(F.collect_set("target").alias("targets")), groups), values, f"{head}, target long, value double, n long", groups, block_rows)
+    found = block_pairs(rows.join(held.groupBy(*groups).agg(F.collect_set("target").alias("targets")), groups), values, f"{head}, target long, value double, n long", groups, block_rows, [*groups, "target", "value"])
     found = found.groupBy(*groups, "target", "value").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*groups, "target").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # the few values of a bin
     ranked = found.withColumn("inside", before).join(held.select(*groups, "target", "rank", "before"), [*groups, "target"])
