@@ -20,12 +20,17 @@ def cosine_groups(states: DataFrame) -> DataFrame:
 
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         c = to_matrix(left["state"]) @ to_matrix(right["state"]).T
-        use = np.triu(np.ones(c.shape, bool), 1) if same else np.ones(c.shape, bool)
         agree = left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None]
-        rows = [(k, int((use & (agree == k)).sum()), float(c[use & (agree == k)].sum()), int((c[use & (agree == k)] > 0).sum()), int((c[use & (agree == k)] < 0).sum())) for k in (True, False)]
+        if same:
+            upper = np.triu_indices(len(left), 1)
+            c, agree = c[upper], agree[upper]
+        of = lambda v, k: int(np.count_nonzero(v & agree) if k else np.count_nonzero(v) - np.count_nonzero(v & agree))
+        up, down, every, s = c > 0, c < 0, np.ones(c.shape, bool), float(c.sum())
+        own = float((c * agree).sum())
+        rows = [(k, of(every, k), own if k else s - own, of(up, k), of(down, k)) for k in (True, False)]
         yield pd.DataFrame(rows, columns=["same_class", "n", "s", "up", "down"])
 
-    out = block_pairs(states.select("id", "label", "state"), keep, "same_class boolean, n long, s double, up long, down long")
+    out = block_pairs(states.select("id", "label", "state"), keep, "same_class boolean, n long, s double, up long, down long", sums=["same_class"])
     n = F.sum("n")
     return out.groupBy("same_class").agg(n.alias("pairs"), (F.sum("s") / n).alias("mean"), (F.sum("up") / n).alias("positive"), (F.sum("down") / n).alias("negative")).where("pairs > 0")
 
