@@ -17,6 +17,10 @@ from ketframe.functions import linalg
 from ketframe.operators.pairs import to_matrix
 
 
+#: Rows that a kernel of pairs meets a tile with at once.
+KERNEL_ROWS = 128
+
+
 def densities(states: DataFrame, group_col: str) -> DataFrame:
     """(group, n, re, im): the sum of |s><s| of each group as flat arrays, added up in two steps.
 
@@ -129,7 +133,7 @@ def qubit_kernel_mmd(states: DataFrame, side_col: str, n: int, within: list[str]
     return both.select(*within, "a", "b", (square / (2 * n)).alias("mmd"))
 
 
-def blocked_kernel_mmd(states: DataFrame, side_col: str, kernel: str, within: list[str] | None = None, block_rows: int = 128) -> DataFrame:
+def blocked_kernel_mmd(states: DataFrame, side_col: str, kernel: str, within: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """(within, a, b, mmd) between every two sides a < b of a group, any kernel of linalg.KERNELS.
 
     Block pairs send sums of the kernel by pair of sides; no row a pair and no task that holds a side.
@@ -141,18 +145,21 @@ def blocked_kernel_mmd(states: DataFrame, side_col: str, kernel: str, within: li
     k = linalg.KERNELS[kernel]
 
     def keep(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        values = k(to_matrix(left["state"]), to_matrix(right["state"]))
-        s, t = left["side"].to_numpy(), right["side"].to_numpy()
+        left, right = left.sort_values("side", kind="stable"), right.sort_values("side", kind="stable")
+        (s, at_s, n_s), (t, at_t, n_t) = (np.unique(f["side"].to_numpy(), return_index=True, return_counts=True) for f in (left, right))
+        x, y = to_matrix(left["state"]), to_matrix(right["state"])
+        # A few rows at a time: a kernel may hold some matrices a pair.
+        values = np.add.reduceat(np.concatenate([np.add.reduceat(k(x[i : i + KERNEL_ROWS], y), at_t, 1) for i in range(0, len(x), KERNEL_ROWS)]), at_s, 0)
         rows = []
-        for x in np.unique(s):
-            for y in np.unique(t):
-                part = values[np.ix_(s == x, t == y)]
-                rows += [(x, y, part.sum(), part.size)] + ([] if same else [(y, x, part.sum(), part.size)])
+        for i, a in enumerate(s):
+            for j, b in enumerate(t):
+                one = (values[i, j], n_s[i] * n_t[j])
+                rows += [(a, b, *one)] + ([] if same else [(b, a, *one)])
         yield pd.DataFrame({w: left[w].iloc[0] for w in within} | dict(zip(("a", "b", "total", "n"), zip(*rows))))
 
     kind = types[side_col]
     schema = ", ".join([*(f"{w} {types[w]}" for w in within), f"a {kind}", f"b {kind}", "total double", "n long"])
-    sums = block_pairs(states.select(*within, "id", F.col(side_col).alias("side"), "state"), keep, schema, within, block_rows)
+    sums = block_pairs(states.select(*within, "id", F.col(side_col).alias("side"), "state"), keep, schema, within, block_rows, [*within, "a", "b"])
     means = sums.groupBy(*within, "a", "b").agg((F.sum("total") / F.sum("n")).alias("m"))
     own = means.where("a = b")
     left, right = own.select(*within, "a", F.col("m").alias("ma")), own.select(*within, "b", F.col("m").alias("mb"))

@@ -3,8 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
-from ketframe.operators import training
+from ketframe.functions import linalg
+from ketframe.operators import audit, pairs, training
 
 
 def test_bootstrap_holds_a_piece_of_the_draws_at_once():
@@ -37,3 +40,34 @@ def test_shares_of_stretches_are_multinomial():
     m = np.stack([training._drawn(1_000, 300, k, 3, 0, 4_000) for k in range(4)])
     assert (m.sum(0) == 1_000).all() and np.allclose(m.mean(1), [300, 300, 300, 100], atol=2)
     assert np.allclose(m.var(1), [210, 210, 210, 90], rtol=0.1) and abs(np.cov(m)[0, 3] + 30) < 8
+
+
+def test_blocks_grow_with_the_table_so_that_a_row_is_sent_a_fixed_number_of_times(spark):
+    rows = spark.range(60_000).select("id", F.array(F.lit(1.0)).alias("state"))
+    out = pairs.block_pairs(rows, lambda left, right, same: iter([pd.DataFrame({"x": [len(left)], "y": [0 if same else len(right)]})]), "x long, y long", tiled=False).collect()
+    assert len(out) == pairs.BLOCKS * (pairs.BLOCKS + 1) // 2
+    assert sum(r.x for r in out if not r.y) == 60_000
+
+
+def test_cosines_are_added_up_in_the_unit(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TILE", 7)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 4))
+    label = rng.integers(0, 3, 60)
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))], "id long, label int, state array<double>")
+    got = {r.same_class: r for r in audit.cosine_groups(df).collect()}
+    c, agree, upper = x @ x.T, label[:, None] == label, np.triu(np.ones((60, 60), bool), 1)
+    for k in (True, False):
+        of = c[upper & (agree == k)]
+        assert got[k].pairs == len(of) and np.allclose([got[k]["mean"], got[k].positive, got[k].negative], [of.mean(), (of > 0).mean(), (of < 0).mean()])
+
+
+def test_fidelity_of_states_that_lack_a_qubit_needs_no_roots():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 4):
+        z = linalg.normalized(rng.standard_normal((12, 2**n)) + 1j * rng.standard_normal((12, 2**n)))
+        for x in (z, linalg.normalized(z.real)):
+            kept = [[q for q in range(n) if q != lost] for lost in range(n)]
+            want = sum(linalg.density_fidelity(linalg.reduced(x, q), linalg.reduced(x, q)) for q in kept) / n
+            got = linalg.rdm_kernel(x, x, n - 1)
+            assert np.abs(got - want).max() < 1e-7 and np.abs(got.diagonal() - 1).max() < 1e-12
