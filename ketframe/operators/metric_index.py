@@ -9,7 +9,8 @@ Searches without a given radius take one from what a state's own cell already sh
 A cell with many residents or visitors is cut into chunks, so a task holds at most CELL_ROWS of each. Pivots (at most
 PIVOTS, spread out over a bounded sample) and one row a cell are all that the driver and every task get. How much is
 saved depends on the data: where all angles are alike, as between random states of many qubits, every
-state visits every cell and the pairs met are all pairs; `compared` tells.
+state would visit every cell. So the index reckons from its sample what share of the cells is visited; beyond MOST_VISITED
+pairs are met by blocks (`pairs.block_pairs`), which sends a row a fixed number of times; `compared` tells the pairs met.
 
 Ids are distinct and not null; states are normalised and of one dimension. No rows give an empty result.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ketframe.operators.pairs import to_matrix
+from ketframe.operators.pairs import TILE, block_pairs, to_matrix
 from ketframe.operators.rounds import cut
 
 PIVOTS = 512
@@ -36,6 +37,14 @@ SAMPLE = 4
 #: Angles are uncertain by the square root of the precision where states nearly agree.
 SLACK = 1e-6
 RIGHT_ANGLE = np.pi / 2
+#: Share of the cells that a state may visit on average before blocks are cheaper.
+MOST_VISITED = 0.25
+#: Tables of no more rows are small either way and always go through the cells.
+SMALL = 4_096
+#: Rows that one batch of visits holds.
+VISITS = 8_192
+#: Decimals to which overlaps are ranked, so that equal states tie whatever the order of additions.
+TIE = 9
 
 
 def angles(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -59,13 +68,14 @@ class Index:
         self.within, self.carried = within or [], [*(within or []), "id", *keep]
         self.types = dict(states.dtypes)
         states = states.select(*dict.fromkeys([*self.carried, "state"]))
-        n = states.count()
+        self.n = n = states.count()
         self.pivots = np.zeros((0, 0))
         if not n:
             return
         count = min(PIVOTS, -(-n // AIM))
         sample = states.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * count).select("state").toPandas()
-        self.pivots = pivots = spread(to_matrix(sample["state"]), count)
+        self.sample = to_matrix(sample["state"])
+        self.pivots = pivots = spread(self.sample, count)
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -80,6 +90,15 @@ class Index:
         for r in found:
             self.reach[r.cell] = r.reach
 
+    def all_alike(self, sample: np.ndarray, radius: float | np.ndarray) -> bool:
+        """Whether states like those of a sample, with their radii, visit so many cells that blocks are cheaper."""
+        if self.n <= SMALL:
+            return False
+        d = angles(sample, self.pivots)
+        r = np.broadcast_to(radius, len(d))[:, None] + SLACK
+        go = (d <= d.min(1)[:, None] + 2 * r) & (d <= self.reach + r) & (self.reach >= 0)
+        return float(go.sum()) > MOST_VISITED * len(d) * max(1, int((self.reach >= 0).sum()))
+
     def visits(self, rows: DataFrame, home: bool | None) -> DataFrame:
         """rows (with a column radius) once for each cell they have to see; home: only their own, or only others, or both."""
         pivots, reach = self.pivots, self.reach
@@ -94,7 +113,9 @@ class Index:
                 go = (d <= f["angle"].to_numpy()[:, None] + 2 * r) & (d <= reach + r) & (reach >= 0)
                 go[np.arange(len(f)), own] = home is None
                 i, cell = np.nonzero(go)
-                yield f.iloc[i].assign(cell=cell.astype(np.int32), angle=d[i, cell])
+                for at in range(0, len(i), VISITS):
+                    x, c = i[at : at + VISITS], cell[at : at + VISITS]
+                    yield f.iloc[x].assign(cell=c.astype(np.int32), angle=d[x, c])
 
         return rows.mapInPandas(see, rows.schema)
 
@@ -155,6 +176,18 @@ def _near(states: DataFrame, least_fidelity: float, id_type: str, within: list[s
         yield pd.DataFrame({"a": a[:1], "b": a[:1], "fidelity": 1.0, "met": met})
 
     radius = float(np.arccos(np.sqrt(min(max(least_fidelity, 0.0), 1.0))))
+    if index.all_alike(index.sample, radius):
+
+        def near(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+            f = np.abs(to_matrix(left["state"]).conj() @ to_matrix(right["state"]).T) ** 2
+            x, y = np.nonzero(np.triu(f >= least_fidelity, 1) if same else f >= least_fidelity)
+            a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
+            swap = a > b
+            yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "fidelity": f[x, y], "met": 0})
+            first = left["id"].to_numpy()[:1]
+            yield pd.DataFrame({"a": first, "b": first, "fidelity": 1.0, "met": f.size * (1 if same else 2)})
+
+        return block_pairs(states.select(*(within or []), "id", "state"), near, schema, within)
     return index.meet(index.rows.withColumn("radius", F.lit(radius)), None, found, schema)
 
 
@@ -182,20 +215,58 @@ def nearest(states: DataFrame, k: int, id_type: str = "long", within: list[str]
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         for i, j, c in each():
             c = np.where(a[i][:, None] == b[j][None], -1.0, c)
-            order = np.lexsort((np.broadcast_to(b[j], c.shape), -c), axis=1)[:, :k]
+            order = np.lexsort((np.broadcast_to(b[j], c.shape), -np.round(c, TIE)), axis=1)[:, :k]
             x = np.repeat(np.arange(len(i)), order.shape[1])
             best = c[x, order.ravel()]
             some = best >= 0
             yield pd.DataFrame({w: left[w].iloc[0] for w in within} | {"id": a[i][x][some], "neighbour": b[j][order.ravel()][some], "overlap": best[some]})
 
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("overlap"), "neighbour"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("overlap", TIE).desc(), "neighbour"))
     at_home = cut(index.meet(index.rows.withColumn("radius", F.lit(RIGHT_ANGLE)), True, found, schema).withColumn("rank", rank).where(F.col("rank") <= k))
     worst = at_home.where(F.col("rank") == k).select("id", F.acos(F.least("overlap", F.lit(1.0))).alias("radius"))
     rows = index.rows.join(worst, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(RIGHT_ANGLE)))
-    away = index.meet(rows.select(*index.rows.columns, "radius"), False, found, schema)
+    rows = rows.select(*index.rows.columns, "radius")
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * len(index.pivots)).select("state", "radius").toPandas()
+    if index.all_alike(to_matrix(some["state"]), some["radius"].to_numpy()):
+        best = block_pairs(states.select(*within, "id", "state"), lambda left, right, same: _best_of_blocks(left, right, same, k, within), schema, within, tiled=False)
+        return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    away = index.meet(rows, False, found, schema)
     return at_home.drop("rank").unionByName(away).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _best_of_blocks(left: pd.DataFrame, right: pd.DataFrame, same: bool, k: int, within: list[str]) -> Iterator[pd.DataFrame]:
+    """The k nearest of the other block for each row of two blocks; rows are in the order of ids, so the smaller place goes first where overlaps tie."""
+    a = to_matrix(left["state"])
+    b = a if same else to_matrix(right["state"])
+    best = [(np.full((len(x), k), -1.0), np.zeros((len(x), k), np.int64)) for x in (a, b)]
+
+    def better(side: int, at: int, c: np.ndarray, first: int) -> None:
+        """c: overlaps of the rows from `at` on with others, the first of which has the place `first`."""
+        rows, known, who = np.arange(len(c)), *(x[at : at + len(c)] for x in best[side])
+        ranked, values, places = np.round(c, TIE), [known], [who]
+        for _ in range(min(k, c.shape[1])):
+            place = ranked.argmax(1)
+            values.append(np.where(ranked[rows, place] < 0, -1.0, c[rows, place])[:, None])
+            places.append(place[:, None] + first)
+            ranked[rows, place] = -1.0
+        values, places = np.hstack(values), np.hstack(places)
+        order = np.lexsort((places, -np.round(values, TIE)), axis=1)[:, :k]
+        known[:], who[:] = np.take_along_axis(values, order, 1), np.take_along_axis(places, order, 1)
+
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            c = np.abs(a[i : i + TILE].conj() @ b[j : j + TILE].T)
+            if same and i == j:
+                np.fill_diagonal(c, -1.0)
+            better(0, i, c, j)
+            if not (same and i == j):
+                better(0 if same else 1, j, np.ascontiguousarray(c.T), i)
+    for own, other, (overlap, place) in ((left, right, best[0]), (right, left, best[1]))[: 1 if same else 2]:
+        row, column = np.nonzero(overlap >= 0)
+        ids, others = own["id"].to_numpy(), other["id"].to_numpy()
+        yield pd.DataFrame({w: own[w].iloc[0] for w in within} | {"id": ids[row], "neighbour": others[place[row, column]], "overlap": overlap[row, column]})
+
+
 def closest_across(states: DataFrame, split_col: str, id_type: str = "long") -> DataFrame:
     """(split_a, split_b, overlap): the closest pair of every two splits, split_a < split_b."""
     schema = "split_a string, split_b string, overlap double"

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ketframe.functions import linalg
-from ketframe.operators import audit, pairs, training
+from ketframe.operators import audit, metric_index, pairs, training
 
 
 def test_bootstrap_holds_a_piece_of_the_draws_at_once():
@@ -71,3 +71,37 @@ def test_fidelity_of_states_that_lack_a_qubit_needs_no_roots():
             want = sum(linalg.density_fidelity(linalg.reduced(x, q), linalg.reduced(x, q)) for q in kept) / n
             got = linalg.rdm_kernel(x, x, n - 1)
             assert np.abs(got - want).max() < 1e-7 and np.abs(got.diagonal() - 1).max() < 1e-12
+
+
+def test_alike_states_meet_by_blocks(spark, monkeypatch):
+    for name, value in (("SMALL", 0), ("MOST_VISITED", -1.0), ("TILE", 32)):
+        monkeypatch.setattr(metric_index, name, value)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    x = linalg.normalized(rng.standard_normal((240, 6)))
+    x[200:] = x[rng.integers(0, 60, 40)]  # copies, which tie
+    label = rng.integers(0, 2, 240)
+    df = spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(label, x))], "id long, label int, state array<double>")
+    c = np.abs(x @ x.T)
+    f, same = c**2, label[:, None] == label
+    got = metric_index.near_duplicate_pairs(df, 0.5).collect()
+    assert sorted((r.a, r.b) for r in got) == list(zip(*np.nonzero(np.triu(f >= 0.5, 1))))
+    assert metric_index.compared(df, 0.5).first().met == 240**2
+    got = metric_index.near_duplicate_pairs(df, 0.5, within=["label"]).collect()
+    assert sorted((r.a, r.b) for r in got) == list(zip(*np.nonzero(np.triu((f >= 0.5) & same, 1))))
+    for within, allowed in (([], np.ones_like(same)), (["label"], same)):
+        ranked = np.where(allowed & ~np.eye(240, dtype=bool), np.round(c, 9), -1.0)
+        want = [(i, int(j), k + 1) for i in range(240) for k, j in enumerate(np.lexsort((np.arange(240), -ranked[i]))[:3])]
+        assert sorted((r.id, r.neighbour, r["rank"]) for r in metric_index.nearest(df, 3, within=within).collect()) == sorted(want)
+
+
+def test_visits_are_handed_on_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(metric_index, "AIM", 8)
+    monkeypatch.setattr(metric_index, "VISITS", 50)
+    x = linalg.normalized(np.random.default_rng(7).standard_normal((400, 8)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, state array<double>")
+    index = metric_index.Index(df, [])
+    went = index.visits(index.rows.withColumn("radius", F.lit(1.0)), None)
+    sizes = went.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long").agg(F.sum("n")).first()[0]
+    f = np.triu((x @ x.T) ** 2 >= 0.3, 1)
+    assert sizes > 400 * 10 and metric_index.near_duplicate_pairs(df, 0.3).count() == f.sum()
