@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ketframe.functions import columns as C
 from ketframe.operators import audit, diagnostics, envelope, generate, metric_index, mmd, pairs, sampling, training
-from ketframe.operators.rounds import shared_folder
+from ketframe.operators.rounds import cut, shared_folder
 from ketframe.plans import studies
 from ketframe.sources import json_tree, npz, snapshots, tables
 
@@ -688,10 +688,13 @@ def constrained_split(spark, sf):
 
 
 def component_split(spark, sf):
-    """Rows of each class and split of a new split that parts no near states, and how many near pairs it parts."""
+    """Rows of each class and split of a new split that parts no near states where such a split exists, and how many near pairs it parts.
+
+    Where one component of near states is larger than any quota no split has both; the quotas hold and `parted` tells.
+    """
     s = states(spark, sf).select("id", "label", "state")
-    got = sampling.component_split(s, {"train": 0.7, "val": 0.15, "test": 0.15}, 0.25, 5)
-    near = metric_index.near_duplicate_pairs(s, 0.25)
+    near = cut(metric_index.near_duplicate_pairs(s, 0.25).select("a", "b"))
+    got = sampling.component_split(s, {"train": 0.7, "val": 0.15, "test": 0.15}, 0.25, 5, near=near, part_large=True)
     parted = near.join(got.select(F.col("id").alias("a"), F.col("split").alias("x")), "a").join(got.select(F.col("id").alias("b"), F.col("split").alias("y")), "b").agg(F.count_if(F.col("x") != F.col("y")).alias("parted"), F.count("*").alias("near_pairs"))
     return got.groupBy("label", "split").agg(F.count("*").alias("n")).join(F.broadcast(parted), F.lit(True))  # one row
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ketframe.functions import linalg
-from ketframe.operators import audit, metric_index, pairs, training
+from ketframe.operators import audit, metric_index, pairs, sampling, training
 
 
 def test_bootstrap_holds_a_piece_of_the_draws_at_once():
@@ -105,3 +105,11 @@ def test_visits_are_handed_on_in_batches(spark, monkeypatch):
     sizes = went.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n long").agg(F.sum("n")).first()[0]
     f = np.triu((x @ x.T) ** 2 >= 0.3, 1)
     assert sizes > 400 * 10 and metric_index.near_duplicate_pairs(df, 0.3).count() == f.sum()
+
+
+def test_only_a_component_that_fits_nowhere_is_cut(spark):
+    x = linalg.normalized(np.r_[np.tile([[1.0, 0, 0, 0]], (30, 1)), np.tile([[0, 1.0, 0, 0]], (4, 1)), np.tile([[0, 0, 1.0, 0]], (3, 1)), np.tile([[0, 0, 0, 1.0]], (3, 1))])
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, label int, state array<double>")
+    split = {r.id: r.split for r in sampling.component_split(df, {"train": 0.5, "val": 0.25, "test": 0.25}, 0.9, part_large=True).collect()}
+    assert sorted(split) == list(range(40)) and [list(split.values()).count(s) for s in ("train", "val", "test")] == [20, 10, 10]
+    assert all(len({split[i] for i in ids}) == 1 for ids in (range(30, 34), range(34, 37), range(37, 40)))
