@@ -44,8 +44,10 @@ from ketframe.llm.sentencepiece import MARK, pieces_respect_markers
 
 #: Bytes of a document that one run of events covers.
 SPAN = 1 << 15
-TABLE_CHUNKS = 150_000
+TABLE_CHUNKS = 400_000
 CALL_CHUNKS = 20_000
+#: New chunks that go to the libraries as one text.
+JOINED = 64
 #: Pairs of ids with their counts that go to every task at once.
 LOOKUP = 2_000_000
 #: Pairs that a task counts before it gives them away.
@@ -94,6 +96,7 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         self.bytes_a, self.bytes_b = vocabulary_bytes(self.a, self.b)
+        self.sizes = [np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b)]
         split = json.loads(a).get("pre_tokenizer") or {}
         self.by_chunk = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not json.loads(a).get("normalizer") and pieces_respect_markers(self.b)
 
@@ -106,6 +109,46 @@ class Tokenizers:
             out.append((a.ids, b, b"".join([self.bytes_a[i] for i in a.ids]) == want == b"".join([self.bytes_b[i] for i in b])))
         return out
 
+    def encode_chunks(self, found: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each chunk: whether both sides' bytes are a space and the chunk; and for A and B all ids in a row, and how many each chunk has.
+
+        JOINED chunks go to the libraries as one text, and its ids are cut where the chunks end. A text with an empty chunk (two meet
+        in one token of spaces), that does not fall into these chunks again, or whose bytes or ends differ, is encoded chunk by chunk.
+        """
+        groups = [found[at : at + JOINED] for at in range(0, len(found), JOINED)]
+        texts = [" ".join(g) for g in groups]
+        both = zip((x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)), self.b.encode(texts, num_threads=1))
+        good, ids, many = [], ([], []), ([], [])
+        for group, text, pair in zip(groups, texts, both):
+            cut = self._cut(group, text, pair)
+            if cut is None:
+                alone = self.encode(group)
+                good.append(np.array([x[2] for x in alone], bool))
+                pair = [[i for x in alone for i in x[side]] for side in range(2)]
+                cut = [np.array([len(x[side]) for x in alone], np.int64) for side in range(2)]
+            else:
+                good.append(np.ones(len(group), bool))
+            for side in range(2):
+                ids[side].append(np.array(pair[side], np.int32))
+                many[side].append(cut[side])
+        return np.concatenate(good), [np.concatenate(x) for x in ids], [np.concatenate(x) for x in many]
+
+    def _cut(self, group: list[str], text: str, pair: tuple[list[int], list[int]]) -> list[np.ndarray] | None:
+        """How many of a joined text's ids each chunk has on either side; None where that cannot be told."""
+        if "" in group or chunks(text) != group:
+            return None
+        want = b" " + text.encode()
+        ends = np.cumsum([len(c) for c in group] if text.isascii() else [len(c.encode()) for c in group]) + np.arange(1, len(group) + 1)
+        out = []
+        for ids, data, size in zip(pair, (self.bytes_a, self.bytes_b), self.sizes):
+            size = size[ids]
+            at = np.cumsum(size)
+            last = np.searchsorted(at, ends)
+            if not size.all() or b"".join(map(data.__getitem__, ids)) != want or (at[last] != ends).any():
+                return None
+            out.append(np.diff(last + 1, prepend=0))
+        return out
+
 
 def vocabulary_bytes(a, b) -> tuple[list[bytes], list[bytes]]:
     alphabet = byte_level_alphabet()
@@ -134,14 +177,14 @@ class ChunkTable(dict):
     def segment(self) -> None:
         if not self.pending:
             return
-        found = [x for at in range(0, len(self.pending), CALL_CHUNKS) for x in self.both.encode(self.pending[at : at + CALL_CHUNKS])]
+        found = [self.both.encode_chunks(self.pending[at : at + CALL_CHUNKS]) for at in range(0, len(self.pending), CALL_CHUNKS)]
         self.pending = []
-        self.good = np.concatenate([self.good, [x[2] for x in found]])
+        self.good = np.concatenate([self.good, *(x[0] for x in found)])
         for side in range(2):
-            size = np.fromiter((len(x[side]) for x in found), np.int64, len(found))
-            self.ids[side] = np.concatenate([self.ids[side], np.fromiter((i for x in found for i in x[side]), np.int32, int(size.sum()))])
+            size = np.concatenate([x[2][side] for x in found])
+            self.start[side] = np.concatenate([self.start[side], len(self.ids[side]) + np.cumsum(size) - size])
+            self.ids[side] = np.concatenate([self.ids[side], *(x[1][side] for x in found)])
             self.size[side] = np.concatenate([self.size[side], size])
-            self.start[side] = np.cumsum(self.size[side]) - self.size[side]
 
     def joined(self, rows: np.ndarray, side: int) -> np.ndarray:
         size = self.size[side][rows]
@@ -248,7 +291,10 @@ class Digest:
 
     def __init__(self, sizes: list[np.ndarray]):
         self.n = [len(s) for s in sizes]
-        self.words = [f"{i}{mark}".encode() for n, marks in zip(self.n, (",|", ",;")) for mark in marks for i in range(n)]
+        words = [f"{i}{mark}".encode() for n, marks in zip(self.n, (",|", ",;")) for mark in marks for i in range(n)]
+        self.size = np.array([len(w) for w in words])
+        self.start = np.cumsum(self.size) - self.size
+        self.words = np.frombuffer(b"".join(words), np.uint8)
         self.clear()
 
     def clear(self) -> None:
@@ -266,8 +312,10 @@ class Digest:
         codes[place_b] = 2 * self.n[0] + p.b
         codes[place_a[end_a - 1]] += self.n[0]
         codes[place_b[end_b - 1]] += self.n[1]
-        text = b"".join(map(self.words.__getitem__, codes.tolist()))
-        self.sha.update((b";" if self.any else b"") + text[:-1])
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        text = self.words[np.repeat(self.start[codes] - ends + size, size) + np.arange(ends[-1])]
+        self.sha.update((b";" if self.any else b"") + text[:-1].tobytes())
         self.any = True
 
     def hex(self) -> str:

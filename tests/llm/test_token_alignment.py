@@ -149,3 +149,28 @@ def test_packing():
         for n in (0, 1, 1000):
             v = rng.integers(0, top, n)
             assert (op.unpack(op.pack(v)) == v).all()
+
+
+def test_new_chunks_go_to_the_libraries_together(spark, sf):
+    """Chunks of whole texts cut from joined ones, odd ones among them, have the ids that they have alone, by few calls."""
+    from pathlib import Path
+
+    both = op.Tokenizers(Path(A).read_text(), Path(B).read_bytes())
+    words = sorted({c for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text for c in op.chunks(r.text)})[:5000]
+    for at, odd in zip(range(0, len(words), 300), [x for x in ODD if x is not None]):
+        words.insert(at, odd)
+    alone = both.encode(words)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, f=both.a, **k):
+            asked.extend(texts)
+            return f.encode_batch_fast(texts, **k)
+
+    both.a = Counted()
+    good, ids, many = both.encode_chunks(words)
+    assert good.tolist() == [x[2] for x in alone]
+    for side in range(2):
+        assert many[side].tolist() == [len(x[side]) for x in alone]
+        assert ids[side].tolist() == [i for x in alone for i in x[side]]
+    assert len(asked) < len(words) / 2
