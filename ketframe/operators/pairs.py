@@ -26,6 +26,8 @@ BLOCKS = 24
 TILE = 512
 #: Rows of a block that are packed into one value.
 PACKED_ROWS = 4_096
+#: Rows that a unit keeps before it sends them, but for what one tile or block gives at once.
+SENT_ROWS = 65_536
 
 
 def to_matrix(column: pd.Series) -> np.ndarray:
@@ -90,24 +92,33 @@ def block_pairs(states: DataFrame, keep: Callable[[pd.DataFrame, pd.DataFrame, b
             for j, b in enumerate(rights[i:] if same else rights):
                 yield from keep(a, b, same and j == 0)
 
-    def pair(key: tuple, part: pa.Table) -> pa.Table:
+    def pair(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = (v.as_py() for v in key[-2:])
-        blocks, rows = part["__b"].to_numpy(), part["rows"].to_pylist()
-        side = lambda b: [r for r, own in zip(rows, blocks) if own == b]
-        of_x, of_y = side(x), side(y)
-        out = [_empty(schema)]
-        if of_x and of_y:
-            left = unpacked(of_x)
-            for frame in kept(left, left if x == y else unpacked(of_y), x == y):
-                if len(frame):
-                    out.append(frame)
-                if sums and len(out) > 64:
-                    out = [pd.concat(out[1:]).groupby(sums, as_index=False, dropna=False).sum()]
-                    out.insert(0, _empty(schema))
-        whole = pd.concat(out[1:] or out)
-        if sums and len(out) > 1:
-            whole = whole.groupby(sums, as_index=False, dropna=False).sum()
-        return _as_table(whole[names], kinds)
+        of_x, of_y = [], []
+        for batch in batches:
+            for own, rows in zip(batch["__b"].to_pylist(), batch["rows"].to_pylist()):
+                if own == x:
+                    of_x.append(rows)
+                if own == y:
+                    of_y.append(rows)
+        if not of_x or not of_y:
+            return
+        left = unpacked(of_x)
+        right = left if x == y else unpacked(of_y)
+        out, held = [], 0
+        for frame in kept(left, right, x == y):
+            if not len(frame):
+                continue
+            out.append(frame)
+            held += len(frame)
+            if sums and len(out) > 64:
+                out = [pd.concat(out).groupby(sums, as_index=False, dropna=False).sum()]
+            elif not sums and held >= SENT_ROWS:  # what a unit keeps is sent as it is found
+                yield from _as_batches(pd.concat(out)[names], kinds)
+                out, held = [], 0
+        if out:
+            whole = pd.concat(out)
+            yield from _as_batches((whole.groupby(sums, as_index=False, dropna=False).sum() if sums else whole)[names], kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -116,12 +127,8 @@ def block_pairs(states: DataFrame, keep: Callable[[pd.DataFrame, pd.DataFrame, b
     return sent.groupBy(*within, "__x", "__y").applyInArrow(pair, schema)
 
 
-def _as_table(frame: pd.DataFrame, kinds: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in kinds], schema=kinds)
-
-
-def _empty(schema: str) -> pd.DataFrame:
-    return pd.DataFrame({c.strip().rsplit(" ", 1)[0].strip(): [] for c in schema.split(",")})
+def _as_batches(frame: pd.DataFrame, kinds: pa.Schema) -> list[pa.RecordBatch]:
+    return pa.Table.from_arrays([pa.array(frame[f.name], f.type, from_pandas=True) for f in kinds], schema=kinds).to_batches(SENT_ROWS)
 
 
 def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:

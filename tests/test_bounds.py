@@ -49,6 +49,19 @@ def test_blocks_grow_with_the_table_so_that_a_row_is_sent_a_fixed_number_of_time
     assert sum(r.x for r in out if not r.y) == 60_000
 
 
+def test_a_unit_sends_what_it_keeps_as_it_is_found(spark):
+    """The resident MB of the worker do not grow with the rows that one unit keeps, 240 MB here."""
+
+    def keep(left, right, same):
+        for _ in range(150):
+            with open("/proc/self/statm") as f:
+                yield pd.DataFrame({"x": np.arange(200_000), "mb": int(f.read().split()[1]) * 4096 >> 20})
+
+    rows = spark.range(10).select("id", F.array(F.lit(1.0)).alias("state"))
+    got = pairs.block_pairs(rows, keep, "x long, mb int", tiled=False).agg(F.count("*").alias("n"), F.min("mb").alias("low"), F.max("mb").alias("high")).first()
+    assert got.n == 30_000_000 and got.high - got.low < 100, got
+
+
 def test_cosines_are_added_up_in_the_unit(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TILE", 7)
     rng = np.random.default_rng(5)
