@@ -196,6 +196,45 @@ def near_duplicate_pairs(states: DataFrame, least_fidelity: float, id_type: str
     return _near(states, least_fidelity, id_type, within).where("a <> b").select("a", "b", "fidelity")
 
 
+def with_neighbours(states: DataFrame, least_fidelity: float, id_type: str = "long") -> DataFrame:
+    """(id) of the states that another state comes near to with a fidelity of least_fidelity or more.
+
+    A unit gives each of its rows at most once, however many near pairs there are.
+    """
+    schema = f"id {id_type}"
+    index = Index(states, [])
+    if not len(index.pivots):
+        return states.sparkSession.createDataFrame([], schema)
+
+    def found(left: pd.DataFrame, right: pd.DataFrame, each: Callable) -> Iterator[pd.DataFrame]:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        some = np.zeros(len(a), bool)
+        for i, j, c in each():
+            some[i] |= ((c**2 >= least_fidelity) & (a[i][:, None] != b[j][None])).any(1)
+        yield pd.DataFrame({"id": a[some]})
+
+    def of_blocks(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
+        a = to_matrix(left["state"])
+        b = a if same else to_matrix(right["state"])
+        some_a = np.zeros(len(a), bool)
+        some_b = some_a if same else np.zeros(len(b), bool)
+        for i in range(0, len(a), TILE):
+            for j in range(i if same else 0, len(b), TILE):
+                near = np.abs(a[i : i + TILE].conj() @ b[j : j + TILE].T) ** 2 >= least_fidelity
+                if same and i == j:
+                    np.fill_diagonal(near, False)
+                some_a[i : i + TILE] |= near.any(1)
+                some_b[j : j + TILE] |= near.any(0)
+        yield pd.DataFrame({"id": left["id"].to_numpy()[some_a]})
+        if not same:
+            yield pd.DataFrame({"id": right["id"].to_numpy()[some_b]})
+
+    radius = float(np.arccos(np.sqrt(min(max(least_fidelity, 0.0), 1.0))))
+    if index.all_alike(index.sample, radius):
+        return block_pairs(states.select("id", "state"), of_blocks, schema, tiled=False).distinct()
+    return index.meet(index.rows.withColumn("radius", F.lit(radius)), None, found, schema).distinct()
+
+
 def compared(states: DataFrame, least_fidelity: float, id_type: str = "long") -> DataFrame:
     """(rows, met, found): how many ordered pairs were met to find the near ones."""
     out = _near(states, least_fidelity, id_type)

@@ -85,9 +85,7 @@ NEAR_DUPLICATE_SQL = f"""WITH {STATES_SQL} SELECT a.id AS a, b.id AS b, {R(f'{DO
 def unlike_all_others(spark, sf):
     """States that no other of the table comes near: the anti join of near duplicates."""
     s = states(spark, sf)
-    near = metric_index.near_duplicate_pairs(s, 0.25)
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return s.select("id", "label").join(ids, "id", "left_anti")
+    return s.select("id", "label").join(metric_index.with_neighbours(s, 0.25), "id", "left_anti")
 
 
 UNLIKE_SQL = f"""WITH {STATES_SQL} SELECT id, label FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE a.id <> b.id AND {DOT} * {DOT} >= 0.25)"""

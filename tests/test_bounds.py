@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ketframe.functions import linalg
@@ -62,6 +63,22 @@ def test_a_unit_sends_what_it_keeps_as_it_is_found(spark):
     assert got.n == 30_000_000 and got.high - got.low < 100, got
 
 
+@pytest.mark.parametrize("share", [-1.0, 2.0])  # by blocks, through the cells
+def test_states_with_neighbours_are_told_once(spark, monkeypatch, share):
+    for name, value in (("SMALL", 0), ("MOST_VISITED", share), ("TILE", 32), ("AIM", 16)):
+        monkeypatch.setattr(metric_index, name, value)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 90)
+    x = linalg.normalized(np.random.default_rng(8).standard_normal((240, 6)))
+    x[200:] = x[:40]
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, state array<double>")
+    for least in (0.85, 0.97):
+        near = (x @ x.T) ** 2 >= least
+        np.fill_diagonal(near, False)
+        got = sorted(r.id for r in metric_index.with_neighbours(df, least).collect())
+        assert got == [3 * i for i in np.flatnonzero(near.any(1))] and 80 <= len(got) < 240
+    assert metric_index.with_neighbours(df.limit(0), 0.5).count() == 0
+
+
 def test_cosines_are_added_up_in_the_unit(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TILE", 7)
     rng = np.random.default_rng(5)
