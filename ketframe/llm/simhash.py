@@ -12,15 +12,19 @@ never meets itself as a whole. No bucket, partner or candidate is capped.
 
 Links then go to `components`. Nothing but counts reaches the driver.
 
-`similar_documents` is for a threshold of similarity that a few bits of one fingerprint cannot tell, and whose
-Hamming balls would have to be so wide that what they return grows with the square of the corpus. Its candidates
-come from bands of minima of the shingles' hashes, which hold wherever the texts differ. Candidates whose sets are
-of too different sizes, or far apart by a wider fingerprint over shingles, go; of the others the sets of shingles
+`similar_documents` is for a threshold of similarity at which fingerprints differ in so many bits that the Hamming
+balls of a few segments would return the square of the corpus. Its fingerprints have WIDE_BITS bits, over the sets of
+shingles, and are cut into segments under several permutations of the bits. Each is filed under the value of every
+segment; two that agree in one are a candidate. Fingerprints that differ in fewer bits than a permutation has segments
+agree in one of them; at the threshold it takes the segments of all permutations (see `segment_plan`). Segments widen
+with the corpus, so that what agrees by chance stays a small share of what is filed. Candidates are verified by the
+complete distance in bits and by the sizes of the sets, and then the sets of shingles
 themselves are compared, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -147,27 +151,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Similar documents ---------------------------------------------------------------------------
 
 #: Longs of the comparison fingerprint, and its bits.
-WIDE_LONGS = 16
+WIDE_LONGS = 32
+#: Longs of it that pairs are sifted by first, so that what agrees by chance never meets the rest, and their deviations.
+FIRST_LONGS, FIRST_MARGIN = 4, 4.0
 WIDE_BITS = BITS * WIDE_LONGS
 SIMILARITY = 0.8
 #: Standard deviations of the distance that are allowed for before sets are compared: 0.999 of pairs at the threshold are.
 MARGIN = 3.0
-#: Sets of fewer shingles are compared whatever their fingerprints, whose bits are too dependent.
+#: Sets of fewer shingles are compared whatever their fingerprints, whose bits are too dependent; they are filed under twice as many segments.
 SMALL_SET = 24
-#: Bands of minima and minima in one: a pair of Jaccard similarity J shares a band with the probability
-#: 1 - (1 - J ** BAND_MINIMA) ** BANDS, which is 0.998 at 0.8, wherever the texts differ.
-BANDS, BAND_MINIMA = 16, 5
+#: Chance that a pair at the threshold agrees in no segment, for independent bits; segments share bits, so it is more: see README.
+SEGMENT_MISS = 1e-4
+#: Bits of a segment beyond those that number the classes: at most one class in 2 ** SPARE_BITS agrees with another by chance.
+SPARE_BITS = 5
+LEAST_SEGMENT = 16
+#: Classes whose values of one segment one task looks through; of more, each task takes a share of the values.
+TABLE_ROWS = 16_000_000
 WIDE_NAMES = [f"s{k}" for k in range(WIDE_LONGS)]
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of WIDE_BITS up to which two sets may have this Jaccard similarity.
+def _share(similarity: float) -> float:
+    """Share of bits that differ: sets of equal size with Jaccard J have cosine 2J / (1 + J), and a bit differs with angle / pi."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    Sets of equal size with Jaccard J have cosine 2J / (1 + J); a bit differs with the share angle / pi.
-    Their mean number is exceeded by MARGIN standard deviations.
-    """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE_BITS * share + MARGIN * np.sqrt(WIDE_BITS * share * (1 - share)))
+
+def most_bits(similarity: float, bits: int = WIDE_BITS, margin: float = MARGIN) -> int:
+    """Differing bits of so many up to which two sets may have this Jaccard similarity: margin standard deviations above the mean."""
+    share = _share(similarity)
+    return int(bits * share + margin * np.sqrt(bits * share * (1 - share)))
 
 
 def _hashes(items: set[bytes]) -> np.ndarray:
@@ -178,39 +189,28 @@ def _hashes(items: set[bytes]) -> np.ndarray:
 
 def _set_bits(hashes: np.ndarray, longs: int) -> np.ndarray:
     """SimHash of a set: `longs` signed words, each from another mix of the items' hashes."""
-    out = np.zeros(longs, np.int64)
-    for k in range(longs):
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), 65_536):
-            x = hashes[at : at + 65_536] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]
-    return out
-
-
-def _band_mixes() -> tuple[np.ndarray, np.ndarray]:
-    """Fixed masks and odd factors, one of each to a minimum."""
-    n = np.arange(1, 2 * BANDS * BAND_MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    n = (n ^ n >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    n = (n ^ n >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    n ^= n >> np.uint64(31)
-    return n[::2, None], n[1::2, None] | np.uint64(1)
-
-
-def _band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A long for each band of minima of a set's mixed hashes."""
-    masks, factors = _band_mixes()
-    least = np.full(BANDS * BAND_MINIMA, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 8_192):
-        np.minimum(least, ((hashes[at : at + 8_192] ^ masks) * factors).min(1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for minimum in least.reshape(BANDS, BAND_MINIMA).T:
-        keys = (keys ^ minimum) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+    factors = np.arange(1, 2 * longs, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(BITS * longs, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        x = hashes[at : at + 255, None] * factors
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), 0, np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
+
+
+def segment_plan(classes: int, similarity: float) -> np.ndarray:
+    """The bits of segments: permutations, segments of one (they share no bit), bits. The second half of the permutations is for small sets.
+
+    A segment of w bits agrees with probability (1 - share) ** w at the threshold. There are as many segments as leave
+    SEGMENT_MISS, in whole permutations, and as many again.
+    """
+    width = max(LEAST_SEGMENT, classes.bit_length() + SPARE_BITS)
+    each = WIDE_BITS // width
+    needed = np.log(SEGMENT_MISS) / np.log1p(-((1 - _share(similarity)) ** width))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.permutation(WIDE_BITS)[: each * width].reshape(each, width) for _ in range(2 * int(np.ceil(needed / each)))]).astype(np.int16)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -220,19 +220,78 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(_hashes(parts))
 
 
-def _fingerprint_and_bands(text: str | None, shingle: int) -> tuple[int, int, list[int], list[int]]:
-    """Digest and size of the set of shingles, its fingerprint of WIDE_LONGS and the keys of its bands; a text without words has none."""
+def _wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int, np.ndarray]:
+    """Digest and size of the set of shingles, and its fingerprint of WIDE_LONGS; of no words, zeros."""
     import xxhash
 
     parts = shingle_set(text, shingle)
     node = int(np.uint64(xxhash.xxh3_64_intdigest(parts.tobytes())).view(np.int64))
-    if not len(parts):
-        return node, 0, [0] * WIDE_LONGS, []
-    return node, len(parts), _set_bits(parts, WIDE_LONGS).tolist(), _band_keys(parts).tolist()
+    return node, len(parts), _set_bits(parts, WIDE_LONGS)
 
 
-def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, verify=lambda pairs: pairs) -> DataFrame:
-    """(node, root) of all classes that links reach from another; classes: node, size and WIDE_NAMES; bands: node and key.
+def _blocks(batches: Iterator[pa.RecordBatch], plan: np.ndarray, most: float, shares: int) -> Iterator[pa.RecordBatch]:
+    """Values of the batches' fingerprints, packed by segment and share of the values; sets of up to `most` shingles are filed under all permutations.
+
+    A block has the number of its first row, and at (16 bits each) where the others are after it, empty if they follow one another.
+    """
+    permutations, each, width = plan.shape
+    for batch in batches:
+        no, sizes = batch.column("no").to_numpy(), batch.column("size").to_numpy()
+        longs = np.stack([batch.column(n).to_numpy() for n in WIDE_NAMES], 1)
+        order = np.argsort(no)  # parts of a file may come in any order
+        no, sizes, longs = no[order], sizes[order], longs[order]
+        out = []
+        for page in np.unique(no >> 16):
+            for n, segments in enumerate(plan):
+                here = np.flatnonzero((no >> 16 == page) & (sizes > 0) & ((n < permutations // 2) | (sizes <= most)))
+                if not len(here):
+                    continue
+                bits = np.unpackbits(longs[here].view(np.uint8), axis=1, bitorder="little")
+                values = np.packbits(bits[:, segments], axis=2, bitorder="little")
+                first, at = int(no[here[0]]), no[here] - no[here[0]]
+                packed = b"" if shares == 1 and at[-1] == len(at) - 1 else at.astype(np.uint16)
+                for s in range(each):
+                    if shares == 1:
+                        out.append((n * each + s, 0, first, bytes(packed), values[:, s].tobytes()))
+                        continue
+                    share = values[:, s, 0] % shares
+                    out += [(n * each + s, int(k), first, packed[share == k].tobytes(), values[share == k, s].tobytes()) for k in np.unique(share)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["segment", "share", "first", "at", "packed"])
+
+
+def _agreeing(segment: int, blocks: pa.Table, width: int) -> pa.Table:
+    """Numbers and keys of the rows of a segment's blocks whose value another row has."""
+    size = -(-width // 8)
+    wide = np.zeros((sum(len(b.as_py()) for b in blocks["packed"]) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(b"".join(b.as_py() for b in blocks["packed"]), np.uint8).reshape(-1, size)
+    values, numbers = wide.view("<u8").ravel().astype(np.int64), []
+    for first, at, packed in zip(*(blocks[c].to_pylist() for c in ("first", "at", "packed"))):
+        numbers.append(first + (np.frombuffer(at, np.uint16).astype(np.int64) if at else np.arange(len(packed) // size)))
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    met = np.zeros(len(values) + 1, bool)
+    met[1:-1] = values[1:] == values[:-1]
+    met = met[1:] | met[:-1]
+    return pa.table({"no": np.concatenate(numbers)[order][met], "key": values[met] | segment << width})
+
+
+def shared_segments(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, key) of the classes that agree with another one in a segment of their fingerprints; key tells segment and value.
+
+    classes: node, no (from monotonically_increasing_id, so that rows of a block need no ids), size and WIDE_NAMES.
+    Sets without shingles are not filed. No value is left out, however many classes have it.
+    """
+    count = classes.count()
+    plan, shares = segment_plan(count, similarity), min(256, 1 + count // TABLE_ROWS)
+    width = plan.shape[2]
+    filed = classes.select("no", "size", *WIDE_NAMES).mapInArrow(lambda batches: _blocks(batches, plan, SMALL_SET / similarity, shares), "segment int, share int, first long, at binary, packed binary")
+    met = filed.groupBy("segment", "share").applyInArrow(lambda key, blocks: _agreeing(key[0].as_py(), blocks, width), "no long, key long")
+    return met.join(classes.select("no", "node"), "no").select("node", "key")
+
+
+def similar_links(classes: DataFrame, filed: DataFrame, similarity: float = SIMILARITY, verify=lambda pairs: pairs) -> DataFrame:
+    """(node, root) of all classes that links reach from another; classes: node, size and WIDE_NAMES; filed: node and key.
 
     verify keeps those of some pairs (a, b) of nodes that are similar in fact.
 
@@ -241,35 +300,37 @@ def similar_links(classes: DataFrame, bands: DataFrame, similarity: float = SIMI
     in all: in a family of near copies the one that they are copies of, which is near to all of them where they are not near to each
     other. Then the classes of a key meet in full only across
     components, those of lower ones with those of higher ones. That loses no pair: pairs that are left out are in
-    one component already.
+    one component already, or the two of a key that no third class has, of which one is the holder.
     """
-    classes = materialize(classes, "classes")
-    most = most_bits(similarity)
 
-    def side(x: str) -> DataFrame:
-        return classes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *(F.col(f"s{k}").alias(f"{x}{k}") for k in range(WIDE_LONGS)))
+    def side(x: str, longs: int = WIDE_LONGS) -> DataFrame:
+        whole = lambda c: F.coalesce(F.col(c), F.lit(0))  # noqa: E731 - no nulls: without code for them the join's method stays short enough to be compiled
+        return classes.select(F.col("node").alias(x), whole("size").alias(f"{x}_size"), *(whole(f"s{k}").alias(f"{x}{k}") for k in range(longs)))
 
-    less, more_of = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    near = (less >= similarity * more_of - 1e-6) & ((less < SMALL_SET) | (sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WIDE_LONGS)) <= most))
+    def near(longs: int = WIDE_LONGS, margin: float = MARGIN) -> Column:
+        less, more_of = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+        bits = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(longs))
+        return (less >= similarity * more_of - 1e-6) & ((less < SMALL_SET) | (bits <= most_bits(similarity, BITS * longs, margin)))
 
-    shared = bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    shared = filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     shared = materialize(shared, "shared-keys")
     known = shared.groupBy("node").agg(F.sum("n").alias("known"))
     holder = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node"))["node"].alias("holder"))
     first = shared.join(holder, "key").where("node <> holder").select(F.col("node").alias("a"), F.col("holder").alias("b"))
-    pairs = materialize(first.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "first-links")
+    first = first.distinct().join(side("a", FIRST_LONGS), "a").join(side("b", FIRST_LONGS), "b").where(near(FIRST_LONGS, FIRST_MARGIN)).select("a", "b")
+    pairs = materialize(first.join(side("a"), "a").join(side("b"), "b").where(near()).select("a", "b"), "first-links")
     links = verify(pairs)
     roots = materialize(components(links, "a", "b"), "roots")
 
-    held = bands.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    held = shared.where("n > 2").join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
     spread = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     held = materialize(held.join(spread, "key").select("node", "key", "root", "high"), "across")  # keys of one component are done with
     asking = held.where("root < high").select(F.col("node").alias("a"), F.col("root").alias("a_root"), "key").join(side("a"), "a")
     holding = held.select(F.col("node").alias("b"), F.col("root").alias("b_root"), "key").join(side("b"), "b")
-    across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near)  # all of it within the join
+    across = asking.join(holding, "key").where((F.col("a_root") < F.col("b_root")) & near())  # all of it within the join
     pairs = materialize(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-links")
     more = verify(pairs)
-    done = [classes, shared, held, pairs]
+    done = [shared, held, pairs]
     if not more.isEmpty():
         again = materialize(components(links.unionByName(more), "a", "b"), "roots")
         done, roots = [*done, roots], again
@@ -285,26 +346,27 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked to each other.
     """
     bounded_batches(df.sparkSession)
-    fields = "node: long, size: int, " + "".join(f"{n}: long, " for n in WIDE_NAMES) + "bands: array<long>"
+    fields = "node: long, size: int, " + ", ".join(f"{n}: long" for n in WIDE_NAMES)
 
     @F.arrow_udf(f"struct<{fields}>")
     def wide(texts: pa.Array) -> pa.Array:
-        made = [_fingerprint_and_bands(t.as_py(), shingle) for t in texts]
-        longs = np.array([f for _, _, f, _ in made], np.int64).reshape(-1, len(WIDE_NAMES))
-        node, size = pa.array([n for n, *_ in made], pa.int64()), pa.array([n for _, n, *_ in made], pa.int32())
-        bands = pa.array([b for *_, b in made], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([node, size, *(pa.array(c) for c in longs.T.copy()), bands], names=["node", "size", *WIDE_NAMES, "bands"])
+        made = [_wide_fingerprint(t.as_py(), shingle) for t in texts]
+        longs = np.array([f for *_, f in made], np.int64).reshape(-1, WIDE_LONGS)
+        node, size = pa.array([n for n, *_ in made], pa.int64()), pa.array([n for _, n, _ in made], pa.int32())
+        return pa.StructArray.from_arrays([node, size, *(pa.array(c) for c in longs.T.copy())], names=["node", "size", *WIDE_NAMES])
 
     key, text = row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")
     rows = df.select(key, F.col(id_col).alias("doc_id"), wide(F.col(text_col)).alias("w"))
     rows = materialize(rows.select("key", "doc_id", "w.*"), "wide-fingerprints", packed=True)
-    bands = materialize(rows.select("node", F.explode("bands").alias("key")).distinct(), "bands")
+    classes = rows.select("node", "size", *WIDE_NAMES).dropDuplicates(["node"]).withColumn("no", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    filed = materialize(shared_segments(classes, similarity), "segments")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return jaccard_links(pairs, rows, df.select(key, text), shingle, similarity)
 
-    roots = similar_links(rows.select("node", "size", *WIDE_NAMES).dropDuplicates(["node"]), bands, similarity, verify)
-    release(bands)
+    roots = similar_links(classes, filed, similarity, verify)
+    release(classes, filed)
     return rows.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
